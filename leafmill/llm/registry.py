@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import exact_dedup, mixing
+from leafmill.llm import exact_dedup, mixing, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -20,8 +24,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": op3_exact_dedup, "op6_mixing": op6_mixing}
+    return {"op1_secret_scan": op1_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
