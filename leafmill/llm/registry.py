@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import exact_dedup, mixing, secret_scan
+from leafmill.llm import exact_dedup, minhash, mixing, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op6_mixing": op6_mixing}
+    return {"op1_secret_scan": op1_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op5_near_duplicates": minhash.ORACLE, "op6_mixing": mixing.ORACLE}
