@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import exact_dedup, minhash, mixing, secret_scan
+from leafmill.llm import exact_dedup, langid, maxscore, minhash, mixing, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
+def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing}
+    return {"op1_secret_scan": op1_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing, "op9_language_id": op9_language_id, "op10_maxscore": op10_maxscore}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op5_near_duplicates": minhash.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op5_near_duplicates": minhash.ORACLE, "op6_mixing": mixing.ORACLE, "op10_maxscore": maxscore.ORACLE}
