@@ -41,12 +41,17 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("weight", F.element_at(cycle, (F.row_number().over(order) - 1) % len(weights) + 1))
     per = per.withColumn("cap", max_epochs * F.col("source_size")).withColumn("level", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_level = Window.orderBy("level", F.col("source").asc_nulls_last())
+    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("place", F.row_number().over(by_level))
     whole = Window.partitionBy()
     # With the sources before this one capped, the level that the rest would share.
     per = per.withColumn("left", share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     per = per.withColumn("rest", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("water", F.min(F.when(F.col("left") / F.col("rest") <= F.col("level"), F.col("left") / F.col("rest"))).over(whole))
+    per = per.withColumn("shared", F.col("left") / F.col("rest"))
+    # The water level is that of the first source that its cap does not stop.
+    open_ = F.when(F.col("shared") <= F.col("level"), F.struct("place", "shared"))
+    per = per.withColumn("water", F.min(open_).over(whole)["shared"])
     target = F.when((F.col("water").isNull()) | (F.col("cap") <= F.col("water") * F.col("weight")), F.col("cap"))
     return per.select("source", "source_size", "g_size", target.otherwise(F.col("water") * F.col("weight")).alias("target"))
 
@@ -123,11 +128,11 @@ w AS (
 lv AS (
   SELECT *, cap / weight AS level FROM w),
 rem AS (
-  SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0) AS lft,
+  SELECT *, row_number() OVER (ORDER BY level, source NULLS LAST) AS place, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0) AS lft,
          sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0) AS rest
   FROM lv WINDOW b AS (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 wat AS (
-  SELECT *, min(CASE WHEN lft / rest <= level THEN lft / rest END) OVER () AS water FROM rem),
+  SELECT *, arg_min(lft / rest, place) FILTER (WHERE lft / rest <= level) OVER () AS water FROM rem),
 targets AS (
   SELECT source, source_size, g_size,
          CASE WHEN water IS NULL OR cap <= water * weight THEN cap ELSE water * weight END AS target FROM wat),
