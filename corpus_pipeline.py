@@ -1,4 +1,70 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the
+shared folder and reads it back as the next stage's documents. All stages but the last return the
+columns of ``documents``. Rows without a doc_id pass the two dedup stages, since nothing names them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import exact_dedup, langid, minhash, mixing, sentencepiece_aho
+from leafmill.session import broadcast_if_small, materialize, ship_package
+
+
+def _without(docs: DataFrame, losers: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is among ``losers``."""
+    losers = materialize(losers.select("doc_id").distinct(), "losers")
+    return docs.join(broadcast_if_small(losers), "doc_id", "left_anti").select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language (no letters) go."""
+    ship_package(spark)
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identified(docs, model)
+
+
+def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the smallest doc_id stays."""
+    ship_package(spark)
+    return _without(docs, exact_dedup.exact_dedup(docs).where(~F.col("kept")))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) one document stays."""
+    ship_package(spark)
+    return _without(docs, minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix of sources takes it."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with a check that they decode to its text."""
+    ship_package(spark)
+    return sentencepiece_aho.encode_report(docs, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", one_of_equal_texts),
+    ("near_dedup", one_of_near_duplicates),
+    ("mixing", mixed_sources),
+    ("sentencepiece", encoded),
+]
+
+#: SQL cannot express the language and tokenizer stages; tests/llm holds a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -184,3 +184,17 @@ def language_id(docs: DataFrame, **settings) -> DataFrame:
     """Learn from the labelled rows of ``docs`` that are not held out, then predict every row."""
     model = train(docs.where(~held_out(F.col("doc_id"))), **settings)
     return identify(docs, model)
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (text and any other columns, all kept) whose language is not ``und``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            known = [bool(own.languages(t or "")) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

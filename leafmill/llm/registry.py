@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact_dedup, langid, maxscore, minhash, mixing, secret_scan
+from leafmill.llm import exact_dedup, langid, maxscore, minhash, mixing, pii, secret_scan, sentencepiece_aho
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_aho.encode_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op3_exact_dedup": op3_exact_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing, "op9_language_id": op9_language_id, "op10_maxscore": op10_maxscore}
+    return {"op1_secret_scan": op1_secret_scan, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing, "op7_sentencepiece": op7_sentencepiece, "op9_language_id": op9_language_id, "op10_maxscore": op10_maxscore}
 
 
 def oracle_sql() -> dict[str, str]:
