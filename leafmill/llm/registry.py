@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact_dedup, langid, maxscore, minhash, mixing, pii, secret_scan, sentencepiece_aho
+from leafmill.llm import chat_format, exact_dedup, langid, license_scan, maxscore, minhash, mixing, pii, secret_scan, sentencepiece_aho
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat_format.repeated_answer_pairs(_table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(*pairs)
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
@@ -36,6 +41,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_aho.encode_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
@@ -45,8 +54,8 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing, "op7_sentencepiece": op7_sentencepiece, "op9_language_id": op9_language_id, "op10_maxscore": op10_maxscore}
+    return {"op1_secret_scan": op1_secret_scan, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_chat_format": op4_chat_format, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing, "op7_sentencepiece": op7_sentencepiece, "op8_license_scan": op8_license_scan, "op9_language_id": op9_language_id, "op10_maxscore": op10_maxscore}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op5_near_duplicates": minhash.ORACLE, "op6_mixing": mixing.ORACLE, "op10_maxscore": maxscore.ORACLE}
+    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op4_chat_format": chat_format.ORACLE, "op5_near_duplicates": minhash.ORACLE, "op6_mixing": mixing.ORACLE, "op10_maxscore": maxscore.ORACLE}
