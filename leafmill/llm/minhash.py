@@ -12,9 +12,9 @@ verified on the full shingle sets of the whole texts.
 Documents with one and the same shingle set form a class; classes, not copies, are compared. In each
 band bucket every class is compared with one pivot (which differs from band to band). After the
 components of the confirmed links are known, the only open pairs are those of a bucket whose members
-lie in different components: these are all generated and verified, so that the result equals the
-comparison of all candidate pairs while a large group of near copies costs a number of comparisons in
-proportion to its size, not to its square.
+lie in different components. The members of such buckets are written as differences from a center,
+and pairs are generated through shared differences (see ``_open_pairs``), so that no link of a bucket
+is lost while a large group of near copies does not make all its pairs.
 
 Scale: band keys, pivots, links and labels are grouped minima and equi-joins; no bucket, group or
 component is gathered in a task or on the driver. Broadcasts are of id lists whose row count is
@@ -146,14 +146,68 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                     keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.join(broadcast_if_small(materialize(ids, "pair-ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     left, right = (own.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(test, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that ``ids`` (doc_id) names."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.join(broadcast_if_small(materialize(ids.distinct(), "ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _open_pairs(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and candidate pairs in groups of documents around a center (center, doc_id, comp).
+
+    Let D(x) be the symmetric difference of x and the center p, k(x) = |D(x)| - f |x| with
+    f = (100 - percent) / (100 + percent), and K = f |p|. Two documents are linked exactly when
+    2 |D(x) and D(y)| >= k(x) + k(y), and x is linked with p exactly when k(x) <= K; k(y) >= -K always
+    holds. So a pair that is not joined through p has one member with k(x) > K, and shares at least
+    (k(x) - K) / 2 > 0 elements of D(x), and (k(y) + K) / 2 of D(y). By the prefix principle it agrees
+    in an element among the first |D| - need + 1 of both, in an order common to the group: elements
+    that p lacks first, which few documents share. In a group of near copies this leaves a small part of
+    all pairs, and no link is lost."""
+    f = (100 - percent) / (100 + percent)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            out = []
+            for at in range(0, len(left), 256):
+                both = left[at : at + 256] + right[at : at + 256]
+                sets = [shingle_set(w, width) for _, run in word_hashes(both) for w in run]
+                for s, p in zip(sets[: len(sets) // 2], sets[len(sets) // 2 :], strict=True):
+                    added, gone = np.setdiff1d(s, p, assume_unique=True), np.setdiff1d(p, s, assume_unique=True)
+                    delta = np.concatenate([added, gone]).view(np.int64)
+                    k, limit = len(delta) - f * len(s), f * len(p)
+                    first = lambda need, d=delta: d[: max(0, len(d) - max(1, int(np.ceil(need - 1e-9))) + 1)]
+                    linked = k <= limit + 1e-9
+                    out.append((len(s), len(delta), k, linked, first((k + limit) / 2), None if linked else first((k - limit) / 2)))
+            n, d, k, linked, y, x = zip(*out, strict=True) if out else ((),) * 6
+            longs = pa.list_(pa.int64())
+            cols = [pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(k, pa.float64()), pa.array(linked, pa.bool_()), pa.array(y, longs), pa.array(x, longs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["center", "doc_id", "comp", "n", "d", "k", "linked", "y", "x"])
+
+    own = _texts(docs, groups.select("doc_id").unionByName(groups.select(F.col("center").alias("doc_id"))))
+    joined = groups.join(own, "doc_id").join(own.select(F.col("doc_id").alias("center"), F.col("text").alias("text_p")), "center")
+    joined = joined.select("center", "doc_id", "comp", "text", "text_p")
+    parts = joined.mapInArrow(part, "center long, doc_id long, comp long, n long, d long, k double, linked boolean, y array<long>, x array<long>")
+    parts = materialize(parts, "deltas")
+    near = parts.where("linked AND doc_id <> center").select(F.greatest("doc_id", "center").alias("a"), F.least("doc_id", "center").alias("b"))
+    side = lambda e: parts.select(
+        "center", *[F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "comp", "n", "d", "k")], F.posexplode(e).alias("pos", "item")
+    ).withColumn(f"rest_{e}", F.col(f"d_{e}") - F.col("pos") - 1).drop("pos", f"d_{e}")
+    # At the first element that a pair shares, no more than the elements behind it can follow.
+    pairs = side("x").join(side("y"), ["center", "item"]).where(
+        f"""comp_x <> comp_y AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)
+            AND 2 * (1 + least(rest_x, rest_y)) >= k_x + k_y - 1e-6"""
+    )
+    pairs = pairs.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b"))
+    return near, pairs.distinct()
+
+
 def _verify(pairs: DataFrame, sig: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     likely = materialize(_likely(materialize(pairs, "pairs"), sig, percent), "likely")
     return materialize(_confirmed(likely, docs, width, percent), "links")
@@ -184,16 +238,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # What is left: pairs that share a bucket and lie in different components.
     known = labels.select(F.col("id").alias("doc_id"), "component")
-    placed = members.join(known, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp"))
+    placed = members.join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     placed = materialize(placed.join(open_keys, "key"), "open-members")
     tally = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = tally.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    x = placed.join(main, "key").where("comp <> main").select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"), "main")
-    y = placed.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"))
-    cross = x.join(y, "key").where(f"cx <> cy AND (cy = main OR x < y) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    cross = cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    more = _verify(cross.join(tried, ["a", "b"], "left_anti"), sig, docs, width, percent)
+    main = tally.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("low"))).alias("main")).select("key", (-F.col("main.low")).alias("center"))
+    groups = placed.join(main, "key").select("center", "doc_id", "comp").distinct()
+    near, open_pairs = _open_pairs(materialize(groups, "groups"), docs, width, percent)
+    more = _verify(open_pairs, sig, docs, width, percent).unionByName(near)
     stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
     labels = materialize(connected_components(stars.unionByName(more)), "labels")
 
