@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 STRIP = rf"\A{BLANK}+|{BLANK}+\z"
 SENTENCE_END = r"""([.!?]["')\]]*)\s+"""
+_AROUND = r"[-\x{2013}\x{2014}.\s\p{Z}\x1c-\x1f\x85]*"
 PAGE_NUMBER = (
-    r"^(?i)\s*(?:[-\x{2013}\x{2014}.\s]*\p{Nd}{1,4}[-\x{2013}\x{2014}.\s]*|page\s+\p{Nd}+|p\.\s*\p{Nd}+|\p{Nd}+\s+of\s+\p{Nd}+)\s*$"
+    rf"^(?i){BLANK}*(?:{_AROUND}\p{{Nd}}{{1,4}}{_AROUND}|page{BLANK}+\p{{Nd}}+|p\.{BLANK}*\p{{Nd}}+|\p{{Nd}}+{BLANK}+of{BLANK}+\p{{Nd}}+){BLANK}*$"
 )
-CAPTION = r"^(?i)\s*(?:figure|fig\.|table)\s+\p{Nd}+(?:\.\p{Nd}+)*[.:]?\s*$"
+CAPTION = rf"^(?i){BLANK}*(?:figure|fig\.|table){BLANK}+\p{{Nd}}+(?:\.\p{{Nd}}+)*[.:]?{BLANK}*$"
 REFERENCE = r"^\s*\[1\]\s+\p{Lu}"
 
 
@@ -83,7 +84,7 @@ def is_scanned(text: Column, n_images: Column, least: int = 20) -> Column:
 
 
 def rejoin_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\p{L}\p{N}_])-\s*\n\s*([a-z])", "$1$2")
+    return F.regexp_replace(text, rf"([\p{{L}}\p{{N}}_])-{BLANK}*\n{BLANK}*([a-z])", "$1$2")
 
 
 def strip_control(text: Column) -> Column:

@@ -62,7 +62,7 @@ def d_useful(x: str) -> str:
 
 
 def d_hyphens(x: str) -> str:
-    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_])-\s*\n\s*([a-z])', '\1\2', 'g')"
+    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_])-{T.BLANK}*\n{T.BLANK}*([a-z])', '\1\2', 'g')"
 
 
 def d_control(x: str) -> str:
