@@ -109,10 +109,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` itself with each row as often as the mix takes it; its columns stay as they are.
     doc_id must be unique (null ids count as one document)."""
     taken = mix(docs, **settings).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = taken.select(F.col("doc_id").alias("_id"), "copies")
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    joined = docs.join(taken.withColumnRenamed("copies", "_copies"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.select(*[docs[c] for c in docs.columns], times.alias("_copy")).drop("_copy")
+    # The row is one struct, so that no name of the input can clash with the mix's own.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = whole.join(taken, F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")))
+    again = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select("row.*")
 
 
 ORACLE = r"""
