@@ -52,9 +52,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Rows of an Arrow batch, where the session does not say otherwise. Texts are long: Spark's 10,000 rows
+#: would be tens to hundreds of MB in the JVM and again in each Python worker.
+ARROW_ROWS = 512
+_ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that their Python workers can import
-    it whatever their working directory is."""
+    it whatever their working directory is, and bound the session's Arrow batches."""
+    if spark.conf.get(_ARROW_CONF) == "10000":
+        spark.conf.set(_ARROW_CONF, str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_leafmill_shipped", False):
         return
