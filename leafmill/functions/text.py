@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: White space as Python's str.strip sees it.
 BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 STRIP = rf"\A{BLANK}+|{BLANK}+\z"
+#: The characters of BLANK, for trimming without a regex.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SENTENCE_END = r"""([.!?]["')\]]*)\s+"""
 _AROUND = r"[-\x{2013}\x{2014}.\s\p{Z}\x1c-\x1f\x85]*"
 PAGE_NUMBER = (
@@ -18,7 +20,7 @@ REFERENCE = r"^\s*\[1\]\s+\p{Lu}"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def lines(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,14 +15,20 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+@lru_cache(maxsize=1 << 18)
+def _slot(token: str) -> tuple[int, float]:
+    h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
+    return int(h[:4], 16), 1.0 if int(h[4], 16) < 8 else -1.0
+
+
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Deterministic vectors without a model: each lower-cased token adds +1 or -1 to the dimension that
     its md5 names; rows are scaled to length one. A text without tokens is the zero vector."""
     out = np.zeros((len(texts), dim))
     for k, text in enumerate(texts):
         for token in _TOKEN.findall((text or "").lower()):
-            h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
-            out[k, int(h[:4], 16) % dim] += 1.0 if int(h[4], 16) < 8 else -1.0
+            at, sign = _slot(token)
+            out[k, at % dim] += sign
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norm > 0, norm, 1.0)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators.sections import page_offsets, split_by_headers
 from leafmill.operators.semantic import semantic_split
+from leafmill.session import materialize
 
 _END = re.compile(r"""([.!?]["')\]]*)[ \t\n\x0b\f\r]+""")
 MIN_SIZE, MAX_SIZE = 100, 1000
@@ -142,8 +143,11 @@ def chunk_documents(
     compat_index_meta: bool = False,
 ) -> DataFrame:
     """Pages (source, page, page_content) to chunks: chunk_id, source, chunk_index, text, page_start,
-    page_end, headings, num_sentences, char_count."""
-    parts = semantic_split(split_by_headers(pages), max_size, k, loader)
+    page_end, headings, num_sentences, char_count. Pages and sections are read more than once, so both are
+    written to the shared folder first."""
+    pages = materialize(pages.select("source", "page", "page_content"), "pages")
+    sections = materialize(split_by_headers(pages), "sections")
+    parts = semantic_split(sections, max_size, k, loader)
     path = T.build_breadcrumb(F.col("section"), F.col("subsection"), F.col("subsubsection"))
     # A section carries its path on each of its parts, before sizes are looked at.
     parts = parts.withColumn("text", T.inject_breadcrumb(F.col("text"), path))
