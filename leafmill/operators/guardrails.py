@@ -121,17 +121,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
 
-def page_span(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds page_start (the page that holds start_off) and page_end (the one with start < end_off <= end),
-    by an interval join within the source; the ends are clamped to the source's own range."""
-    placed = page_offsets(pages).groupBy("source").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("start_off").alias("start"), F.col("end_off").alias("end"), F.col("page").cast("int").alias("page")))).alias("bounds")
+def page_span(chunks: DataFrame, pages: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Adds page_start (the page that holds start_off) and page_end (the page with start < end_off <= end;
+    the source's last one beyond its end). A range join: page bounds are listed under every stretch of
+    ``width`` characters that they touch, positions under theirs, so a source of many pages is spread over
+    as many keys."""
+    bounds = page_offsets(pages).select("source", F.col("page").cast("int").alias("at"), F.col("start_off").alias("s"), F.col("end_off").alias("e"))
+    stretch = F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.col("e") - 1) / width)))
+    listed = bounds.select("*", stretch.alias("stretch"))
+    total = bounds.groupBy("source").agg(F.max("e").alias("total"))
+    own = chunks.select("source", "chunk_index", "start_off", "end_off").join(total, "source")
+    last = F.greatest(F.least(F.col("end_off"), F.col("total")) - 1, F.lit(0))
+    place = lambda first, pos: F.struct(F.lit(first).alias("first"), pos.alias("pos"))
+    looked = own.select("source", "chunk_index", F.inline(F.array(place(True, F.col("start_off")), place(False, last))))
+    looked = looked.withColumn("stretch", F.floor(F.col("pos") / width))
+    found = looked.join(listed, ["source", "stretch"]).where("s <= pos AND pos < e")
+    spans = found.groupBy("source", "chunk_index").agg(
+        F.max(F.when(F.col("first"), F.col("at"))).alias("page_start"), F.max(F.when(~F.col("first"), F.col("at"))).alias("page_end")
     )
-    joined = chunks.join(placed, "source", "left")
-    first = F.filter("bounds", lambda b: (b["start"] <= F.col("start_off")) & (F.col("start_off") < b["end"]))
-    final = F.filter("bounds", lambda b: (b["start"] < F.col("end_off")) & (F.col("end_off") <= b["end"]))
-    end = F.coalesce(F.get(final, F.lit(0))["page"], F.element_at("bounds", -1)["page"])
-    return joined.withColumn("page_start", F.get(first, F.lit(0))["page"]).withColumn("page_end", end).drop("bounds")
+    return chunks.join(spans, ["source", "chunk_index"], "left")
 
 
 def chunk_documents(
