@@ -153,9 +153,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents that ``ids`` (doc_id) names."""
+    """doc_id and text of the documents that ``ids`` (doc_id) names, once each. They are written, so that
+    joins with them begin at an exchange, whose large partitions can be split."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.join(broadcast_if_small(materialize(ids.distinct(), "ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = own.join(broadcast_if_small(materialize(ids.distinct(), "ids")), "doc_id", "left_semi")
+    return materialize(own.dropDuplicates(["doc_id"]), "texts")
 
 
 def _open_pairs(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
