@@ -34,16 +34,35 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _scratch(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scratch(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_leafmill_scratch"):
+        sc._leafmill_scratch = []
+    return sc._leafmill_scratch
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Remove the files behind a DataFrame made by ``materialize`` that no later plan reads."""
-    spark = df.sparkSession
-    path = os.path.dirname(df.inputFiles()[0]) if df.inputFiles() else None
-    if path:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, os.path.dirname(files[0]))
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all tables that ``materialize`` has written in this context. For use once results are
+    written: DataFrames that were built on those tables can no longer be computed."""
+    paths = _scratch(spark)
+    while paths:
+        _delete(spark, paths.pop())
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
