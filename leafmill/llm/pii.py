@@ -287,9 +287,10 @@ def model_spans(text: str, runs: list, decoded: list, spans: list, least: float)
     return added
 
 
-def train(docs: DataFrame, max_docs: int = 4000, longest: int = 64) -> Field:
+def train(docs: DataFrame, max_docs: int = 4000, max_runs: int = 200, longest: int = 64) -> Field:
     """Fit the field on runs of a hash-picked sample of about ``max_docs`` documents at most, labelled
-    by the fixed patterns; longer runs are cut for training only."""
+    by the fixed patterns. For training only, a document gives its first ``max_runs`` runs and a run its
+    first ``longest`` tokens, so that the labelled table is small whatever the texts are."""
     rows = docs.where("text IS NOT NULL").select("doc_id", "text")
     total = rows.count()
     if total > max_docs:
@@ -300,7 +301,7 @@ def train(docs: DataFrame, max_docs: int = 4000, longest: int = 64) -> Field:
             feats, labels = [], []
             for text in batch.column(0).to_pylist():
                 spans = pattern_spans(text)
-                for run in token_runs(text):
+                for run in token_runs(text)[:max_runs]:
                     run = run[:longest]
                     feats.append([x for row in run_features(text, run) for x in row])
                     labels.append(run_labels(run, spans))
