@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and an equi-join, so a node with any number of neighbours is a
-partially aggregated row and a join key that adaptive execution splits. Nothing is gathered on the
+Each step is a grouped minimum, which is written, and an equi-join with it, so a node with any number of
+neighbours is a partially aggregated row and a join key that adaptive execution splits. Nothing is gathered on the
 driver but one count and one checksum a round.
 """
 
@@ -24,13 +24,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        drop_materialized(low)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         hop = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialize(hop.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         now = _mark(new)
+        drop_materialized(low)
         drop_materialized(large)
         drop_materialized(edges)
         edges = new

@@ -231,7 +231,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     code = F.col("doc_id").bitwiseXOR(F.col("key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(code).alias("code")).where("size > 1")
     pivots = buckets.select("key", F.col("code").bitwiseXOR(F.col("key")).alias("pivot"))
-    members = materialize(bands.join(pivots, "key"), "members")
+    # Written first, the grouped side of each join on a bucket's key comes from an exchange of its own,
+    # so that adaptive execution can split a hot bucket.
+    members = materialize(bands.join(materialize(pivots, "pivots"), "key"), "members")
 
     ordered = (F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b"))
     tried = materialize(members.where("doc_id <> pivot").select(*ordered).distinct(), "star-pairs")
@@ -242,10 +244,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = labels.select(F.col("id").alias("doc_id"), "component")
     placed = members.join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    placed = materialize(placed.join(open_keys, "key"), "open-members")
+    placed = materialize(placed.join(materialize(open_keys, "open-keys"), "key"), "open-members")
     tally = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = tally.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("low"))).alias("main")).select("key", (-F.col("main.low")).alias("center"))
-    groups = placed.join(main, "key").select("center", "doc_id", "comp").distinct()
+    groups = placed.join(materialize(main, "main"), "key").select("center", "doc_id", "comp").distinct()
     near, open_pairs = _open_pairs(materialize(groups, "groups"), docs, width, percent)
     more = _verify(open_pairs, sig, docs, width, percent).unionByName(near)
     stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
