@@ -1,16 +1,24 @@
 """Licence scans: a trained paragraph classifier with template confirmation.
 
-Paragraphs are lines. A paragraph's features are its distinct word 1- and 2-grams (lower-cased words of
+A notice may be one line, or be wrapped over several. Paragraphs are therefore lines, and windows of consecutive
+words of the text, whatever lines they lie on. A window begins and ends with words of one template, holds the
+share ``cover`` of its n-grams, and has at most ``STRETCH`` times the template's words and ``SLACK`` more, so that
+some words may stand between. Marks of comments are no words; the words among them (``dnl``, ``rem``, ``c``) are
+left out at the start of a line; a word broken by a hyphen at a line's end is joined where the templates know it.
+
+A paragraph's features are its distinct word 1- and 2-grams (lower-cased words of
 letters, digits, dots and hyphens) that occur in the templates. A multinomial logistic regression over
 these sparse features, with a class ``unknown``, is trained on the templates, on parts of them, and on
 ``max_negatives`` paragraphs of the corpus that no template resembles. Its scores are calibrated by a
 temperature fitted on held-out training rows. A paragraph with a predicted family of probability
 ``least`` or more is confirmed by comparing it with that family's templates: the share of some
-template's n-grams that the paragraph holds must reach ``cover``. Whole paragraphs are read, however
-long.
+template's n-grams that the paragraph holds must reach ``cover``. Whole texts are read, however
+long. A finding's start and stop are those of the lines that it touches; findings of one family that share a line
+are one; different families on one line are one finding each.
 
 Scale: a map without a shuffle over whole texts. A line without one of the templates' anchor words
-cannot reach the cover and is passed over by one regex search. The model (some thousand weights) is broadcast;
+cannot reach the cover and is passed over by one regex search; windows are looked for only in texts that have
+enough words of a template, around its 2-grams. The model (some thousand weights) is broadcast;
 training reads a bounded, documented sample.
 
 Edge cases: null and empty texts have no licence; one row per finding in ``find_licences`` and one per
@@ -21,6 +29,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -58,7 +67,11 @@ TEMPLATES = {
     "proprietary": ("All rights reserved.", "No part of this publication may be reproduced or distributed without the prior written permission of the publisher."),
 }
 UNKNOWN = "unknown"
+STRETCH = 2
+SLACK = 8
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+_BROKEN = re.compile(r"(?<=[a-z0-9])-[\x20\t\r]*\n")
+_MARKS = frozenset(("dnl", "rem", "c"))
 
 
 def words(paragraph: str) -> list[str]:
@@ -69,6 +82,12 @@ def _grams(tokens: list[str]) -> list[str]:
     return [*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))]
 
 
+def _lowered(text: str) -> str:
+    """Lower case with the text's own offsets."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 class Classifier:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.families = [*templates, UNKNOWN]
@@ -135,7 +154,9 @@ class Classifier:
 
     def classify(self, paragraph: str, least: float, cover: float) -> tuple[str, float, float] | None:
         """(family, probability, template cover) of a paragraph that is a licence notice."""
-        tokens = words(paragraph)
+        return self.classify_words(words(paragraph), least, cover)
+
+    def classify_words(self, tokens: list[str], least: float, cover: float) -> tuple[str, float, float] | None:
         rows = self.features(tokens)
         if len(rows) < 3:
             return None
@@ -152,6 +173,116 @@ class Classifier:
         return best
 
 
+class Notices:
+    """Finds the notices of a text by a model and settings."""
+
+    def __init__(self, model: Classifier, least: float, cover: float):
+        self.model, self.least, self.cover = model, least, cover
+        self.cue = re.compile("|".join(sorted(map(re.escape, anchors(model, cover)))))
+        self.parts = []
+        self.pairs: dict[tuple[str, str], list[int]] = {}
+        for k, (_, grams) in enumerate(model.templates):
+            single = frozenset(g for g in grams if " " not in g)
+            need = math.ceil(cover * len(grams) - 1e-9)
+            fewest = need - (len(grams) - len(single))
+            # One word more than it has 2-grams, or some words twice: the words of a template are this many at most.
+            width = STRETCH * max(len(single), len(grams) - len(single) + 1) + SLACK
+            self.parts.append((grams, single, need, fewest, width))
+            for g in grams - single:
+                self.pairs.setdefault(tuple(g.split(" ")), []).append(k)
+        self.known = frozenset().union(*(single for _, single, *_ in self.parts))
+
+    def _stream(self, low: str) -> tuple[list[str], list[tuple[int, int]]]:
+        """The words of a text, and where they stand."""
+        tokens, at = [], []
+        for m in _WORD.finditer(low):
+            word, (start, stop) = m[0], m.span()
+            if word in _MARKS and not low[low.rfind("\n", 0, start) + 1 : start].strip():
+                continue
+            if at and low[at[-1][1] : at[-1][1] + 1] == "-" and low.count("\n", at[-1][1], start) == 1 and _BROKEN.match(low, at[-1][1]):
+                whole = next((x for x in (f"{tokens[-1]}-{word}", tokens[-1] + word) if x in self.known), None)
+                if whole:
+                    tokens[-1], at[-1] = whole, (at[-1][0], stop)
+                    continue
+            tokens.append(word)
+            at.append((start, stop))
+        return tokens, at
+
+    def _windows(self, tokens: list[str], k: int, hits: list[int]) -> list[tuple[int, int]]:
+        """(first, last) words of the windows that hold enough of template ``k``, whose 2-grams begin at ``hits``:
+        those with most n-grams first, then the shortest; not overlapping."""
+        grams, single, need, _, width = self.parts[k]
+        most = max(1, need - len(single))
+        zones: list[list[int]] = []
+        for a, b in zip(hits, hits[most - 1 :], strict=False):
+            if b + 2 - a <= width:
+                start, stop = max(0, b + 2 - width), min(len(tokens), a + width)
+                if zones and start <= zones[-1][1]:
+                    zones[-1][1] = stop
+                else:
+                    zones.append([start, stop])
+        found = []
+        for start, stop in zones:
+            places = [i for i in range(start, stop) if tokens[i] in single]
+            for n, s in enumerate(places):
+                seen: set[str] = set()
+                best, last = 0, s
+                for e in places[n:]:
+                    if e - s >= width:
+                        break
+                    seen.add(tokens[e])
+                    if e > s and (g := f"{tokens[e - 1]} {tokens[e]}") in grams:
+                        seen.add(g)
+                    if len(seen) > best:
+                        best, last = len(seen), e
+                if best >= need:
+                    found.append((-best, last - s, s))
+        taken = bytearray(len(tokens))
+        out = []
+        for _, more, s in sorted(found):
+            if not any(taken[s : s + more + 1]):
+                taken[s : s + more + 1] = b"\1" * (more + 1)
+                out.append((s, s + more))
+        return out
+
+    def _wrapped(self, low: str) -> Iterator[tuple[tuple[str, float, float], int, int]]:
+        have = self.known.intersection(_WORD.findall(low))
+        broken = _BROKEN.search(low)
+        if not broken and not any(len(have & single) >= fewest for _, single, _, fewest, _ in self.parts):
+            return
+        tokens, at = self._stream(low)
+        hits: dict[int, list[int]] = {}
+        for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
+            if pair in self.pairs:
+                for k in self.pairs[pair]:
+                    hits.setdefault(k, []).append(i)
+        for k, own in hits.items():
+            for s, e in self._windows(tokens, k, own):
+                if hit := self.model.classify_words(tokens[s : e + 1], self.least, self.cover):
+                    stop = low.find("\n", at[e][1])
+                    yield hit, low.rfind("\n", 0, at[s][0]) + 1, len(low) if stop < 0 else stop
+
+    def __call__(self, text: str) -> list[dict]:
+        low = _lowered(text)
+        if not self.cue.search(low) and not _BROKEN.search(low):
+            return []
+        hits = list(self._wrapped(low))
+        at = 0
+        for line in text.split("\n"):
+            if self.cue.search(low, at, at + len(line)) and (hit := self.model.classify(line, self.least, self.cover)):
+                hits.append((hit, at, at + len(line)))
+            at += len(line) + 1
+        out: dict[str, list[dict]] = {}
+        for (family, p, share), start, stop in sorted(hits, key=lambda h: h[1:]):
+            own = out.setdefault(family, [])
+            if own and start < own[-1]["stop"]:
+                last = own[-1]
+                last.update(probability=max(last["probability"], p), cover=max(last["cover"], share), stop=max(last["stop"], stop))
+            else:
+                own.append({"family": family, "probability": p, "cover": share, "start": start, "stop": stop})
+        return sorted((f for own in out.values() for f in own), key=lambda f: (f["start"], f["stop"], f["family"]))
+
+
 def train(docs: DataFrame, max_negatives: int = 2000) -> Classifier:
     """Fit on the templates and on paragraphs (at most ``max_negatives``) of a hash-picked sample of the
     corpus that share at most two n-grams with any template."""
@@ -178,26 +309,15 @@ FOUND = "array<struct<family:string,probability:double,cover:double,start:int,st
 
 
 def find_licences(docs: DataFrame, model: Classifier, least: float = 0.9, cover: float = 0.8) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, found (licence paragraphs in order)."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, found (notices in order)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("cover", pa.float64()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        cue = re.compile("|".join(sorted(map(re.escape, anchors(own, cover)))))
+        notices = Notices(sent.value, least, cover)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                hits = []
-                if text and cue.search(low := text.lower()):
-                    same = len(low) == len(text)
-                    at = 0
-                    for line in text.split("\n"):
-                        if (not same or cue.search(low, at, at + len(line))) and (hit := own.classify(line, least, cover)):
-                            hits.append({"family": hit[0], "probability": hit[1], "cover": hit[2], "start": at, "stop": at + len(line)})
-                        at += len(line) + 1
-                out.append(hits)
+            out = [notices(text) if text else [] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, found)], ["doc_id", "found"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, found {FOUND}")
