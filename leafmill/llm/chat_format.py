@@ -8,7 +8,11 @@ rendered turn, in the order of ``part`` (prompt, chosen, rejected) and ``turn``.
 Scale: the join key is (pair, turn), so that a conversation of any length is spread over tasks; the
 prefix length is a grouped minimum with partial aggregation, and the join that brings it back to the
 turns is a plain equi-join, which adaptive execution splits where one pair is hot. No conversation is
-gathered in a task; ``assemble`` does that for those who want whole strings, one pair a row.
+gathered in a task; ``assemble`` does that for those who want whole strings, one pair a row, so that a pair
+must fit a row there (Spark's bound is 2 GB; a larger one is an error, not left out).
+
+Two pairings of plain conversations: ``repeated_answer_pairs`` has those with two assistant turns or more, up to the
+last of these; ``preference_pairs`` has every conversation with all its turns.
 
 Edge cases: rows with null pair id or turn are left out; a null role or text counts as empty; of rows
 that repeat a (pair, turn) the smallest (role, text) counts; a side that ends earlier differs at the
@@ -88,6 +92,30 @@ def repeated_answer_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFram
     return chosen.select("pair_id", "turn", "role", "text"), keep.unionByName(last)
 
 
+def preference_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A pair for every conversation (conv_id, turn, role, text), all turns kept. The whole conversation is chosen.
+    It is rejected with every assistant turn from one of them on repeating the text last said before that one
+    (empty if nothing was); which one is picked by a hash of (conv_id, turn). With one assistant turn that is
+    the one; with none both sides are equal, which gives a prompt and no completions."""
+    rows = _turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"), "said")
+    chosen = rows.select(*KEYS, "said.role", "said.text")
+    key = F.struct(F.sha2(F.concat_ws(":", F.col("pair_id").cast("string"), F.col("turn").cast("string")), 256).alias("hash"), F.col("turn").alias("turn"))
+    cuts = chosen.where("role = 'assistant'").groupBy("pair_id").agg(F.min(key)["turn"].alias("cut"))
+    cut = chosen.join(cuts, "pair_id", "left")
+    said = cut.where("turn < cut").groupBy("pair_id").agg(F.max(F.struct("turn", "text"))["text"].alias("instead"))
+    text = F.when((F.col("turn") >= F.col("cut")) & (F.col("role") == "assistant"), F.coalesce("instead", F.lit(""))).otherwise(F.col("text"))
+    return chosen, cut.join(said, "pair_id", "left").select(*KEYS, "role", text.alias("text"))
+
+
+def preference_rows(conversations: DataFrame) -> DataFrame:
+    """One row for every conversation: pair_id, prompt, chosen, rejected, and the loss spans of the completions as
+    start:stop, comma-joined."""
+    whole = assemble(format_preferences(*preference_pairs(conversations)))
+    one = lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))
+    listed = [F.array_join(F.transform(f"{p}_loss", one), ",").alias(f"{p}_loss") for p in ("chosen", "rejected")]
+    return whole.select("pair_id", "prompt", "chosen", "rejected", *listed)
+
+
 ORACLE = r"""
 WITH t AS (
   SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
@@ -113,3 +141,33 @@ SELECT pair_id, part, turn, said.role AS role, '<|' || said.role || '|>' || chr(
        part <> 'prompt' AND said.role = 'assistant' AS loss
 FROM p WHERE said IS NOT NULL
 """
+
+#: Of ``preference_rows``.
+PAIRS_ORACLE = r"""
+WITH t AS (
+  SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+e AS (
+  SELECT *, first_value(turn) OVER (PARTITION BY pair_id ORDER BY said.role = 'assistant' DESC, sha256(pair_id || ':' || turn), turn) AS cut,
+         bool_or(said.role = 'assistant') OVER (PARTITION BY pair_id) AS answered
+  FROM t),
+i AS (
+  SELECT pair_id, turn, said, CASE WHEN answered AND turn >= cut AND said.role = 'assistant'
+    THEN {'role': 'assistant', 'text': coalesce((SELECT x.said.text FROM t x WHERE x.pair_id = e.pair_id AND x.turn < e.cut ORDER BY x.turn DESC LIMIT 1), '')}
+    ELSE said END AS other
+  FROM e),
+k AS (SELECT *, min(turn) FILTER (WHERE said IS DISTINCT FROM other) OVER (PARTITION BY pair_id) AS fork FROM i),
+p AS (
+  SELECT pair_id, turn, 'prompt' AS part, said FROM k WHERE fork IS NULL OR turn < fork
+  UNION ALL SELECT pair_id, turn, 'chosen', said FROM k WHERE turn >= fork
+  UNION ALL SELECT pair_id, turn, 'rejected', other FROM k WHERE turn >= fork),
+r AS (SELECT *, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered FROM p),
+s AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM r)
+SELECT pair_id,
+  coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (WHERE part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (WHERE part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (WHERE part = 'rejected'), '') AS rejected,
+  coalesce(string_agg((stop - length(rendered)) || ':' || stop, ',' ORDER BY turn) FILTER (WHERE part = 'chosen' AND said.role = 'assistant'), '') AS chosen_loss,
+  coalesce(string_agg((stop - length(rendered)) || ':' || stop, ',' ORDER BY turn) FILTER (WHERE part = 'rejected' AND said.role = 'assistant'), '') AS rejected_loss
+FROM s GROUP BY pair_id
+"""

@@ -29,6 +29,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_preferences(*pairs)
 
 
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.preference_rows(_table(spark, sf_dir, "conversations"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
@@ -54,8 +58,8 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_chat_format": op4_chat_format, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing, "op7_sentencepiece": op7_sentencepiece, "op8_license_scan": op8_license_scan, "op9_language_id": op9_language_id, "op10_maxscore": op10_maxscore}
+    return {"op1_secret_scan": op1_secret_scan, "op2_pii": op2_pii, "op3_exact_dedup": op3_exact_dedup, "op4_chat_format": op4_chat_format, "op4_preference_pairs": op4_preference_pairs, "op5_near_duplicates": op5_near_duplicates, "op6_mixing": op6_mixing, "op7_sentencepiece": op7_sentencepiece, "op8_license_scan": op8_license_scan, "op9_language_id": op9_language_id, "op10_maxscore": op10_maxscore}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op4_chat_format": chat_format.ORACLE, "op5_near_duplicates": minhash.ORACLE, "op6_mixing": mixing.ORACLE, "op10_maxscore": maxscore.ORACLE}
+    return {"op1_secret_scan": secret_scan.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op4_chat_format": chat_format.ORACLE, "op4_preference_pairs": chat_format.PAIRS_ORACLE, "op5_near_duplicates": minhash.ORACLE, "op6_mixing": mixing.ORACLE, "op10_maxscore": maxscore.ORACLE}
