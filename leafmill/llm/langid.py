@@ -17,7 +17,7 @@ batches of characters.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0; text whose trigrams are all
 unseen gets the most common label's smoothed likelihood, so still a learned language; without any
-labelled row every prediction is ``und``; null ids are hashed as an empty text; repeated rows get equal
+labelled row every prediction is ``und`` (``identified`` then keeps the texts with a letter); null ids are hashed as an empty text; repeated rows get equal
 answers; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -187,14 +187,16 @@ def language_id(docs: DataFrame, **settings) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` (text and any other columns, all kept) whose language is not ``und``."""
+    """The rows of ``docs`` (text and any other columns, all kept) whose language is not ``und``; where no
+    language was learned, the rows whose text has a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            known = [bool(own.languages(t or "")) for t in batch.column(at).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            known = [bool(own.languages(t)) if own.langs else any(len(c) for c in cells(t)) for t in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
