@@ -121,18 +121,26 @@ class Classifier:
                 labels.append(len(self.families) - 1)
         return rows, np.array(labels)
 
+    @staticmethod
+    def held_rows(labels: np.ndarray) -> np.ndarray:
+        held = np.zeros(len(labels), bool)
+        for label in np.unique(labels):
+            held[np.flatnonzero(labels == label)[4::5]] = True
+        return held
+
     def _scores(self, rows: list[list[int]]) -> np.ndarray:
         return np.stack([self.w[r].sum(axis=0) for r in rows])
 
     def fit(self, negatives: list[str], rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Classifier:
-        """Full-batch gradient descent with per-weight step sizes; every fifth row calibrates."""
+        """Full-batch gradient descent with per-weight step sizes; every fifth row of each family only calibrates."""
         rows, labels = self._examples(negatives)
-        held = np.arange(len(rows)) % 5 == 4
+        held = self.held_rows(labels)
         x = np.zeros((len(rows), self.w.shape[0]))
         for k, r in enumerate(rows):
             x[k, r] = 1.0
-        want = np.eye(len(self.families))[labels]
-        weight = 1.0 / np.bincount(labels, minlength=len(self.families))[labels]
+        x = x[~held]
+        want = np.eye(len(self.families))[labels[~held]]
+        weight = 1.0 / np.bincount(labels[~held], minlength=len(self.families))[labels[~held]]
         weight /= weight.sum()
         past = np.full_like(self.w, 1e-8)
         for _ in range(rounds):
@@ -167,7 +175,7 @@ class Classifier:
         best = None
         for k in np.argsort(-p[:-1]):
             share = max(len(held & t) / len(t) for f, t in self.templates if f == k)
-            if p[k] / (p[k] + p[-1]) >= least and share >= cover:
+            if p[k] >= least and share >= cover:
                 best = (self.families[k], float(p[k]), share)
                 break
         return best
