@@ -57,12 +57,20 @@ def drop_materialized(df: DataFrame) -> None:
         _delete(df.sparkSession, os.path.dirname(files[0]))
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove all tables that ``materialize`` has written in this context. For use once results are
-    written: DataFrames that were built on those tables can no longer be computed."""
+def scratch_mark(spark: SparkSession) -> int:
+    """A mark that tells the tables written so far from later ones (see ``drop_scratch``)."""
+    return len(_scratch(spark))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the tables that ``materialize`` has written in this context (since a ``scratch_mark``), but for
+    the one that ``keep`` reads. DataFrames that were built on those tables can no longer be computed."""
     paths = _scratch(spark)
-    while paths:
-        _delete(spark, paths.pop())
+    held = {os.path.basename(os.path.dirname(f)) for f in keep.inputFiles()} if keep is not None else set()
+    for path in paths[since:]:
+        if os.path.basename(path) not in held:
+            _delete(spark, path)
+            paths.remove(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
