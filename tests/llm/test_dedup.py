@@ -44,7 +44,7 @@ def test_filters_merge_losslessly(spark):
         merged = E.merge_filters(E.build_filters(df, bits, flush=500))
         got = {}
         for r in merged.collect():
-            f, c = E._unpack(r["quotients"], r["remainders"], r["counts"])
+            f, c = E.entries(r.asDict())
             assert (np.diff(f.astype(object)) > 0).all()
             got |= dict(zip(f.view(np.int64).tolist(), c.tolist()))
         want = {x: fps.count(x) for x in set(fps)}
