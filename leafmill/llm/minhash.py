@@ -9,7 +9,8 @@ of 6 compressed registers make candidates: at similarity 0.8 a pair shares no ba
 estimate lies more than 0.2 under the threshold (over seven standard deviations); all others are
 verified on the full shingle sets of the whole texts.
 
-Documents with one and the same shingle set form a class; classes, not copies, are compared. In each
+Rows with one and the same shingle set form a class, which gets a number of its own when the classes are
+written; classes, not copies, are compared, and neither null nor repeated ids matter to that. In each
 band bucket every class is compared with one pivot (which differs from band to band). After the
 components of the confirmed links are known, the only open pairs are those of a bucket whose members
 lie in different components. The members of such buckets are written as differences from a center,
@@ -21,9 +22,11 @@ component is gathered in a task or on the driver. Broadcasts are of id lists who
 checked first.
 
 Edge cases: null and blank texts have an empty set and link with nothing; a text with fewer words than
-the shingle width is one shingle; rows with null doc_id are not linked (component_id null, kept true);
-rows that repeat a doc_id and text share its result; an empty table gives an empty result; other
-columns are ignored.
+the shingle width is one shingle; rows with a null doc_id are linked like others, but name no component, so
+one whose component holds no id has component_id null and is kept; rows that repeat a doc_id with other
+texts each link by their own text, and rows that repeat a doc_id and a text share their result; ties have no
+effect; very long texts count whole; an empty table gives an empty result; other columns are ignored.
+``representatives`` leaves one row of every component, also where ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.components import connected_components
+from leafmill.llm.rows import keep_one, row_hash
 from leafmill.llm.word_hash import mix64, shingle_set, word_hashes
 from leafmill.session import broadcast_if_small, materialize
 
@@ -44,7 +48,7 @@ REGISTERS = 256
 MANTISSA = 10
 ROWS, BANDS = 6, 42
 
-SIG_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
+SIG_SCHEMA = "doc_id long, row_hash long, n_shingles long, set_a long, set_b long, sig binary"
 
 
 @lru_cache(maxsize=1)
@@ -76,12 +80,13 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return regs
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the shingle set, and the packed registers (null if empty)."""
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (doc_id, row_hash, text) without the text, with n_shingles, a 128-bit hash of the shingle set, and
+    the packed registers (null if empty)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for first, words in word_hashes(texts):
                 sets = [shingle_set(w, width) for w in words]
                 n = np.array([len(s) for s in sets], np.int64)
@@ -91,10 +96,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     sig[k] = r.astype(">u2").tobytes()
                 code = [[mix64(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets] for salt in (0x5BD1E995, 0x1B873593)]
                 code = [np.array(c, np.uint64).view(np.int64) for c in code]
-                cols = [ids.slice(first, len(sets)), pa.array(n), pa.array(code[0]), pa.array(code[1]), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                own = [batch.column(k).slice(first, len(sets)) for k in (0, 1)]
+                cols = [*own, pa.array(n), pa.array(code[0]), pa.array(code[1]), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_hash", "n_shingles", "set_a", "set_b", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIG_SCHEMA)
+    return rows.select("doc_id", "row_hash", "text").mapInArrow(sign, SIG_SCHEMA)
 
 
 @lru_cache(maxsize=4096)
@@ -115,8 +121,8 @@ def estimate(sig_a: bytes, sig_b: bytes, n_a: int, n_b: int) -> float:
     return max(0.0, (equal - chance) / (1 - chance))
 
 
-def _likely(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that size and estimate leave possible."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that size and estimate leave possible."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,14 +130,18 @@ def _likely(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
             keep = [min(na, nb) < REGISTERS or estimate(sa, sb, na, nb) >= percent / 100 - 0.2 for sa, sb, na, nb in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = sig.join(broadcast_if_small(materialize(ids, "pair-ids")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig")
-    left, right = (own.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    own = classes.join(broadcast_if_small(materialize(_both(pairs), "pair-ids")), "cls", "left_semi").select("cls", "n_shingles", "sig")
+    left, right = (own.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return joined.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(test, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _both(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The distinct classes (cls) in two columns of ``pairs``."""
+    return pairs.select(F.col(a).alias("cls")).unionByName(pairs.select(F.col(b).alias("cls"))).distinct()
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,22 +156,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                     keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
-    left, right = (own.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    own = _texts(rows, classes, _both(pairs))
+    left, right = (own.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(test, "a long, b long")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents that ``ids`` (doc_id) names, once each. They are written, so that
-    joins with them begin at an exchange, whose large partitions can be split."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.join(broadcast_if_small(materialize(ids.distinct(), "ids")), "doc_id", "left_semi")
-    return materialize(own.dropDuplicates(["doc_id"]), "texts")
+def _texts(rows: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """cls and text of the classes that ``ids`` (cls) names, once each: the text of the row by which a class is
+    located. They are written, so that joins with them begin at an exchange, whose large partitions can be split."""
+    wanted = classes.join(broadcast_if_small(materialize(ids, "ids")), "cls", "left_semi")
+    wanted = materialize(wanted.select("cls", F.col("at.doc_id").alias("at_id"), F.col("at.row_hash").alias("at_hash")), "places")
+    same = rows["doc_id"].eqNullSafe(wanted["at_id"]) & (rows["row_hash"] == wanted["at_hash"])
+    return materialize(rows.join(broadcast_if_small(wanted), same).select("cls", "text").dropDuplicates(["cls"]), "texts")
 
 
-def _open_pairs(groups: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and candidate pairs in groups of documents around a center (center, doc_id, comp).
+def _open_pairs(groups: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and candidate pairs in groups of classes around a center (center, cls, comp).
 
     Let D(x) be the symmetric difference of x and the center p, k(x) = |D(x)| - f |x| with
     f = (100 - percent) / (100 + percent), and K = f |p|. Two documents are linked exactly when
@@ -169,8 +180,10 @@ def _open_pairs(groups: DataFrame, docs: DataFrame, width: int, percent: int) ->
     holds. So a pair that is not joined through p has one member with k(x) > K, and shares at least
     (k(x) - K) / 2 > 0 elements of D(x), and (k(y) + K) / 2 of D(y). By the prefix principle it agrees
     in an element among the first |D| - need + 1 of both, in an order common to the group: elements
-    that p lacks first, which few documents share. In a group of near copies this leaves a small part of
-    all pairs, and no link is lost."""
+    that p lacks first, which few documents share. At an element with r elements of D(x) behind it, 2 (1 + r)
+    bounds the left side; where no partner's k is low enough for that, a row makes no pairs. In a group of
+    near copies, or of texts that all lack the same part of p, this leaves a small part of all pairs, and no
+    link is lost."""
     f = (100 - percent) / (100 + percent)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,77 +203,108 @@ def _open_pairs(groups: DataFrame, docs: DataFrame, width: int, percent: int) ->
             n, d, k, linked, y, x = zip(*out, strict=True) if out else ((),) * 6
             longs = pa.list_(pa.int64())
             cols = [pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(k, pa.float64()), pa.array(linked, pa.bool_()), pa.array(y, longs), pa.array(x, longs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["center", "doc_id", "comp", "n", "d", "k", "linked", "y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["center", "cls", "comp", "n", "d", "k", "linked", "y", "x"])
 
-    own = _texts(docs, groups.select("doc_id").unionByName(groups.select(F.col("center").alias("doc_id"))))
-    joined = groups.join(own, "doc_id").join(own.select(F.col("doc_id").alias("center"), F.col("text").alias("text_p")), "center")
-    joined = joined.select("center", "doc_id", "comp", "text", "text_p")
-    parts = joined.mapInArrow(part, "center long, doc_id long, comp long, n long, d long, k double, linked boolean, y array<long>, x array<long>")
+    own = _texts(rows, classes, _both(groups, "cls", "center"))
+    joined = groups.join(own, "cls").join(own.select(F.col("cls").alias("center"), F.col("text").alias("text_p")), "center")
+    joined = joined.select("center", "cls", "comp", "text", "text_p")
+    parts = joined.mapInArrow(part, "center long, cls long, comp long, n long, d long, k double, linked boolean, y array<long>, x array<long>")
     parts = materialize(parts, "deltas")
-    near = parts.where("linked AND doc_id <> center").select(F.greatest("doc_id", "center").alias("a"), F.least("doc_id", "center").alias("b"))
+    near = parts.where("linked AND cls <> center").select(F.greatest("cls", "center").alias("a"), F.least("cls", "center").alias("b"))
     side = lambda e: parts.select(
-        "center", *[F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "comp", "n", "d", "k")], F.posexplode(e).alias("pos", "item")
+        "center", *[F.col(c).alias(f"{c}_{e}") for c in ("cls", "comp", "n", "d", "k")], F.posexplode(e).alias("pos", "item")
     ).withColumn(f"rest_{e}", F.col(f"d_{e}") - F.col("pos") - 1).drop("pos", f"d_{e}")
+    keys = ["center", "item"]
+
+    def possible(e: str, other: str) -> DataFrame:
+        """Rows of a side for which some partner at their element could do."""
+        best = side(other).groupBy(*keys).agg(F.min(f"k_{other}").alias("low_k"), F.max(f"rest_{other}").alias("most"))
+        best = materialize(best, "partners")
+        return side(e).join(best, keys).where(f"2 * (1 + least(rest_{e}, most)) >= k_{e} + low_k - 1e-6").drop("low_k", "most")
+
     # At the first element that a pair shares, no more than the elements behind it can follow.
-    pairs = side("x").join(side("y"), ["center", "item"]).where(
+    left, right = materialize(possible("x", "y"), "open-x"), materialize(possible("y", "x"), "open-y")
+    pairs = left.join(right, keys).where(
         f"""comp_x <> comp_y AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)
             AND 2 * (1 + least(rest_x, rest_y)) >= k_x + k_y - 1e-6"""
     )
-    pairs = pairs.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b"))
+    pairs = pairs.select(F.greatest("cls_x", "cls_y").alias("a"), F.least("cls_x", "cls_y").alias("b"))
     return near, pairs.distinct()
 
 
-def _verify(pairs: DataFrame, sig: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    likely = materialize(_likely(materialize(pairs, "pairs"), sig, percent), "likely")
-    return materialize(_confirmed(likely, docs, width, percent), "links")
+def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    likely = materialize(_likely(materialize(pairs, "pairs"), classes, percent), "likely")
+    return materialize(_confirmed(likely, classes, rows, width, percent), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept. Documents
-    are linked when 100 * |A and B| >= percent * |A or B| over their ``width``-word shingle sets."""
-    sig = materialize(signatures(docs, width), "signatures")
-    sets = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    sets = materialize(sets, "classes")
+def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """``rows`` (doc_id, row_hash, text) without the text: n_shingles and the component's number (null for an
+    empty set), with the smallest doc_id of the component."""
+    sig = materialize(signatures(rows, width), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
+    same_set = ["set_a", "set_b", "n_shingles"]
+    classes = sig.where("n_shingles > 0").groupBy(*same_set).agg(F.min(first).alias("at"), F.first("sig").alias("sig"))
+    # The number is unique however often a task is run, and fixed once it is written.
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    reps = sig.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
-    bands = reps.select("doc_id", "n_shingles", F.explode(keys).alias("key"))
-    code = F.col("doc_id").bitwiseXOR(F.col("key"))
+    bands = classes.select("cls", "n_shingles", F.explode(keys).alias("key"))
+    code = F.col("cls").bitwiseXOR(F.col("key"))
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(code).alias("code")).where("size > 1")
     pivots = buckets.select("key", F.col("code").bitwiseXOR(F.col("key")).alias("pivot"))
     # Written first, the grouped side of each join on a bucket's key comes from an exchange of its own,
     # so that adaptive execution can split a hot bucket.
     members = materialize(bands.join(materialize(pivots, "pivots"), "key"), "members")
 
-    ordered = (F.greatest("doc_id", "pivot").alias("a"), F.least("doc_id", "pivot").alias("b"))
-    tried = materialize(members.where("doc_id <> pivot").select(*ordered).distinct(), "star-pairs")
-    links = _verify(tried, sig, docs, width, percent)
+    ordered = (F.greatest("cls", "pivot").alias("a"), F.least("cls", "pivot").alias("b"))
+    tried = materialize(members.where("cls <> pivot").select(*ordered).distinct(), "star-pairs")
+    links = _verify(tried, classes, rows, width, percent)
     labels = materialize(connected_components(links), "labels")
 
     # What is left: pairs that share a bucket and lie in different components.
-    known = labels.select(F.col("id").alias("doc_id"), "component")
-    placed = members.join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    placed = materialize(placed.join(materialize(open_keys, "open-keys"), "key"), "open-members")
-    tally = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    known = labels.select(F.col("id").alias("cls"), "component")
+    inside = members.join(known, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    open_keys = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    inside = materialize(inside.join(materialize(open_keys, "open-keys"), "key"), "open-members")
+    tally = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = tally.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("low"))).alias("main")).select("key", (-F.col("main.low")).alias("center"))
-    groups = placed.join(materialize(main, "main"), "key").select("center", "doc_id", "comp").distinct()
-    near, open_pairs = _open_pairs(materialize(groups, "groups"), docs, width, percent)
-    more = _verify(open_pairs, sig, docs, width, percent).unionByName(near)
+    groups = inside.join(materialize(main, "main"), "key").select("center", "cls", "comp").distinct()
+    near, open_pairs = _open_pairs(materialize(groups, "groups"), classes, rows, width, percent)
+    more = _verify(open_pairs, classes, rows, width, percent).unionByName(near)
     stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    labels = materialize(connected_components(stars.unionByName(more)), "labels")
-
-    named = labels.select(F.col("id").alias("rep"), "component")
-    classes = sets.join(named, "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    rows = sig.select("doc_id", "n_shingles", "set_a", "set_b")
-    joined = rows.join(classes, ["set_a", "set_b", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    labels = materialize(connected_components(stars.unionByName(more)).select(F.col("id").alias("cls"), "component"), "components")
+
+    ids = classes.select(*same_set, "cls", F.col("at.doc_id").alias("low"))
+    least = labels.join(ids.select("cls", "low"), "cls").groupBy("component").agg(F.min("low").alias("least_id"))
+    labels = labels.join(broadcast_if_small(materialize(least, "least-ids")), "component")
+    named = ids.join(materialize(labels, "labels"), "cls", "left")
+    named = named.select(*same_set, F.coalesce("component", "cls").alias("component"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least_id")).alias("least_id"))
+    return sig.drop("sig").join(named, same_set, "left")
+
+
+def _with_hash(docs: DataFrame, of: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of.alias("row_hash"), F.col("text"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept. Documents
+    are linked when 100 * |A and B| >= percent * |A or B| over their ``width``-word shingle sets."""
+    linked = _linked(_with_hash(docs, F.xxhash64("text")), width, percent)
+    own = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    out = linked.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with one row of each component: that of smallest doc_id, null last.
+    Documents with an empty set all stay."""
+    linked = _linked(_with_hash(docs, row_hash(docs)), width, percent)
+    linked = materialize(linked.where("component IS NOT NULL").select("doc_id", "row_hash", F.col("component").alias("grp")), "linked")
+    grown = linked.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    return keep_one(docs, linked.join(materialize(grown, "grown"), "grp", "left_semi"))
 
 
 ORACLE = r"""
