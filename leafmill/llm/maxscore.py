@@ -1,21 +1,28 @@
 """Exact top-k by integer inner product with MaxScore.
 
-A query's terms are its dimensions; the score of a vector is the sum of the terms' contributions
-``q[d] * x[d]``. For a shard of vectors each term has a least and a greatest contribution. Terms are
-ordered by the width of that range. The wide (essential) ones are traversed for all vectors of the
-shard; a vector stays a candidate while its partial score plus the greatest contribution of the
-terms not yet seen reaches the threshold, the k-th best score known so far. The other terms are probed,
-a few at a time, for the candidates only. A shard returns its k best for each query; a grouped rank
-over these merges the shards.
-
-Scale: shards and query blocks hold a bounded number of vectors. They meet in the cells of a grid
-(query block x shard), one task input each, so neither the queries nor the vectors are ever in one
-task or broadcast; the work is that of a stated query set against all rows, in blocks.
+A query's terms are its dimensions, a term's weight is the query's component, and a posting (row, value) says that a
+vector's component is not zero. A shard keeps one postings list a term, by row, with the greatest and the
+least value of each stretch of ``STRETCH`` rows. For a query these give every term a score bound in a
+stretch: the most that it can add, zero at least, since a row may be missing from the list.
+
+A query works through the stretches of a shard with the k-th best score so far as its threshold. Terms are put in the
+order of their bounds; the longest run of the smallest ones whose bounds together stay under the threshold is
+non-essential: a row that occurs in none of the other lists cannot reach it. Only the postings of the
+essential terms are traversed. A row stays competitive while its partial score and the bounds of the terms not
+yet looked at reach the threshold; for such rows the other lists are probed by binary search, greatest bound
+first, a few at a time. The threshold rises from stretch to stretch. A shard returns its k best for each query; a grouped rank over
+these merges the shards.
+
+Scale: shards and query blocks hold a bounded number of vectors. They meet in the cells of a grid (query block x
+shard), one task input each, so neither the queries nor the vectors are ever in one task or broadcast; the work
+is that of a stated query set against all rows, in blocks. A cell reads BLOCK + SHARD vectors for BLOCK * SHARD
+scores, so each vector's copy is paid for by a thousand or more scores of its own, at any size.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors
 whose length differs from the query's are no candidates for it; ties go to the smaller vec_id; rows
-with null vec_id take no part; rows that repeat a vec_id other than the query's are candidates each;
-an empty table gives an empty result; other columns are ignored.
+with null vec_id take no part; rows that repeat a vec_id other than the query's are candidates each, and rows
+that repeat a query's vec_id are queries whose hits share one list of ranks; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,53 +36,93 @@ from pyspark.sql import functions as F
 
 SHARD = 8192
 BLOCK = 2048
-#: Essential terms are those whose bounds make up this share of the total.
-ESSENTIAL = 0.7
-PROBE = 8
+STRETCH = 2048
+#: Lists that are probed before rows that have fallen behind are left out.
+PROBE = 6
 
 SCHEMA = "query_id long, vec_id long, score long"
 
 
-def top_of_shard(query: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
-    """The k best (score, id) of a shard for one query; ``ids`` ascend, ``low``/``high`` bound each column."""
-    ends = np.stack([query * low, query * high])
-    most = ends.max(axis=0)
-    order = np.argsort(ends.min(axis=0) - most, kind="stable")
-    width = np.cumsum((most - ends.min(axis=0))[order])
-    cut = int(np.searchsorted(width, ESSENTIAL * width[-1])) + 1
-    essential, others = order[:cut], order[cut:]
-    live = np.flatnonzero(ids != q_id)
-    partial = x[live][:, essential] @ query[essential] if len(live) < len(ids) - 1 else (x[:, essential] @ query[essential])[live]
-    rest = most[others].sum()
-    floor = -np.inf
-    if len(live) > k and len(others):
-        # Full scores of the vectors that lead so far give a threshold that k vectors reach.
-        lead = live[np.argpartition(-partial, k - 1)[:k]]
-        floor = (x[lead] @ query).min()
-    at = 0
-    while at < len(others):
-        keep = partial + rest >= floor
-        live, partial = live[keep], partial[keep]
-        terms = others[at : at + PROBE]
-        partial = partial + x[np.ix_(live, terms)] @ query[terms]
-        rest -= most[terms].sum()
-        at += PROBE
-        if len(live) > k:
-            floor = max(floor, np.partition(partial, len(live) - k)[len(live) - k] + (ends.min(axis=0)[others[at:]].sum()))
-    best = np.lexsort((ids[live], -partial))[:k]
-    return partial[best], ids[live][best]
+class Postings:
+    """The inverted lists of a shard (rows x terms, whole numbers), stretch by stretch. A list that holds most rows
+    of a stretch is kept as one value a row, zeros included; the others as ascending rows and their values."""
+
+    def __init__(self, x: np.ndarray):
+        self.stretches: list[tuple] = []
+        for at in range(0, len(x), STRETCH):
+            own = x[at : at + STRETCH]
+            whole = np.flatnonzero((own != 0).sum(axis=0) * 2 > len(own))
+            place = np.full(x.shape[1], -1)
+            place[whole] = np.arange(len(whole))
+            sparse = {t: (r, own[r, t]) for t in np.flatnonzero(place < 0) if len(r := np.flatnonzero(own[:, t]))}
+            self.stretches.append((at, len(own), np.ascontiguousarray(own[:, whole].T), place, sparse, own.min(axis=0), own.max(axis=0)))
+
+    def top(self, query: np.ndarray, k: int, skip: np.ndarray | None = None, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, rows) of the k best rows but those in ``skip``, and all that tie with the last of them.
+        ``seen`` is given the number of postings traversed in each stretch."""
+        scores, rows = np.zeros(0), np.zeros(0, np.int64)
+        floor = -np.inf
+        for at, n, lists, place, sparse, low, high in self.stretches:
+            most = np.maximum(np.maximum(query * low, query * high), 0.0)
+            order = np.argsort(most, kind="stable")
+            upto = np.cumsum(most[order])
+            cut = int(np.searchsorted(upto, floor, side="left")) if floor > -np.inf else 0
+            others, essential = order[:cut][::-1], order[cut:]
+            rest = upto[cut - 1] if cut else 0.0
+            dense = essential[place[essential] >= 0]
+            partial = query[dense] @ lists[place[dense]]
+            live = np.full(n, cut == 0 or len(dense) > 0)
+            traversed = len(dense) * n
+            if sparse:
+                for t in essential:
+                    if t in sparse:
+                        held, value = sparse[t]
+                        partial[held] += query[t] * value
+                        live[held] = True
+                        traversed += len(held)
+            if seen is not None:
+                seen.append(traversed)
+            live &= partial + rest >= floor
+            if skip is not None:
+                live[skip[(skip >= at) & (skip < at + n)] - at] = False
+            live = np.flatnonzero(live)
+            partial = partial[live]
+            for first in range(0, len(others), PROBE):
+                terms = others[first : first + PROBE]
+                rest -= most[terms].sum()
+                dense = terms[place[terms] >= 0]
+                partial = partial + query[dense] @ lists[place[dense][:, None], live]
+                for t in terms if sparse else ():
+                    if t in sparse:
+                        held, value = sparse[t]
+                        found = np.minimum(np.searchsorted(held, live), len(held) - 1)
+                        partial = partial + np.where(held[found] == live, value[found], 0.0) * query[t]
+                keep = partial >= floor - max(rest, 0.0)
+                live, partial = live[keep], partial[keep]
+                if not len(live):
+                    break
+            scores, rows = np.append(scores, partial), np.append(rows, live + at)
+            if len(scores) >= k:
+                floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+                keep = scores >= floor
+                scores, rows = scores[keep], rows[keep]
+        return scores, rows
+
+
+def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    vectors = vectors.sort_values("vec_id", kind="stable")
+    ids = vectors["vec_id"].to_numpy()
+    index = Postings(np.stack(vectors["v"].to_numpy()))
+    for q_id, q in zip(queries["vec_id"], queries["v"], strict=True):
+        own = np.arange(np.searchsorted(ids, q_id), np.searchsorted(ids, q_id, side="right"))
+        scores, rows = index.top(np.asarray(q), k, own)
+        best = np.lexsort((ids[rows], -scores))[:k]
+        yield pd.DataFrame({"query_id": q_id, "vec_id": ids[rows[best]], "score": scores[best].astype(np.int64)})
 
 
 def _cell(k: int):
     def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(vectors):
-            vectors = vectors.sort_values("vec_id", kind="stable")
-            ids, x = vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy())
-            low, high = x.min(axis=0), x.max(axis=0)
-            for q_id, q in zip(queries["vec_id"], queries["v"], strict=True):
-                score, found = top_of_shard(np.asarray(q), q_id, ids, x, low, high, k)
-                out.append(pd.DataFrame({"query_id": q_id, "vec_id": found, "score": score.astype(np.int64)}))
+        out = list(_best(queries, vectors, k)) if len(queries) and len(vectors) else []
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
 
     return run
