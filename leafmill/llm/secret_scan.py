@@ -10,8 +10,8 @@ Spans are in code points, end exclusive. The key of a document is a hash of doc_
 collision can only add a candidate, which verification settles, so no id has to be unique or non-null.
 
 Scale: a document yields at most one posting per indexed trigram (a few dozen), postings are shuffled
-by document key, and texts are shuffled once to meet their candidates; no key is hot, because keys are
-per document. Copies that repeat doc_id and text share a key, and the equi-join with the (distinct)
+by document key. Candidates, a key and its rules' names each, are written and broadcast where there are few of
+them; else texts are shuffled once to meet them. No key is hot, because keys are per document. Copies that repeat doc_id and text share a key, and the equi-join with the (distinct)
 candidates is split by adaptive execution if one is hot.
 
 Edge cases: null text counts as empty and gives zero counts, the hash of the empty string and an empty
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.textnorm import text_or_empty
 from leafmill.llm.trigram_query import trigram_query
+from leafmill.session import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             least = Rule(rule.kind, rule.pattern.removesuffix("+") + f"{{{rule.least},}}", rule.least)
             wanted, spans = F.col("text").rlike(least.pattern), _spans(F.col("text"), least, n)
         per_rule.append(F.when(wanted, spans).otherwise(none))
-    joined = keyed.join(hits, "key", "left")
+    joined = keyed.join(broadcast_if_small(materialize(hits, "candidates")), "key", "left")
     return joined.select("doc_id", F.array_sort(F.concat(*per_rule)).alias("found"))
 
 
