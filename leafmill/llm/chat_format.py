@@ -12,7 +12,9 @@ gathered in a task; ``assemble`` does that for those who want whole strings, one
 must fit a row there (Spark's bound is 2 GB; a larger one is an error, not left out).
 
 Two pairings of plain conversations: ``repeated_answer_pairs`` has those with two assistant turns or more, up to the
-last of these; ``preference_pairs`` has every conversation with all its turns.
+last of these; ``preference_sides`` has every conversation with all its turns, and is what the queries use. Its sides
+come from one table, so no join of conversations is made: one exchange puts the turns in order, and what is known
+of a pair (where it forks, what is said instead) is one row a pair, broadcast where there are few of them.
 
 Edge cases: rows with null pair id or turn are left out; a null role or text counts as empty; of rows
 that repeat a (pair, turn) the smallest (role, text) counts; a side that ends earlier differs at the
@@ -26,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import broadcast_if_small, materialize
+
 KEYS = ["pair_id", "turn"]
 
 
@@ -42,10 +46,16 @@ def rendered(role: Column, text: Column) -> Column:
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """``chosen`` and ``rejected``: pair_id, turn, role, text. Returns pair_id, part, turn, role,
     rendered, loss."""
-    both = _turns(chosen, "c").join(_turns(rejected, "r"), KEYS, "full_outer")
-    both = both.withColumn("differs", ~F.col("c").eqNullSafe(F.col("r")))
-    cut = both.groupBy("pair_id").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("cut"))
-    joined = both.join(cut, "pair_id").withColumn("shared", F.col("cut").isNull() | (F.col("turn") < F.col("cut")))
+    return format_joined(_turns(chosen, "c").join(_turns(rejected, "r"), KEYS, "full_outer"))
+
+
+def format_joined(both: DataFrame) -> DataFrame:
+    """``format_preferences`` of sides that are joined already: pair_id, turn, and what is said (role, text) in ``c``
+    and ``r``, null where a side has no such turn."""
+    both = materialize(both, "sides")
+    cut = both.where(~F.col("c").eqNullSafe(F.col("r"))).groupBy("pair_id").agg(F.min("turn").alias("cut"))
+    joined = both.join(broadcast_if_small(materialize(cut, "cuts")), "pair_id", "left")
+    joined = joined.withColumn("shared", F.col("cut").isNull() | (F.col("turn") < F.col("cut")))
     part = lambda name, said: F.struct(F.lit(name).alias("part"), F.col(said).alias("said"))
     parts = F.when(F.col("shared"), F.array(part("prompt", "c"))).otherwise(F.array(part("chosen", "c"), part("rejected", "r")))
     rows = joined.select("pair_id", "turn", F.explode(parts).alias("p")).where("p.said IS NOT NULL")
@@ -92,58 +102,37 @@ def repeated_answer_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFram
     return chosen.select("pair_id", "turn", "role", "text"), keep.unionByName(last)
 
 
-def preference_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A pair for every conversation (conv_id, turn, role, text), all turns kept. The whole conversation is chosen.
-    It is rejected with every assistant turn from one of them on repeating the text last said before that one
-    (empty if nothing was); which one is picked by a hash of (conv_id, turn). With one assistant turn that is
-    the one; with none both sides are equal, which gives a prompt and no completions."""
-    rows = _turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"), "said")
-    chosen = rows.select(*KEYS, "said.role", "said.text")
-    key = F.struct(F.sha2(F.concat_ws(":", F.col("pair_id").cast("string"), F.col("turn").cast("string")), 256).alias("hash"), F.col("turn").alias("turn"))
-    cuts = chosen.where("role = 'assistant'").groupBy("pair_id").agg(F.min(key)["turn"].alias("cut"))
-    cut = chosen.join(cuts, "pair_id", "left")
-    said = cut.where("turn < cut").groupBy("pair_id").agg(F.max(F.struct("turn", "text"))["text"].alias("instead"))
-    text = F.when((F.col("turn") >= F.col("cut")) & (F.col("role") == "assistant"), F.coalesce("instead", F.lit(""))).otherwise(F.col("text"))
-    return chosen, cut.join(said, "pair_id", "left").select(*KEYS, "role", text.alias("text"))
+def preference_sides(conversations: DataFrame) -> DataFrame:
+    """A pair for every conversation (conv_id, turn, role, text), all turns kept, its sides joined. The whole
+    conversation is chosen. It is rejected with every assistant turn from one of them on repeating the text last
+    said before that one (empty if nothing was); which one is picked by a hash of (conv_id, turn). With one
+    assistant turn that is the one; with none both sides are equal, which gives a prompt and no completions."""
+    rows = materialize(_turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"), "c"), "turns")
+    hash_ = F.sha2(F.concat_ws(":", F.col("pair_id").cast("string"), F.col("turn").cast("string")), 256)
+    cuts = rows.where("c.role = 'assistant'").groupBy("pair_id").agg(F.min(F.struct(hash_.alias("hash"), F.col("turn").alias("turn")))["turn"].alias("cut"))
+    cut = rows.join(broadcast_if_small(materialize(cuts, "cuts")), "pair_id", "left")
+    said = cut.where("turn < cut").groupBy("pair_id").agg(F.max(F.struct("turn", "c.text"))["text"].alias("instead"))
+    other = cut.join(broadcast_if_small(materialize(said, "said")), "pair_id", "left")
+    again = (F.col("turn") >= F.col("cut")) & (F.col("c.role") == "assistant")
+    text = F.when(again, F.coalesce("instead", F.lit(""))).otherwise(F.col("c.text"))
+    return other.select(*KEYS, "c", F.struct(F.col("c.role").alias("role"), text.alias("text")).alias("r"))
+
+
+def preference_turns(conversations: DataFrame) -> DataFrame:
+    """The rendered turns of ``preference_sides``, one row each."""
+    return format_joined(preference_sides(conversations))
 
 
 def preference_rows(conversations: DataFrame) -> DataFrame:
     """One row for every conversation: pair_id, prompt, chosen, rejected, and the loss spans of the completions as
     start:stop, comma-joined."""
-    whole = assemble(format_preferences(*preference_pairs(conversations)))
+    whole = assemble(preference_turns(conversations))
     one = lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))
     listed = [F.array_join(F.transform(f"{p}_loss", one), ",").alias(f"{p}_loss") for p in ("chosen", "rejected")]
     return whole.select("pair_id", "prompt", "chosen", "rejected", *listed)
 
 
-ORACLE = r"""
-WITH t AS (
-  SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
-ends AS (
-  SELECT conv_id AS pair_id, min(turn) FILTER (WHERE role = 'assistant') AS first, max(turn) FILTER (WHERE role = 'assistant') AS last
-  FROM conversations GROUP BY 1),
-f AS (
-  SELECT pair_id, last, (SELECT min(coalesce(text, '')) FROM conversations c WHERE c.conv_id = e.pair_id AND c.turn = e.first) AS instead
-  FROM ends e WHERE first < last),
-c AS (SELECT t.* FROM t JOIN f USING (pair_id) WHERE turn <= last),
-r AS (SELECT t.* FROM t JOIN f USING (pair_id) WHERE turn < last
-      UNION ALL SELECT pair_id, last, {'role': 'assistant', 'text': instead} FROM f),
-b AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.said AS c, r.said AS r,
-             c.said IS DISTINCT FROM r.said AS differs
-      FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.turn = r.turn),
-k AS (SELECT *, min(turn) FILTER (WHERE differs) OVER (PARTITION BY pair_id) AS cut FROM b),
-p AS (
-  SELECT pair_id, turn, 'prompt' AS part, c AS said FROM k WHERE cut IS NULL OR turn < cut
-  UNION ALL SELECT pair_id, turn, 'chosen', c FROM k WHERE turn >= cut
-  UNION ALL SELECT pair_id, turn, 'rejected', r FROM k WHERE turn >= cut)
-SELECT pair_id, part, turn, said.role AS role, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered,
-       part <> 'prompt' AND said.role = 'assistant' AS loss
-FROM p WHERE said IS NOT NULL
-"""
-
-#: Of ``preference_rows``.
-PAIRS_ORACLE = r"""
+_PARTS = r"""
 WITH t AS (
   SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
@@ -160,7 +149,17 @@ k AS (SELECT *, min(turn) FILTER (WHERE said IS DISTINCT FROM other) OVER (PARTI
 p AS (
   SELECT pair_id, turn, 'prompt' AS part, said FROM k WHERE fork IS NULL OR turn < fork
   UNION ALL SELECT pair_id, turn, 'chosen', said FROM k WHERE turn >= fork
-  UNION ALL SELECT pair_id, turn, 'rejected', other FROM k WHERE turn >= fork),
+  UNION ALL SELECT pair_id, turn, 'rejected', other FROM k WHERE turn >= fork)"""
+
+#: Of ``preference_turns``.
+ORACLE = _PARTS + r"""
+SELECT pair_id, part, turn, said.role AS role, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered,
+       part <> 'prompt' AND said.role = 'assistant' AS loss
+FROM p
+"""
+
+#: Of ``preference_rows``.
+PAIRS_ORACLE = _PARTS + r""",
 r AS (SELECT *, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered FROM p),
 s AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM r)
 SELECT pair_id,

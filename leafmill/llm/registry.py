@@ -25,8 +25,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat_format.repeated_answer_pairs(_table(spark, sf_dir, "conversations"))
-    return chat_format.format_preferences(*pairs)
+    return chat_format.preference_turns(_table(spark, sf_dir, "conversations"))
 
 
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
