@@ -10,16 +10,16 @@ A paragraph's features are its distinct word 1- and 2-grams (lower-cased words o
 letters, digits, dots and hyphens) that occur in the templates. A multinomial logistic regression over
 these sparse features, with a class ``unknown``, is trained on the templates, on parts of them, and on
 ``max_negatives`` paragraphs of the corpus that no template resembles. Its scores are calibrated by a
-temperature fitted on held-out training rows. A paragraph with a predicted family of probability
-``least`` or more is confirmed by comparing it with that family's templates: the share of some
-template's n-grams that the paragraph holds must reach ``cover``. Whole texts are read, however
+temperature fitted on held-out training rows. The class of greatest probability is the prediction; a family,
+not ``unknown``, of probability ``least`` or more is confirmed by comparing the paragraph with that family's
+templates: the share of some template's n-grams that it holds must reach ``cover``. No other family is tried. Whole texts are read, however
 long. A finding's start and stop are those of the lines that it touches; findings of one family that share a line
 are one; different families on one line are one finding each.
 
 Scale: a map without a shuffle over whole texts. A line without one of the templates' anchor words
 cannot reach the cover and is passed over by one regex search; windows are looked for only in texts that have
 enough words of a template, around its 2-grams. The model (some thousand weights) is broadcast;
-training reads a bounded, documented sample.
+training reads a sample of at most about ``max_negatives`` texts.
 
 Edge cases: null and empty texts have no licence; one row per finding in ``find_licences`` and one per
 document in ``licence_report`` (n_licences 0, families empty); repeated rows get equal answers; an
@@ -90,6 +90,7 @@ def _lowered(text: str) -> str:
 
 class Classifier:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
+        self.source = templates
         self.families = [*templates, UNKNOWN]
         self.templates = [(self.families.index(f), frozenset(_grams(words(t)))) for f, ts in templates.items() for t in ts]
         self.index = {g: k for k, g in enumerate(sorted(set().union(*(g for _, g in self.templates))))}
@@ -103,7 +104,7 @@ class Classifier:
 
     def _examples(self, negatives: list[str]) -> tuple[list[list[int]], np.ndarray]:
         rows, labels = [], []
-        for label, ts in enumerate(TEMPLATES.values()):
+        for label, ts in enumerate(self.source.values()):
             for t in ts:
                 tokens = words(t)
                 for size in (1.0, 0.8, 0.6):
@@ -171,14 +172,12 @@ class Classifier:
         s = self.w[rows].sum(axis=0) / self.temperature
         p = np.exp(s - s.max())
         p /= p.sum()
+        best = int(np.argmax(p))
+        if self.families[best] == UNKNOWN or p[best] < least:
+            return None
         held = set(_grams(tokens))
-        best = None
-        for k in np.argsort(-p[:-1]):
-            share = max(len(held & t) / len(t) for f, t in self.templates if f == k)
-            if p[k] >= least and share >= cover:
-                best = (self.families[k], float(p[k]), share)
-                break
-        return best
+        share = max(len(held & t) / len(t) for f, t in self.templates if f == best)
+        return (self.families[best], float(p[best]), share) if share >= cover else None
 
 
 class Notices:
@@ -291,10 +290,11 @@ class Notices:
         return sorted((f for own in out.values() for f in own), key=lambda f: (f["start"], f["stop"], f["family"]))
 
 
-def train(docs: DataFrame, max_negatives: int = 2000) -> Classifier:
+def train(docs: DataFrame, max_negatives: int = 2000, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Classifier:
     """Fit on the templates and on paragraphs (at most ``max_negatives``) of a hash-picked sample of the
-    corpus that share at most two n-grams with any template."""
-    model = Classifier()
+    corpus that share at most two n-grams with any template: of each sampled text its longest line, of which the
+    known n-grams are all that a feature needs."""
+    model = Classifier(templates)
     rows = docs.where("text IS NOT NULL").select("doc_id", "text")
     total = rows.count()
     if total > max_negatives:
@@ -304,13 +304,13 @@ def train(docs: DataFrame, max_negatives: int = 2000) -> Classifier:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                line = max(text.split("\n")[:50], key=len)[:400]
-                if len(model.features(words(line))) <= 3:
-                    out.append(line)
+                known = sorted({g for g in _grams(words(max(text.split("\n"), key=len))) if g in model.index})
+                if len(known) <= 2:
+                    out.append(" zzz ".join(known))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
 
     lines = sorted(rows.select("text").mapInArrow(pick, "line string").toArrow()["line"].to_pylist())[:max_negatives]
-    return Classifier().fit(lines)
+    return Classifier(templates).fit(lines)
 
 
 FOUND = "array<struct<family:string,probability:double,cover:double,start:int,stop:int>>"
