@@ -8,17 +8,19 @@ distribution over cells. Counts cover a hash-picked share of the labelled rows,
 Prediction: each document's language proportions are estimated by expectation-maximisation over its
 trigrams. From the full mixture, languages are taken away smallest first; the set with the best
 log-likelihood minus ``penalty * (languages - 1) * log(trigrams)`` is the document's language set,
-and its largest language the prediction.
+and its largest language the prediction. A document that even its best set explains worse than chance (all
+cells alike), by ``EVIDENCE`` nats or more, is in none of the learned languages; ``identified`` leaves it out.
 
 Scale: training is one pass with a count table of bounded size (cells x languages) per partition,
-merged by a grouped sum; the model that goes to the executors has at most ``max_langs`` x cells numbers
-whatever the data. Prediction is a map without a shuffle. Texts are processed whole, in bounded
+merged by a grouped sum; the model that goes to the executors has cells times languages numbers, whatever the
+data. More than ``max_langs`` labels are an error, not cut. Prediction is a map without a shuffle. Texts are processed whole, in bounded
 batches of characters.
 
 Edge cases: null text or text without a letter gives ``und`` with score 0; text whose trigrams are all
 unseen gets the most common label's smoothed likelihood, so still a learned language; without any
-labelled row every prediction is ``und`` (``identified`` then keeps the texts with a letter); null ids are hashed as an empty text; repeated rows get equal
-answers; an empty table gives an empty result; other columns are ignored.
+labelled row every prediction is ``und`` (``identified`` then keeps the texts with a letter); of equal shares the
+language first in order is predicted; null ids are hashed as an empty text; repeated rows get equal
+answers; an empty table gives an empty result; other columns are ignored (kept by ``identified``).
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BITS = 15
 CELLS = 1 << BITS
 CHUNK = 1 << 20
 UND = "und"
+#: Nats by which chance must explain a text better than the learned languages do for it to be in none of them.
+EVIDENCE = 20.0
 _alphabet: list[np.ndarray] = []
 
 
@@ -102,11 +106,12 @@ class Model:
                 break
         return share, float(n @ np.log(like @ share))
 
-    def languages(self, text: str, rounds: int = 12, penalty: float = 1.0) -> list[tuple[str, float]]:
-        """The selected languages with their proportions, largest first; empty without letters."""
+    def select(self, text: str, rounds: int = 12, penalty: float = 1.0) -> tuple[list[tuple[str, float]], float]:
+        """The selected languages with their proportions, largest first (none without letters or languages), and
+        by how many nats they explain the text better than chance."""
         cell, n = _document(text)
         if not len(cell) or not self.langs:
-            return []
+            return [], 0.0
         like = self.like[cell]
         live = np.arange(len(self.langs))
         price = penalty * np.log(max(2, n.sum()))
@@ -115,15 +120,23 @@ class Model:
             share, fit = self.proportions(like[:, live], n, rounds)
             score = fit - price * (len(live) - 1)
             if score > best_score:
-                best, best_score = (live, share), score
+                best, best_score = (live, share, fit), score
             if len(live) == 1:
                 break
             # Shares that have all but vanished go at once; each step drops one at least.
             keep = share > max(1e-3, share.min())
             live = live[keep] if keep.any() else live[:1]
-        live, share = best
+        live, share, fit = best
         order = np.lexsort((live, -share))
-        return [(self.langs[live[k]], float(min(1.0, max(0.0, share[k])))) for k in order]
+        return [(self.langs[live[k]], float(min(1.0, max(0.0, share[k])))) for k in order], fit + float(n.sum()) * np.log(CELLS)
+
+    def languages(self, text: str, rounds: int = 12, penalty: float = 1.0) -> list[tuple[str, float]]:
+        return self.select(text, rounds, penalty)[0]
+
+    def recognises(self, text: str) -> bool:
+        """The text has letters, and the learned languages explain it as well as chance does, or nearly."""
+        found, better = self.select(text)
+        return bool(found) and better > -EVIDENCE
 
 
 def held_out(doc_id: Column) -> Column:
@@ -131,11 +144,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(labelled: DataFrame, max_train: int = 200_000, max_langs: int = 256) -> Model:
+def train(labelled: DataFrame, max_train: int = 200_000, max_langs: int = 1024) -> Model:
     """Learn from ``labelled`` (doc_id, text, lang). At most about ``max_train`` rows are counted,
-    picked by a hash of doc_id; the ``max_langs`` most frequent labels are learned."""
+    picked by a hash of doc_id; all labels are learned. More than ``max_langs`` of them, for which a driver would
+    have to be larger, raise ValueError."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    per = rows.groupBy("lang").count().limit(max_langs + 1).collect()
+    if len(per) > max_langs:
+        raise ValueError(f"more than {max_langs} labels; raise max_langs if the driver can hold {CELLS} counts for each")
     langs = sorted(r["lang"] for r in per)
     total = sum(r["count"] for r in per)
     if total > max_train:
@@ -187,7 +203,7 @@ def language_id(docs: DataFrame, **settings) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` (text and any other columns, all kept) whose language is not ``und``; where no
+    """The rows of ``docs`` (text and any other columns, all kept) that are in a learned language; where no
     language was learned, the rows whose text has a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -196,7 +212,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         own = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            known = [bool(own.languages(t)) if own.langs else any(len(c) for c in cells(t)) for t in texts]
+            known = [own.recognises(t) if own.langs else any(len(c) for c in cells(t)) for t in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
