@@ -48,7 +48,7 @@ def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column], name:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     totals = totals.select("part", *[F.coalesce(F.sum(f"{k}_part").over(earlier), F.lit(0)).alias(f"{k}_part") for k in sums])
     within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.join(broadcast_if_small(materialize(totals, name)), "part")
+    out = parts.join(F.broadcast(totals), "part")  # one row for each part
     for k, c in sums.items():
         out = out.withColumn(k, F.col(f"{k}_part") + F.coalesce(F.sum(c).over(within), F.lit(0)))
     return out.drop("part", *[f"{k}_part" for k in sums])
@@ -63,12 +63,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     per = per.withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
     per = per.withColumn("cap", max_epochs * F.col("source_size")).withColumn("level", F.col("cap") / F.col("weight"))
     per = _before(per, [F.col("level").asc(), by_name], {"capped": F.col("cap"), "weighed": F.col("weight")}, "mix-levels")
-    per = materialize(per, "mix-levels")
     whole = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
     per = per.join(F.broadcast(whole), F.lit(True), "left")  # one row
     # With the sources before this one capped, the level that the rest would share.
     shared = (share * F.col("words") - F.col("capped")) / (F.col("weights") - F.col("weighed"))
-    per = materialize(per.withColumn("shared", shared), "mix-shared")
+    per = materialize(per.withColumn("shared", shared), "mix-shares")
     # The water level is that of the first source that its cap does not stop.
     place = F.struct("level", F.col("source").isNull().alias("last"), "source", "shared")
     water = per.agg(F.min(F.when(F.col("shared") <= F.col("level"), place))["shared"].alias("water"))
