@@ -15,14 +15,15 @@ for a BPE model that is not always the one its merges would give.
 Spaces become U+2581 after one leading U+2581 is put in front. In such models U+2581 stands only at the
 start of a piece, so every segmentation has a border before each run of U+2581, and a text falls
 apart, without any approximation, into units of a run and what follows. Units are segmented once per
-task in numpy batches and then looked up. Decoding restores the text exactly: U+2581 in the input
+task in numpy batches (a few long ones, as of text without spaces, one by one) and then looked up. Decoding restores the text exactly: U+2581 in the input
 itself is written in bytes.
 
 Scale: a map without a shuffle over whole texts in bounded pieces; the automaton (some MB, fixed by the
 model file) is broadcast; the table of known units is emptied when it reaches ``KNOWN`` entries.
 
-Edge cases: null stays null ids; empty text gives an empty list; repeated rows get equal answers; an
-empty table gives an empty result; other columns stay as they are (``encode_column``).
+Edge cases: null stays null ids; empty text gives an empty list; repeated rows get equal answers; of segmentations
+of equal score the one with longer last pieces is taken; an empty table gives an empty result; columns beside the
+text and those to ``keep`` are left out, and one to keep may not have the name of a result.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ OWN_MARK = "\udfff"
 BYTE_COST = 10.0
 KNOWN = 300_000
 PIECE_CHARS = 1 << 20
+#: Under so many units of more than so many characters, a step over all of them at once costs more than one by one.
+FEW, BRIEF = 48, 64
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -90,6 +93,7 @@ class Automaton:
         self.piece, self.depth = np.array(piece, np.int32), np.array(depth, np.int32)
         whole = np.round(np.array(scores) * 65536).astype(np.int64)
         self.score = np.where(self.piece >= 0, whole[self.piece], 0)
+        self.links: tuple | None = None
         self.byte_score = int(whole[np.array(usable)].min() - BYTE_COST * 65536)
         if any(MARK in p.lstrip(MARK) for p, u in zip(pieces, usable, strict=True) if u):
             raise ValueError("a piece holds U+2581 after another character")
@@ -109,8 +113,44 @@ class Automaton:
             state[todo] = self.fail[state[todo]]
         return state
 
+    def segment_long(self, unit: str) -> np.ndarray:
+        """Piece ids of one unit, character by character: for long units of which there are few."""
+        if self.links is None:
+            go = dict(zip(self.keys.tolist(), self.targets.tolist(), strict=True))
+            self.links = go, *(x.tolist() for x in (self.fail, self.out, self.piece, self.depth, self.score))
+        go, fail, out, piece, depth, score = self.links
+        best, back, state = [0] * (len(unit) + 1), [0] * (len(unit) + 1), 0
+        for pos, c in enumerate(map(ord, unit)):
+            while (to := go.get(state << 21 | c)) is None and state:
+                state = fail[state]
+            state = to or 0
+            wide = 3 if c == ord(OWN_MARK) else 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+            top, by = best[pos] + wide * self.byte_score, 0
+            at = state if piece[state] >= 0 else out[state]
+            while at:
+                reach = best[pos + 1 - depth[at]] + score[at]
+                if reach > top:
+                    top, by = reach, at
+                at = out[at]
+            best[pos + 1], back[pos + 1] = top, by
+        ids: list[int] = []
+        pos = len(unit)
+        while pos:
+            at = back[pos]
+            if at:
+                ids.append(piece[at])
+                pos -= depth[at]
+            else:
+                pos -= 1
+                raw = MARK if unit[pos] == OWN_MARK else unit[pos]
+                ids.extend(self.byte_ids[list(raw.encode("utf-8", "surrogatepass"))[::-1]].tolist())
+        return np.array(ids[::-1], np.int32)
+
     def segment(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the units, flat, and how many each has."""
+        if len(units) < FEW and max(map(len, units)) > BRIEF:
+            each = [self.segment_long(u) for u in units]
+            return np.concatenate(each), np.array([len(x) for x in each])
         raw = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         size = np.array([len(u) for u in units])
         begin = np.cumsum(size) - size
@@ -303,6 +343,8 @@ def _chunks(texts: list[str | None], chars: int = PIECE_CHARS) -> Iterator[tuple
 def encode_report(docs: DataFrame, path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs`` (text and the ``keep`` columns): keep, n_tokens, n_bytes (pieces
     written in bytes), round_trip (decoding gives the text back), ids."""
+    if set(keep) & {"n_tokens", "n_bytes", "round_trip", "ids"}:
+        raise ValueError("a column to keep has the name of a result")
     sent = docs.sparkSession.sparkContext.broadcast(load_automaton(path))
     names = [*keep, "n_tokens", "n_bytes", "round_trip", "ids"]
 
