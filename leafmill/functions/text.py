@@ -11,10 +11,20 @@ STRIP = rf"\A{BLANK}+|{BLANK}+\z"
 #: The characters of BLANK, for trimming without a regex.
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SENTENCE_END = r"""([.!?]["')\]]*)\s+"""
-_AROUND = r"[-\x{2013}\x{2014}.\s\p{Z}\x1c-\x1f\x85]*"
-PAGE_NUMBER = (
-    rf"^(?i){BLANK}*(?:{_AROUND}\p{{Nd}}{{1,4}}{_AROUND}|page{BLANK}+\p{{Nd}}+|p\.{BLANK}*\p{{Nd}}+|\p{{Nd}}+{BLANK}+of{BLANK}+\p{{Nd}}+){BLANK}*$"
+#: Abbreviations whose stop ends no sentence.
+ABBREVIATIONS = (
+    "al", "approx", "Capt", "cf", "Ch", "Co", "Col", "Corp", "Dept", "Dr", "e.g", "ed", "eds", "Eq", "Eqs", "Fig", "Figs", "Gen", "i.e", "Inc",
+    "Jr", "Lt", "Ltd", "Mr", "Mrs", "Ms", "Mt", "pp", "Prof", "Rep", "Rev", "Sec", "Sen", "Sgt", "Sr", "St", "Univ", "Vol", "vs",
 )
+#: A stop that ends no sentence: behind an abbreviation or an initial, or before a word in lower case.
+SHORT_STOP = rf"(?<![\p{{L}}\p{{N}}_.])({'|'.join(x.replace('.', '[.]') for x in ABBREVIATIONS)}|[A-HJ-Z])\.(?=\s)"
+INNER_STOP = r"""\.(?=["')\]]*\s+\p{Ll})"""
+#: Two characters that stand in no text: the place of a stop that ends no sentence, and a sentence's end.
+STOP, END = "\ufffe", "\uffff"
+_NUMBER = r"\p{Nd}{1,4}"
+_RULE = r"[-\x{2013}\x{2014}.\s\p{Z}\x1c-\x1f\x85]*+"
+#: A line that is a page number of one to four digits: alone or between rules, or with words that say so.
+PAGE_NUMBER = rf"\A(?i)(?:{_RULE}{_NUMBER}{_RULE}|{BLANK}*+(?:page{BLANK}*+{_NUMBER}|p\.{BLANK}*+{_NUMBER}|{_NUMBER}{BLANK}*+of{BLANK}*+{_NUMBER}){BLANK}*+)\z"
 CAPTION = rf"^(?i){BLANK}*(?:figure|fig\.|table){BLANK}+\p{{Nd}}+(?:\.\p{{Nd}}+)*[.:]?{BLANK}*$"
 REFERENCE = r"^\s*\[1\]\s+\p{Lu}"
 
@@ -119,16 +129,25 @@ def strip_isolated_captions(text: Column) -> Column:
 
 
 def drop_references(text: Column) -> Column:
-    """Cuts the text from the first line that starts a numbered reference list."""
-    rows = lines(text)
-    at = F.array_position(F.transform(rows, lambda x: x.rlike(REFERENCE)), True)
-    return F.when(at > 0, F.array_join(F.slice(rows, F.lit(1), F.greatest(at - 1, F.lit(0)).cast("int")), "\n")).otherwise(text)
+    """Cuts each section from the first line that starts a numbered reference list to the section's end, which is
+    the next heading or the end of the text."""
+
+    def without(section: Column) -> Column:
+        rows = lines(section)
+        at = F.array_position(F.transform(rows, lambda x: x.rlike(REFERENCE)), True).cast("int")
+        return F.when(at > 0, F.slice(rows, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(rows)
+
+    sections = F.split(text, r"\n(?=#{1,3}(?: |\n|\z))", -1)
+    return F.array_join(F.flatten(F.transform(sections, without)), "\n")
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences in order, stripped, without blank ones: a stop mark, closing quotes or brackets, white space."""
-    marked = F.regexp_replace(text, SENTENCE_END, "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), strip), lambda s: s != "")
+    """Sentences in order, stripped, without blank ones. One ends at a stop mark, closing quotes or brackets, and
+    white space; but not at the stop of an abbreviation or an initial, nor before a word in lower case (decimals
+    have no white space behind their point)."""
+    held = F.regexp_replace(F.regexp_replace(text, SHORT_STOP, f"$1{STOP}"), INNER_STOP, STOP)
+    marked = F.regexp_replace(held, SENTENCE_END, f"$1{END}")
+    return F.filter(F.transform(F.split(marked, END), lambda s: strip(F.replace(s, F.lit(STOP), F.lit(".")))), lambda s: s != "")
 
 
 # Chunks.
