@@ -1,25 +1,31 @@
 """Chunk size guardrails: an ordered fold over each source's pieces, and chunk assembly.
 
-The fold is strictly sequential within a source. It runs on rows that are hash-partitioned by source and
-sorted, as a stream: a task holds the open buffer and the last chunk, never a source's whole text.
+A piece of ``min_size`` characters or more always closes the fold's buffer, so the fold begins anew behind it. A
+source is therefore cut, without any change to the result, into runs of short pieces with the long one that ends
+them, and each run is folded by itself. Runs are numbered, and chunks within a source, in two levels (blocks, and one
+row a block). A run is read as a stream: a task holds the open buffer and the last chunk.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators.sections import page_offsets, split_by_headers
+from leafmill.operators.sections import KEYS, blocked, carried, page_offsets, split_by_headers
 from leafmill.operators.semantic import semantic_split
 from leafmill.session import materialize
 
-_END = re.compile(r"""([.!?]["')\]]*)[ \t\n\x0b\f\r]+""")
+_SPACE = r"[ \t\n\x0b\f\r]"
+_SHORT_STOP = re.compile(rf"(?<![\w.])({'|'.join(map(re.escape, T.ABBREVIATIONS))}|[A-HJ-Z])\.(?={_SPACE})")
+_INNER_STOP = re.compile(rf"""\.(?=["')\]]*{_SPACE}+([^\W\d_]))""")
+_END = re.compile(rf"""([.!?]["')\]]*){_SPACE}+""")
 MIN_SIZE, MAX_SIZE = 100, 1000
 
 #: A piece or chunk: text, start_off, end_off, headings (section, subsection, subsubsection).
@@ -27,7 +33,10 @@ Piece = tuple[str, int, int, tuple]
 
 
 def sentences(text: str) -> list[str]:
-    return [s for x in _END.sub("\\1\x01", text).split("\x01") if (s := x.strip())]
+    """The sentences that ``functions.text.split_sentences`` finds."""
+    held = _SHORT_STOP.sub(rf"\1{T.STOP}", text)
+    held = _INNER_STOP.sub(lambda m: T.STOP if unicodedata.category(m[1]) == "Ll" else ".", held)
+    return [s for x in _END.sub(rf"\1{T.END}", held).split(T.END) if (s := x.replace(T.STOP, ".").strip())]
 
 
 def merge_undersized(pieces: Iterable[Piece], min_size: int = MIN_SIZE, max_size: int = MAX_SIZE) -> Iterator[Piece]:
@@ -81,40 +90,54 @@ def apply_size_guardrails(pieces: Iterable[Piece], min_size: int | None = MIN_SI
     return split_oversized(merge_undersized(pieces, min_size, max_size), max_size)
 
 
-_SCHEMA = "source string, chunk_index int, text string, start_off long, end_off long, section string, subsection string, subsubsection string"
+_SCHEMA = "source string, run long, pos int, text string, start_off long, end_off long, section string, subsection string, subsubsection string"
 _NAMES = [x.strip().split()[0] for x in _SCHEMA.split(",")]
-_KINDS = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+_HEADINGS = ["section", "subsection", "subsubsection"]
+
+
+def _numbered(rows: DataFrame, order: list[str], number: str) -> DataFrame:
+    """Keyed ``rows`` with their place within the source, from 0."""
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order)) - 1
+    return rows.withColumn("_place", place).join(carried(rows, {"_rows": F.lit(1)}), list(KEYS)).withColumn(number, (F.col("_place") + F.col("_rows")).cast("int")).drop("_place", "_rows")
 
 
 def fold_chunks(pieces: DataFrame, min_size: int | None = MIN_SIZE, max_size: int | None = MAX_SIZE, compat_index_meta: bool = False) -> DataFrame:
     """``pieces``: source, section_seq, part, text, start_off, end_off, headings. One row per chunk with
     its index within the source. A chunk has the headings of its first piece, or, with
     ``compat_index_meta``, those of the piece with the chunk's own index (the last one beyond)."""
-    columns = ["source", "section", "subsection", "subsubsection", "text", "start_off", "end_off"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    min_size, max_size = min_size or MIN_SIZE, max_size or MAX_SIZE
+    order = ["section_seq", "part"]
+    keyed = blocked(pieces, F.col("section_seq"))
+    long = (F.length("text") >= min_size).cast("int")
+    before = Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = keyed.withColumn("_long", F.coalesce(F.sum(long).over(before), F.lit(0))).join(carried(keyed, {"_longs": long}), list(KEYS))
+    # Short pieces behind the last long one may join its chunk, so they belong to its run.
+    last = keyed.groupBy("_own").agg(F.greatest(F.sum(long) - 1, F.lit(0)).alias("_last"))
+    runs = runs.join(last, "_own").withColumn("run", F.least(F.col("_long") + F.col("_longs"), F.col("_last")))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out: list[tuple] = []
-        for source, own in groupby(rows, key=lambda r: r[0]):
-            headings: list[tuple] = []
-
-            def piece(r: tuple, kept: list[tuple] = headings) -> Piece:
-                if compat_index_meta:
-                    kept.append(r[1:4])
-                return r[4], r[5], r[6], r[1:4]
-
-            for k, (text, start, end, meta) in enumerate(apply_size_guardrails(map(piece, own), min_size, max_size)):
-                if compat_index_meta and headings:
-                    meta = headings[min(k, len(headings) - 1)]
-                out.append((source, k, text, start, end, *meta))
+        for (source, run), own in groupby(rows, key=lambda r: r[:2]):
+            own_pieces = ((r[5], r[6], r[7], r[2:5]) for r in own)
+            for k, (text, start, end, meta) in enumerate(apply_size_guardrails(own_pieces, min_size, max_size)):
+                out.append((source, run, k, text, start, end, *meta))
                 if len(out) >= 1000:
                     yield _batch(out)
                     out = []
         if out:
             yield _batch(out)
 
-    placed = pieces.repartition("source").sortWithinPartitions("source", "section_seq", "part").select(*columns)
-    return placed.mapInArrow(run, _SCHEMA)
+    columns = ["source", "run", *_HEADINGS, "text", "start_off", "end_off"]
+    dealt = runs.repartition("source", "run").sortWithinPartitions("source", "run", *order).select(*columns)
+    folded = materialize(dealt.mapInArrow(fold, _SCHEMA), "folded")
+    chunks = _numbered(blocked(folded, F.col("run")), ["run", "pos"], "chunk_index")
+    if compat_index_meta:
+        placed = _numbered(keyed, order, "_index").select("_own", "_index", *_HEADINGS)
+        n = placed.groupBy("_own").agg((F.count(F.lit(1)) - 1).cast("int").alias("_most"))
+        chunks = chunks.drop(*_HEADINGS).join(n, "_own").withColumn("_index", F.least("chunk_index", "_most")).join(placed, ["_own", "_index"])
+    return chunks.select("source", "chunk_index", "text", "start_off", "end_off", *_HEADINGS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,7 +177,7 @@ def chunk_documents(
     page_end, headings, num_sentences, char_count. Pages and sections are read more than once, so both are
     written to the shared folder first."""
     pages = materialize(pages.select("source", "page", "page_content"), "pages")
-    sections = materialize(split_by_headers(pages), "sections")
+    sections = materialize(split_by_headers(pages), "titled")
     parts = semantic_split(sections, max_size, k, loader)
     path = T.build_breadcrumb(F.col("section"), F.col("subsection"), F.col("subsubsection"))
     # A section carries its path on each of its parts, before sizes are looked at.
@@ -169,35 +192,45 @@ def chunk_documents(
 
 
 def recursive_token_split(text: str, max_tokens: int = 512, overlap: int = 50, count: Callable[[str], int] | None = None) -> list[str]:
-    """Splits at blank lines, lines, sentences, words in turn until pieces hold at most ``max_tokens``;
-    each piece after the first repeats up to ``overlap`` words of the one before."""
+    """Splits at blank lines, lines, sentences, words, characters in turn until pieces hold at most ``max_tokens``.
+    Each piece after the first begins with the last words of the one before, ``overlap`` of them or as many as
+    fit: they count to its ``max_tokens``."""
     count = count or (lambda s: len(s.split()))
-
-    def cut(part: str, marks: tuple[str, ...]) -> list[str]:
-        if count(part) <= max_tokens:
-            return [part] if part.strip() else []
-        if not marks:
-            half = max(1, len(part) // 2)
-            return cut(part[:half], ()) + cut(part[half:], ()) if len(part) > 1 else [part]
-        out: list[str] = []
-        buf = ""
-        for x in part.split(marks[0]):
-            joined = f"{buf}{marks[0]}{x}" if buf else x
-            if count(joined) <= max_tokens:
-                buf = joined
-                continue
-            if buf.strip():
-                out.append(buf)
-            buf = ""
-            if count(x) <= max_tokens:
-                buf = x
+    if count(text) <= max_tokens:
+        return [text] if text.strip() else []
+    own: list[str] = []
+
+    def room() -> int:
+        return max(1, max_tokens - overlap) if own else max_tokens
+
+    def pack(parts: Sequence[str], mark: str, marks: tuple[str, ...]) -> None:
+        """As many neighbouring parts in a piece as there is room for; how many is found by doubling and halving."""
+        at = 0
+        while at < len(parts):
+            fits = lambda n: count(mark.join(parts[at : at + n])) <= room()  # noqa: B023, E731
+            good, step = 0, 1
+            while good + step <= len(parts) - at and fits(good + step):
+                good, step = good + step, 2 * step
+            while step := step // 2:
+                if good + step <= len(parts) - at and fits(good + step):
+                    good += step
+            if good or not mark:
+                if (piece := mark.join(parts[at : at + max(1, good)])).strip():
+                    own.append(piece)
             else:
-                out += cut(x, marks[1:])
-        return [*out, buf] if buf.strip() else out
-
-    pieces = cut(text, ("\n\n", "\n", ". ", " "))
-    tails = [" ".join(p.split()[-overlap:]) if overlap else "" for p in pieces]
-    return [p if k == 0 or not tails[k - 1] else f"{tails[k - 1]} {p}" for k, p in enumerate(pieces)]
+                pack(parts[at].split(marks[0]) if marks[0] else parts[at], marks[0], marks[1:])
+            at += max(1, good)
+
+    pack(text.split("\n\n"), "\n\n", ("\n", ". ", " ", ""))
+    out = own[:1]
+    for before, piece in zip(own, own[1:], strict=False):
+        words = before.split()[-overlap:] if overlap else []
+        low, high = 0, len(words)  # words left out
+        while low < high:
+            drop = (low + high) // 2
+            low, high = (low, drop) if count(f"{' '.join(words[drop:])} {piece}") <= max_tokens else (drop + 1, high)
+        out.append(f"{' '.join(words[low:])} {piece}" if words[low:] else piece)
+    return out
 
 
 def token_split(df: DataFrame, column: str = "text", max_tokens: int = 512, overlap: int = 50, counter: Callable[[str], int] | None = None) -> DataFrame:
