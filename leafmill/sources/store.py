@@ -1,24 +1,40 @@
 """The chunk store: Parquet in hash buckets of doc_id, with idempotent writes.
 
-A write touches only the buckets of its documents. The number of buckets is fixed when a store is made;
-it bounds the number of files however many documents there are.
+Rows lie in folders of their own write (``data-*``), by bucket; a manifest (``manifest-*``, a small Parquet table)
+says which folder holds each bucket. A write makes new folders for the buckets that it touches, then a new
+manifest; only when that is complete are the old ones removed. A write that is cut short leaves the store as it was,
+and readers always see one whole state. Writers must take turns.
+
+A write reads and rewrites the touched buckets only. Their number follows the store: it is doubled, in a write that
+touches all of them, when buckets hold more than ``BUCKET_ROWS`` rows on average.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+BUCKET_ROWS = 100_000
+
+_MANIFEST = "bucket int, folder string, n long, buckets int, layout string"
+
 
-BUCKETS = 32
+def _unique(chunks: DataFrame) -> DataFrame:
+    """One row of each chunk_id: of several the one whose columns have the smallest hash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in chunks.columns])
+    return chunks.groupBy("chunk_id").agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in chunks.columns])).alias("row")).select("row.*")
 
 
-def merged_chunks(store: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The store after a write: rows that share their ``key`` with a new row go, the new ones come.
-    With key ``chunk_id`` this is an upsert, with ``doc_id`` it replaces whole documents."""
-    new = new.dropDuplicates(["chunk_id"])
-    return store.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*store.columns))
+def merged_chunks(store: DataFrame, new: DataFrame, key: str = "chunk_id", gone: DataFrame | None = None) -> DataFrame:
+    """The store after a write: rows that share their ``key`` with a new row (or a row of ``gone``) go, the new ones
+    (of unique chunk_id) come. With key ``chunk_id`` this is an upsert, with ``doc_id`` it replaces whole documents."""
+    out = new.select(key) if gone is None else new.select(key).unionByName(gone.select(key))
+    return store.join(out.distinct(), key, "left_anti").unionByName(new.select(*store.columns))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,44 +52,101 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def _overwrite(df: DataFrame, path: str) -> None:
-    """Replaces the buckets that ``df`` has rows of, and no others."""
-    df.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def _names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in found if n.startswith(prefix))
+
+
+@dataclass
+class _State:
+    """A store as its last whole manifest has it; ``folders`` and ``rows`` by bucket."""
+
+    number: int
+    buckets: int
+    layout: str | None
+    folders: dict[int, str]
+    rows: dict[int, int]
+
+
+def _state(spark: SparkSession, path: str) -> _State:
+    whole = [n for n in _names(spark, path, "manifest-") if _exists(spark, f"{path}/{n}/_SUCCESS")]
+    if not whole:
+        return _State(0, 0, None, {}, {})
+    # One row for each bucket, of which there is one for many thousand rows.
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/{whole[-1]}").collect()
+    held = [r for r in rows if r["folder"] is not None]
+    return _State(int(whole[-1].split("-")[1]), rows[0]["buckets"], rows[0]["layout"], {r["bucket"]: r["folder"] for r in held}, {r["bucket"]: r["n"] for r in held})
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(buckets)).cast("int")
+
+
+def _read(spark: SparkSession, path: str, state: _State, which: list[int]) -> DataFrame:
+    schema = StructType.fromJson(json.loads(state.layout))
+    folders = [f"{path}/{state.folders[b]}/bucket={b}" for b in which]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def _write(chunks: DataFrame, path: str, key: str, buckets: int) -> int:
+def _write(chunks: DataFrame, path: str, key: str, buckets: int | None, gone: DataFrame | None = None) -> int:
     spark = chunks.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket")
-    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    state = _state(spark, path)
+    name = uuid.uuid4().hex
+    stage = f"{path}/stage-{name}"
     # Chunks are made once, beside the store; what is merged is read from there.
-    chunks.dropDuplicates(["chunk_id"]).select("*", bucket).write.parquet(f"{stage}/new")
-    new = spark.read.parquet(f"{stage}/new")
-    merged = new
-    if _exists(spark, path):
-        store = spark.read.parquet(path)
-        touched = store.join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # at most ``buckets`` rows
-        merged_chunks(touched, new, key).write.parquet(f"{stage}/merged")
-        merged = spark.read.parquet(f"{stage}/merged")
-    _overwrite(merged, path)
-    rows = new.count()
-    _delete(spark, stage)
-    return rows
-
-
-def upsert_chunks(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    _unique(chunks).write.parquet(stage)
+    new = spark.read.schema(chunks.schema).parquet(stage)
+    written = new.count()
+    total = written + sum(state.rows.values())
+    count = state.buckets or buckets or 1
+    while buckets is None and total > count * BUCKET_ROWS:
+        count *= 2
+    keys = new.select("doc_id") if gone is None else new.select("doc_id").unionByName(gone.select("doc_id"))
+    # At most one number for each bucket.
+    touched = sorted(state.folders) if count != state.buckets else sorted(r[0] for r in keys.select(_bucket(count)).distinct().collect() if r[0] in state.folders)
+    merged = merged_chunks(_read(spark, path, state, touched), new, key, gone) if state.layout else new
+    folder = f"data-{name}"
+    merged.withColumn("bucket", _bucket(count)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    made = spark.read.parquet(f"{path}/{folder}") if _names(spark, f"{path}/{folder}", "bucket=") else None
+    sizes = {r["bucket"]: r["count"] for r in made.groupBy("bucket").count().collect()} if made is not None else {}
+    rows = {b: (state.folders[b], state.rows[b]) for b in state.folders if b not in touched} | {b: (folder, n) for b, n in sizes.items()}
+    layout = state.layout or chunks.schema.json()
+    lines = [(b, f, n, count, layout) for b, (f, n) in sorted(rows.items())] or [(None, None, None, count, layout)]
+    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest-{state.number + 1:08d}")
+    for old in _names(spark, path, "stage-") + _names(spark, path, "manifest-")[:-1]:
+        _delete(spark, f"{path}/{old}")
+    for old in touched:
+        _delete(spark, f"{path}/{state.folders[old]}/bucket={old}")
+    used = {f for f, _ in rows.values()}
+    for old in _names(spark, path, "data-"):
+        if old not in used:
+            _delete(spark, f"{path}/{old}")
+    return written
+
+
+def upsert_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> int:
     """Insert or replace by chunk_id; returns the number of rows written. Writing the same chunks again
-    changes nothing. Rows of a document that became shorter stay (see ``replace_source``)."""
+    changes nothing. Rows of a document that became shorter stay (see ``replace_source``). ``buckets`` fixes the
+    number of buckets of a new store."""
     return _write(chunks, path, "chunk_id", buckets)
 
 
-def replace_source(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> int:
-    """Fresh mode: afterwards the documents of ``chunks`` hold nothing but these chunks."""
-    return _write(chunks, path, "doc_id", buckets)
+def replace_source(chunks: DataFrame, path: str, documents: DataFrame | None = None, buckets: int | None = None) -> int:
+    """Fresh mode: afterwards the documents of ``chunks``, and those that ``documents`` (doc_id) names, hold nothing
+    but these chunks; a document that has none now is gone."""
+    return _write(chunks, path, "doc_id", buckets, documents)
 
 
 def read_store(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    store = spark.read.parquet(path).drop("bucket")
-    return store.where(F.col("doc_id") == doc_id) if doc_id is not None else store
+    """All rows, or those of a document, for which one bucket is read."""
+    state = _state(spark, path)
+    if state.layout is None:
+        raise ValueError(f"no store at {path}")
+    if doc_id is None:
+        return _read(spark, path, state, sorted(state.folders))
+    own = spark.range(1).select(F.lit(doc_id).alias("doc_id")).select(_bucket(state.buckets)).first()[0]
+    return _read(spark, path, state, [own] if own in state.folders else []).where(F.col("doc_id") == doc_id)
 
 
 def write_questions(quiz: DataFrame, path: str, fmt: str = "json") -> None:

@@ -28,11 +28,13 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Each micro-batch of pages is indexed and written; chunk ids are stable and writes idempotent, so a
     replayed batch leaves the store as it was. All pages of a source must arrive in one micro-batch (one
-    file), as uploads do."""
+    file), as uploads do. With ``fresh`` a source that comes again replaces its old chunks, also when nothing of
+    it passes the gate now."""
 
     def write(batch: DataFrame, _: int) -> None:
         rows = index_pages(batch, loader)
-        replace_source(rows, store) if fresh else upsert_chunks(rows, store)
+        seen = batch.select(T.attach_doc_id(F.col("source")).alias("doc_id")).distinct()
+        replace_source(rows, store, seen) if fresh else upsert_chunks(rows, store)
 
     out = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()

@@ -60,6 +60,63 @@ def test_upsert_twice_is_once(spark, tmp_path):
     assert S.read_store(spark, path).count() == 18
 
 
+def test_replaced_documents_vanish(spark, tmp_path):
+    path = str(tmp_path / "store")
+    S.replace_source(spark.createDataFrame([("c1", "d1", "x"), ("c2", "d2", "y"), ("c3", "d2", "z")], CHUNK), path)
+    seen = spark.createDataFrame([("d1",), ("d2",)], "doc_id string")
+    S.replace_source(spark.createDataFrame([("c9", "d2", "new")], CHUNK), path, seen)
+    assert rows(S.read_store(spark, path)) == [("c9", "d2", "new")] and S.read_store(spark, path, "d1").count() == 0
+    S.replace_source(spark.createDataFrame([], CHUNK), path, seen)
+    assert S.read_store(spark, path).count() == 0
+    S.upsert_chunks(spark.createDataFrame([("c5", "d5", "back")], CHUNK), path)
+    assert rows(S.read_store(spark, path)) == [("c5", "d5", "back")]
+    with pytest.raises(ValueError, match="no store"):
+        S.read_store(spark, str(tmp_path / "nowhere"))
+
+
+def test_a_write_cut_short_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    S.upsert_chunks(spark.createDataFrame([(f"c{k}", f"d{k % 7}", "old") for k in range(40)], CHUNK), path, buckets=4)
+    old = rows(S.read_store(spark, path))
+    new = spark.createDataFrame([(f"c{k}", f"d{k % 7}", "new") for k in range(40)], CHUNK)
+    real = spark.createDataFrame
+
+    def broken(data, schema=None, **more):
+        if schema == S._MANIFEST:
+            raise RuntimeError("lost before the manifest")
+        return real(data, schema, **more)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **k: broken(*a, **k))
+    with pytest.raises(RuntimeError):
+        S.upsert_chunks(new, path)
+    monkeypatch.undo()
+    assert rows(S.read_store(spark, path)) == old
+    S.upsert_chunks(new, path)
+    assert {r[2] for r in rows(S.read_store(spark, path))} == {"new"} and len(rows(S.read_store(spark, path))) == 40
+
+
+def test_buckets_follow_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_ROWS", 10)
+    path = str(tmp_path / "store")
+    want = []
+    for n in range(4):
+        more = [(f"c{n}-{k}", f"d{n}-{k}", "t") for k in range(15)]
+        S.upsert_chunks(spark.createDataFrame(more, CHUNK), path)
+        want += more
+        assert rows(S.read_store(spark, path)) == sorted(want)
+    assert S._state(spark, path).buckets == 8 and sum(S._state(spark, path).rows.values()) == 60
+    assert rows(S.read_store(spark, path, "d2-3")) == [("c2-3", "d2-3", "t")]
+
+
+def test_repeated_chunk_ids_have_one_winner(spark, tmp_path):
+    same = [("c1", "d1", x) for x in ("a", "b", "c")]
+    kept = []
+    for n, order in enumerate((same, same[::-1])):
+        S.upsert_chunks(spark.createDataFrame(order, CHUNK).repartition(3), str(tmp_path / f"s{n}"))
+        kept.append(rows(S.read_store(spark, str(tmp_path / f"s{n}"))))
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
 def test_embedding_hook_and_cache(spark):
     def loader():
         return lambda texts: np.array([[len(t), 1.0] for t in texts])
@@ -72,6 +129,17 @@ def test_embedding_hook_and_cache(spark):
     assert full.where("embedding IS NULL").count() == 0 and fresh.count() == 2
 
 
+def test_a_source_that_fails_the_gate_now_vanishes(spark, tmp_path):
+    page = "source string, page int, page_content string"
+    good = " ".join(["enough words to pass the gate"] * 10) + "."
+    store = str(tmp_path / "store")
+    for n, text in enumerate((good, "too short")):
+        src = str(tmp_path / f"in{n}")
+        spark.createDataFrame([("a", 0, text), ("b", 0, good)], page).coalesce(1).write.parquet(src)
+        ingest.ingest_stream(spark.readStream.schema(page).parquet(src), store, str(tmp_path / f"c{n}")).awaitTermination()
+        assert {r["source"] for r in S.read_store(spark, store).collect()} == ({"a", "b"} if n == 0 else {"b"})
+
+
 def test_stream_equals_batch_and_replays(spark, sf_dir, tmp_path):
     src = tmp_path / "in"
     book = fixture(spark, sf_dir, "doc_pages").where("source < 'doc_2'").withColumn("page", F.col("page").cast("int"))
