@@ -2,7 +2,9 @@
 
 Queries and chunks meet block by block in a grid: query blocks and chunk shards have a bounded number of
 rows, and each cell is a matrix product whose k best per query go on. A grouped rank merges the shards, so
-that the shuffle carries (queries x shards x k) rows and neither table is ever whole in one task.
+that the shuffle carries (queries x shards x k) rows and neither table is ever whole in one task. A scope (a
+document, a source) is part of the cells' key, so chunks that no query of their scope asks for are not scored; a
+scope has as many blocks and shards as its own rows need.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.session import broadcast_if_small, materialize
+
 BLOCK, SHARD = 1024, 16384
 CANDIDATES = 30
 MODES = ("top_k", "threshold", "mmr")
@@ -21,39 +25,52 @@ def _cell(k: int):
     def run(key: tuple, queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(chunks):
+            chunks = chunks.sort_values("chunk_id", kind="stable")
             ids = chunks["chunk_id"].to_numpy()
             scores = np.stack(queries["v"].to_numpy()) @ np.stack(chunks["v"].to_numpy()).T
-            own = queries["scope"].to_numpy()
-            scope = chunks["scope"].to_numpy()
-            for q, row, want in zip(queries["query_id"], scores, own, strict=True):
-                at = np.arange(len(ids)) if want is None else np.flatnonzero(scope == want)
+            for q, row, skip in zip(queries["query_id"], scores, queries["skip"], strict=True):
+                if skip is not None:
+                    row[ids == skip] = -np.inf
+                at = np.arange(len(ids))
                 if len(at) > k:
                     # Everything that ties with the k-th best stays; the merge breaks ties by id.
-                    floor = np.partition(row[at], len(at) - k)[len(at) - k]
-                    at = at[row[at] >= floor - 1e-12]
-                best = at[np.lexsort((ids[at], -np.round(row[at], 12)))[:k]]
+                    floor = np.partition(row, len(row) - k)[len(row) - k]
+                    at = np.flatnonzero(row >= floor - 1e-12)
+                at = at[row[at] > -np.inf]
+                best = at[np.lexsort((at, -np.round(row[at], 12)))[:k]]
                 out.append(pd.DataFrame({"query_id": q, "chunk_id": ids[best], "sim": row[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="str"), "sim": pd.Series(dtype="float64")})
 
     return run
 
 
-def similarity(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope: str | None = None) -> DataFrame:
+def _met(q: DataFrame, c: DataFrame, k: int, kind: str) -> DataFrame:
+    """The k best chunks of each query of each shard of its scope."""
+    scopes = c.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("shards")).join(q.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "scope")
+    scopes = broadcast_if_small(materialize(scopes, "scopes"))
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pick = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    q = q.join(scopes, "scope").withColumn("block", pick("query_id", "blocks")).withColumn("shard", number("shards"))
+    c = c.join(scopes, "scope").withColumn("shard", pick("chunk_id", "shards")).withColumn("block", number("blocks"))
+    keys = ("scope", "block", "shard", "dim")
+    return q.drop("shards", "blocks").groupBy(*keys).cogroup(c.drop("shards", "blocks").groupBy(*keys)).applyInPandas(_cell(k), f"query_id {kind}, chunk_id string, sim double")
+
+
+def similarity(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope: str | None = None, skip: str | None = None) -> DataFrame:
     """The ``k`` nearest chunks of each query: query_id, chunk_id, sim (inner product of unit vectors), pos
     (from 1; ties by chunk_id). With ``scope`` a query whose column of that name is not null sees only
-    chunks with an equal one. Rows with a null vector take no part."""
+    chunks with an equal one. ``skip`` names a column of the queries with a chunk_id that a query leaves out (its own).
+    Rows with a null vector take no part."""
     vector = F.transform("embedding", lambda x: x.cast("double")).alias("v")
-    own = (F.col(scope) if scope else F.lit(None).cast("string")).cast("string").alias("scope")
-    q = queries.where("embedding IS NOT NULL").select("query_id", own, vector, F.size("embedding").alias("dim"))
+    own = (F.col(scope) if scope else F.lit(None)).cast("string").alias("scope")
+    left_out = (F.col(skip) if skip else F.lit(None)).cast("string").alias("skip")
+    q = queries.where("embedding IS NOT NULL").select("query_id", own, left_out, vector, F.size("embedding").alias("dim"))
     c = chunks.where("embedding IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id", own, vector, F.size("embedding").alias("dim"))
-    blocks, shards = max(1, -(-q.count() // BLOCK)), max(1, -(-c.count() // SHARD))
-    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    pick = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    q = q.withColumn("block", pick("query_id", blocks)).withColumn("shard", number(shards))
-    c = c.withColumn("shard", pick("chunk_id", shards)).withColumn("block", number(blocks))
-    keys = ("block", "shard", "dim")
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_cell(k), f"query_id {kind}, chunk_id string, sim double")
+    all_ = F.lit("")
+    found = _met(q.where("scope IS NULL").withColumn("scope", all_), c.withColumn("scope", all_), k, kind)
+    if scope:
+        found = found.unionByName(_met(q.where("scope IS NOT NULL"), c.where("scope IS NOT NULL"), k, kind))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), "chunk_id")
     return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
@@ -70,17 +87,17 @@ def filter_source(chunks: DataFrame, source: str | None = None, doc_ids: DataFra
     return chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi") if doc_ids is not None else chunks
 
 
-def retrieve_top_k(queries: DataFrame, chunks: DataFrame, k: int | None = 8, scope: str | None = None) -> DataFrame:
+def retrieve_top_k(queries: DataFrame, chunks: DataFrame, k: int | None = 8, scope: str | None = None, skip: str | None = None) -> DataFrame:
     """query_id, rank, score (four places), chunk_id and the chunk's columns; k of 0 or None is 8."""
-    hits = similarity(queries, chunks, k or 8, scope)
+    hits = similarity(queries, chunks, k or 8, scope, skip)
     return _with_text(hits.select("query_id", F.col("pos").alias("rank"), F.round("sim", 4).alias("score"), "chunk_id"), chunks)
 
 
 def retrieve_threshold(
-    queries: DataFrame, chunks: DataFrame, k: int | None = 8, threshold: float = 0.5, candidate_cap: int = CANDIDATES, scope: str | None = None
+    queries: DataFrame, chunks: DataFrame, k: int | None = 8, threshold: float = 0.5, candidate_cap: int = CANDIDATES, scope: str | None = None, skip: str | None = None
 ) -> DataFrame:
     """Of the ``candidate_cap`` nearest, those whose rounded score reaches the threshold, k at most."""
-    near = similarity(queries, chunks, candidate_cap, scope).withColumn("score", F.round("sim", 4)).where(F.col("score") >= threshold)
+    near = similarity(queries, chunks, candidate_cap, scope, skip).withColumn("score", F.round("sim", 4)).where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
     return _with_text(near.withColumn("rank", rank).where(F.col("rank") <= (k or 8)).select("query_id", "rank", "score", "chunk_id"), chunks)
 
@@ -103,11 +120,12 @@ def _diverse(k: int, weight: float):
 
 
 def retrieve_mmr(
-    queries: DataFrame, chunks: DataFrame, k: int | None = 8, weight: float = 0.7, threshold: float = 0.5, candidate_cap: int = CANDIDATES, scope: str | None = None
+    queries: DataFrame, chunks: DataFrame, k: int | None = 8, weight: float = 0.7, threshold: float = 0.5, candidate_cap: int = CANDIDATES, scope: str | None = None,
+    skip: str | None = None,
 ) -> DataFrame:
     """Maximal marginal relevance among the candidates at or over the threshold (unrounded): at most
     ``candidate_cap`` rows a query meet in a group. The score is the relevance."""
-    near = similarity(queries, chunks, candidate_cap, scope).where(F.col("sim") >= threshold)
+    near = similarity(queries, chunks, candidate_cap, scope, skip).where(F.col("sim") >= threshold)
     vectors = chunks.select("chunk_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     kind = queries.schema["query_id"].dataType.simpleString()
     picked = near.join(vectors, "chunk_id").groupBy("query_id").applyInPandas(_diverse(k or 8, weight), f"query_id {kind}, rank int, score double, chunk_id string")
@@ -121,9 +139,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, mode: str = "mmr", **setting
     return found(queries, chunks, **settings)
 
 
-def raw_top3(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def raw_top3(queries: DataFrame, chunks: DataFrame, skip: str | None = None) -> DataFrame:
     """The three best raw scores of each query, before any filter."""
-    return similarity(queries, chunks, 3).select("query_id", F.col("pos").alias("rank"), F.round("sim", 4).alias("score"), "chunk_id")
+    return similarity(queries, chunks, 3, skip=skip).select("query_id", F.col("pos").alias("rank"), F.round("sim", 4).alias("score"), "chunk_id")
 
 
 def no_context(queries: DataFrame, hits: DataFrame, key: str = "query_id") -> DataFrame:

@@ -80,3 +80,27 @@ def test_modes_and_diagnostics(tables):
     sweep = {r["threshold"]: (r["accepted"], r["rejected"]) for r in R.threshold_sweep(R.raw_top3(q, c), [0.7, -1.0]).collect()}
     assert sweep == {0.7: (7 - len(missing), len(missing)), -1.0: (7, 0)}
     assert R.retrieve_top_k(q.where(F.lit(False)), c).count() == 0
+
+
+def test_scopes_are_searched_apart(spark, tables, monkeypatch):
+    """Queries with a scope see its chunks alone, one without sees all; scopes without queries are not scored."""
+    _, c = tables
+    vec = dict(QUERIES)
+    rows = [(k, ["s0", "s1", None, "none"][k % 4], vec[k]) for k in vec]
+    q = spark.createDataFrame(rows, "query_id long, source string, embedding array<double>")
+    for shard, block in ((16384, 1024), (8, 1)):
+        monkeypatch.setattr(R, "SHARD", shard)
+        monkeypatch.setattr(R, "BLOCK", block)
+        got = {k: [i for i, _ in v] for k, v in hits(R.retrieve_top_k(q, c, 4, scope="source")).items()}
+        want = {k: [i for i, _ in brute(4, s)[k]] for k, s, _ in rows if s != "none"}
+        assert got == want
+
+
+def test_a_query_leaves_its_own_chunk_out(spark, tables):
+    _, c = tables
+    rows = [(k, f"c{k:03d}", CHUNKS[k][3]) for k in range(5)]
+    q = spark.createDataFrame(rows, "query_id long, own string, embedding array<double>")
+    for k, found in hits(R.retrieve_top_k(q, c, 3, skip="own")).items():
+        sims = sorted((-round(float(np.dot(CHUNKS[k][3], v)), 12), cid) for cid, _, _, v in CHUNKS if v and cid != f"c{k:03d}")
+        assert [i for i, _ in found] == [cid for _, cid in sims[:3]]
+    assert all(v[0][0] == f"c{k:03d}" for k, v in hits(R.retrieve_top_k(q, c, 3)).items())
