@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,20 +14,30 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str) -> tuple[int, float]:
-    h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
-    return int(h[:4], 16), 1.0 if int(h[4], 16) < 8 else -1.0
+#: Tokens whose place is remembered, by dimension; emptied when full.
+_PLACES: dict[int, dict[str, int]] = {}
+_REMEMBERED = 1 << 18
+
+
+def _places(tokens: list[str], dim: int) -> list[int]:
+    """For each token the dimension that its md5 names, plus ``dim`` where it counts -1."""
+    known = _PLACES.setdefault(dim, {})
+    if len(known) > _REMEMBERED:
+        known.clear()
+    for token in set(tokens).difference(known):
+        h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
+        known[token] = int(h[:4], 16) % dim + (0 if int(h[4], 16) < 8 else dim)
+    return [known[t] for t in tokens]
 
 
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Deterministic vectors without a model: each lower-cased token adds +1 or -1 to the dimension that
     its md5 names; rows are scaled to length one. A text without tokens is the zero vector."""
-    out = np.zeros((len(texts), dim))
-    for k, text in enumerate(texts):
-        for token in _TOKEN.findall((text or "").lower()):
-            at, sign = _slot(token)
-            out[k, at % dim] += sign
+    tokens = [_TOKEN.findall((text or "").lower()) for text in texts]
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+    place = np.array(_places([t for own in tokens for t in own], dim), np.int64)
+    counts = np.bincount(row * 2 * dim + place, minlength=2 * dim * len(texts)).reshape(len(texts), 2, dim) if len(texts) else np.zeros((0, 2, dim))
+    out = (counts[:, 0] - counts[:, 1]).astype(np.float64)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.where(norm > 0, norm, 1.0)
 

@@ -136,10 +136,8 @@ def attach_source_chunks(questions: DataFrame, hits: DataFrame) -> DataFrame:
 def assemble_quiz(questions: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per request: request_id, doc_id, topic, questions[] in order (a quiz has at most some dozens)."""
     one = F.struct("id", "question", "options", "correct", "explanation", "source_chunks")
-    pack = F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json(one).alias("j")))), lambda x: x["j"])
-    kind = "id int, question string, options map<string,string>, correct string, explanation string, source_chunks array<string>"
-    quiz = questions.groupBy("request_id").agg(pack.alias("j"))
-    quiz = quiz.withColumn("questions", F.transform("j", lambda x: F.from_json(x, kind))).drop("j")
+    in_order = F.array_sort(F.collect_list(one), lambda a, b: a["id"] - b["id"])
+    quiz = questions.groupBy("request_id").agg(in_order.alias("questions"))
     return quiz.join(requests.select("request_id", "doc_id", "topic"), "request_id").select("request_id", "doc_id", "topic", "questions")
 
 

@@ -50,10 +50,12 @@ def chunk_report(chunks: DataFrame) -> DataFrame:
 
 
 def collection_stats(chunks: DataFrame) -> DataFrame:
-    """One row: chunks, metric, dimension, sources, sample_sources (five at most)."""
+    """One row: chunks, metric, dimension, sources, sample_sources (the first five at most)."""
     per = chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"))
-    names = F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 5), ",")
-    return per.agg(F.sum("n").alias("chunks"), F.max("d").alias("dimension"), F.count("source").alias("sources"), names.alias("sample_sources")).withColumn("metric", F.lit("cosine"))
+    first = per.where("source IS NOT NULL").select("source").orderBy("source").limit(5)
+    names = first.agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sample_sources"))
+    stats = per.agg(F.sum("n").alias("chunks"), F.max("d").alias("dimension"), F.count("source").alias("sources"))
+    return stats.join(F.broadcast(names), F.lit(True)).withColumn("metric", F.lit("cosine"))  # one row each
 
 
 def ingest_report(pages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ def validation_report(validated: DataFrame, max_attempts: int = 3) -> DataFrame:
 
 
 def token_report(chunks: DataFrame, by: str = "source") -> DataFrame:
-    """Per document: chunks, min, whole part of the mean, and max of the token count."""
-    n = F.size(T.tokens(F.col("text")))
+    """Per document: chunks, min, whole part of the mean, and max of the token count; null text has none."""
+    n = F.size(T.tokens(F.coalesce("text", F.lit(""))))
     return chunks.groupBy(by).agg(
         F.count(F.lit(1)).alias("chunks"), F.min(n).alias("min_tokens"), F.avg(n).cast("int").alias("avg_tokens"), F.max(n).alias("max_tokens")
     )
