@@ -62,8 +62,11 @@ FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "chunk_store": """
 SELECT {sha}(concat(source, '::chunk_', CAST(vec_id AS {str})){bits}) AS chunk_id, doc_id, source, text, embedding, CAST(vec_id % 7 AS INT) AS page_start FROM (
   SELECT vec_id, concat('src', CAST(label AS {str})) AS source, concat('d', CAST(vec_id % 10 AS {str})) AS doc_id, d.text AS text, embedding
-  FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM documents) c JOIN documents d ON d.doc_id = vec_id % c.n WHERE vec_id >= 20) v""",
-    "queries": "SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20",
+  FROM embeddings CROSS JOIN (SELECT count(*) AS n FROM documents) c JOIN documents d ON d.doc_id = vec_id % c.n) v""",
+    # Every row whose id is divisible by 50, against all rows but itself.
+    "queries": """
+SELECT vec_id AS query_id, embedding, {sha}(concat('src', CAST(label AS {str}), '::chunk_', CAST(vec_id AS {str})){bits}) AS own_chunk
+FROM embeddings WHERE vec_id % 50 = 0""",
     "requests": """
 SELECT conv_id AS request_id, concat('d', CAST(conv_id % 13 AS {str})) AS doc_id, text AS topic,
   CASE WHEN conv_id % 11 = 0 THEN NULL ELSE CAST(conv_id % 23 AS INT) END AS num_questions,
@@ -80,11 +83,21 @@ SELECT request_id, attempt, CASE kind
   WHEN 6 THEN concat('I cannot answer that. ', q)
   WHEN 7 THEN good
   WHEN 8 THEN concat('[', replace(good, concat('"question":"', q, '"'), '"question":5'), ']')
+  WHEN 10 THEN '["only text"]'
+  WHEN 11 THEN concat('[', replace(good, concat('"question":"', q, '",'), ''), ']')
+  WHEN 12 THEN concat('[', good, ',', replace(good, concat('"question":"', q, '"'), '"question":"  "'), ']')
+  WHEN 13 THEN concat('[{{"question":"', q, '","correct":"B","explanation":"Because ', q, '"}}]')
+  WHEN 14 THEN concat('[', replace(good, '{{"A":"one","B":"two","C":"three","D":"four"}}', '["one","two"]'), ']')
+  WHEN 15 THEN concat('[', replace(good, '"D":"four"', '"E":"four"'), ']')
+  WHEN 16 THEN concat('[', replace(good, '"C":"three"', '"C":" "'), ']')
+  WHEN 17 THEN concat('[', replace(good, ',"correct":"B"', ''), ']')
+  WHEN 18 THEN concat('[', replace(good, concat('"explanation":"Because ', q, '"'), '"explanation":7'), ']')
+  WHEN 19 THEN concat('[', good, ',', good, ',', replace(good, concat('"explanation":"Because ', q, '"'), '"explanation":"short"'), ']')
   ELSE concat('[', substr(good, 1, 60)) END AS raw_response
-FROM (SELECT request_id, attempt, q, CAST((request_id * 7 + attempt) % 10 AS INT) AS kind,
+FROM (SELECT request_id, attempt, q, CAST((request_id * 7 + attempt) % 20 AS INT) AS kind,
     concat('{{"question":"', q, '","options":{{"A":"one","B":"two","C":"three","D":"four"}},"correct":"B","explanation":"Because ', q, '"}}') AS good
   FROM (SELECT conv_id AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS attempt,
-      concat('q', CAST(conv_id AS {str}), ' ', substr(translate(text, concat('"', chr(92), chr(10), chr(9), chr(13)), ''), 1, 40)) AS q
+      concat('q', CAST(conv_id AS {str}), ' ', translate(text, concat('"', chr(92), chr(10), chr(9), chr(13)), '')) AS q
     FROM conversations WHERE role = 'assistant') a) b""",
     "answers": """
 SELECT user_id AS session_id, CAST(event_id % 20 + 1 AS INT) AS question_id,

@@ -31,6 +31,8 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
         QUERIES[name] = fn
         if sql is not None:
             head = duck_ctes(*views) if views else ""
+            if "UNION ALL\n  SELECT" in sql:
+                head = head.replace("WITH", "WITH RECURSIVE", 1)
             ORACLES[name] = f"{head}\n{sql}" if views or not sql.lstrip().startswith(",") else sql
         return fn
 
@@ -41,11 +43,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# DuckDB forms of the text functions.
+# DuckDB forms of the text functions. They share no constant with the library, so that a wrong one shows.
+
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_TRIMMED = " || ".join(f"chr({ord(c)})" for c in _WHITE)
+#: The inside of a character class.
+_GAP = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
 
 
 def d_strip(x: str) -> str:
-    return rf"regexp_replace({x}, '{T.STRIP}', '', 'g')"
+    return f"trim({x}, {_TRIMMED})"
 
 
 def d_lines(x: str) -> str:
@@ -53,7 +60,7 @@ def d_lines(x: str) -> str:
 
 
 def d_tokens(x: str) -> str:
-    return rf"list_filter(regexp_split_to_array({x}, '{T.BLANK}+'), lambda w: w <> '')"
+    return rf"list_filter(regexp_split_to_array({x}, '[{_GAP}]+'), lambda w: w <> '')"
 
 
 def d_useful(x: str) -> str:
@@ -62,15 +69,22 @@ def d_useful(x: str) -> str:
 
 
 def d_hyphens(x: str) -> str:
-    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_])-{T.BLANK}*\n{T.BLANK}*([a-z])', '\1\2', 'g')"
+    return rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_])-[{_GAP}]*\n[{_GAP}]*([a-z])', '\1\2', 'g')"
 
 
 def d_control(x: str) -> str:
     return rf"regexp_replace({x}, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')"
 
 
+def d_page_number(line: str) -> str:
+    """The line says nothing but a page number: digits with rules about them, ``page 7``, ``p. 7`` or ``7 of 9``."""
+    bare, few = f"lower({d_strip(line)})", r"\p{Nd}{1,4}"
+    return rf"""(regexp_full_match({line}, '[-–—.{_GAP}]*{few}[-–—.{_GAP}]*') OR regexp_full_match({bare}, '(page|p[.])[{_GAP}]*{few}')
+      OR regexp_full_match({bare}, '{few}[{_GAP}]*of[{_GAP}]*{few}'))"""
+
+
 def d_numbers(x: str) -> str:
-    return f"array_to_string(list_filter({d_lines(x)}, lambda l: NOT regexp_matches(l, '{T.PAGE_NUMBER}')), chr(10))"
+    return f"array_to_string(list_filter({d_lines(x)}, lambda l: NOT {d_page_number('l')}), chr(10))"
 
 
 def d_space(x: str) -> str:
@@ -88,7 +102,10 @@ def d_clean(x: str) -> str:
 
 @query("load_pages", "SELECT source, page, total_pages, file_path, page_content FROM book_pages", ("book_pages",))
 def load_pages(spark, sf_dir):
-    return fixture(spark, sf_dir, "book_pages")
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    fixture(spark, sf_dir, "book_pages").write.json(path)
+    read = page_source.load_pages(spark, path, "json")
+    return read.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
 @query("load_from_list", "SELECT doc_id, source, text FROM documents UNION ALL SELECT page_id, url, html FROM pages")
@@ -97,9 +114,15 @@ def load_from_list(spark, sf_dir):
     return docs.unionAll(page_source.load_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
-@query("discover_files")
+@query("discover_files", "SELECT 'documents.parquet' AS name, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
 def discover_files(spark, sf_dir):
-    return page_source.discover_files(spark, sf_dir, "parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """The files of documents, found by name and then read: rows and characters of each."""
+    at = f"{sf_dir}/documents.parquet"
+    whole = page_source.discover_files(spark, at, "parquet")
+    paths = [r["path"] for r in whole.select("path").collect()]  # as many as there are files
+    docs = page_source.load_pages(spark, paths).select(F.input_file_name().alias("path"), "text")
+    name = F.element_at(F.split("path", "/"), -1)
+    return docs.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text").cast("long")).alias("chars"))
 
 
 @query("attach_doc_id", "SELECT source, page, substr(sha256(source), 1, 9) AS doc_id FROM book_pages", ("book_pages",))
@@ -107,9 +130,9 @@ def attach_doc_id(spark, sf_dir):
     return page_source.attach_doc_id(fixture(spark, sf_dir, "book_pages")).select("source", "page", "doc_id")
 
 
-@query("is_useful_page", f"SELECT doc_id, {d_useful('text')} AS useful FROM documents WHERE text IS NOT NULL")
+@query("is_useful_page", f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {d_useful('text')} END AS useful FROM documents")
 def is_useful_page(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.is_useful_page(F.col("text")).alias("useful"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.is_useful_page(F.col("text")).alias("useful"))
 
 
 _GATE = f"""CASE WHEN page_content IS NULL OR {d_strip('page_content')} = '' THEN 'empty' WHEN {d_useful('page_content')} THEN 'ok' ELSE 'low_quality' END"""
@@ -162,9 +185,9 @@ def render_markdown_tables(spark, sf_dir):
     return fixture(spark, sf_dir, "cells").select("source", T.render_markdown_tables(F.col("tables")).alias("markdown"))
 
 
-@query("is_scanned", f"SELECT doc_id, length({d_strip('text')}) < 20 AND n_images > 0 AS scanned FROM scans WHERE text IS NOT NULL", ("scans",))
+@query("is_scanned", f"SELECT doc_id, length({d_strip("coalesce(text, '')")}) < 20 AND n_images > 0 AS scanned FROM scans", ("scans",))
 def is_scanned(spark, sf_dir):
-    return fixture(spark, sf_dir, "scans").where("text IS NOT NULL").select("doc_id", T.is_scanned(F.col("text"), F.col("n_images")).alias("scanned"))
+    return fixture(spark, sf_dir, "scans").select("doc_id", T.is_scanned(F.col("text"), F.col("n_images")).alias("scanned"))
 
 
 @query(
@@ -200,15 +223,25 @@ _on_pages(
 _on_pages(
     "strip_isolated_captions",
     lambda c: T.strip_isolated_captions(F.replace(c, F.lit("Page "), F.lit("Figure "))),
-    f"array_to_string(list_filter({d_lines(chr(10).join(['replace(page_content, ', chr(39) + 'Page ' + chr(39) + ', ' + chr(39) + 'Figure ' + chr(39) + ')']))}, lambda l: NOT regexp_matches(l, '{T.CAPTION}')), chr(10))",
+    f"""array_to_string(list_filter({d_lines("replace(page_content, 'Page ', 'Figure ')")}, lambda l: NOT regexp_full_match(lower({d_strip('l')}), '(figure|fig[.]|table)[{_GAP}]+\\p{{Nd}}+([.]\\p{{Nd}}+)*[.:]?')), chr(10))""",
 )
-_REFS = "replace(page_content, '.' || chr(10), '.' || chr(10) || '[1] ')"
-_on_pages(
+
+
+# A list of references on every page with a full stop at a line's end, and a heading in mid-page.
+@query(
     "drop_references",
-    lambda c: T.drop_references(F.replace(c, F.lit(".\n"), F.lit(".\n[1] "))),
-    f"""CASE WHEN len(list_filter({d_lines(_REFS)}, lambda l: regexp_matches(l, '{T.REFERENCE}'))) > 0
-  THEN array_to_string({d_lines(_REFS)}[1:list_position(list_transform({d_lines(_REFS)}, lambda l: regexp_matches(l, '{T.REFERENCE}')), true) - 1], chr(10)) ELSE {_REFS} END""",
+    r""", ln AS (SELECT source, page, i, l[i] AS line FROM (SELECT source, page, l, unnest(range(1, len(l) + 1)) AS i FROM (
+    SELECT source, page, string_split(replace(replace(page_content, '.' || chr(10), '.' || chr(10) || '[1] '), ', ', ',' || chr(10) || '## '), chr(10)) AS l FROM book_pages))),
+parts AS (SELECT *, count(*) FILTER (WHERE regexp_full_match(line, '#{1,3}( .*)?')) OVER (PARTITION BY source, page ORDER BY i) AS part FROM ln),
+cuts AS (SELECT *, min(CASE WHEN regexp_matches(line, '^\s*\[1\]\s+\p{Lu}') THEN i END) OVER (PARTITION BY source, page, part) AS cut FROM parts),
+kept AS (SELECT source, page, string_agg(line, chr(10) ORDER BY i) AS text FROM cuts WHERE cut IS NULL OR i < cut GROUP BY source, page)
+SELECT source, page, coalesce(text, '') AS text FROM book_pages LEFT JOIN kept USING (source, page)""",
+    ("book_pages",),
 )
+def drop_references(spark, sf_dir):
+    dressed = F.replace(F.replace("page_content", F.lit(".\n"), F.lit(".\n[1] ")), F.lit(", "), F.lit(",\n## "))
+    return fixture(spark, sf_dir, "book_pages").select("source", "page", T.drop_references(dressed).alias("text"))
+
 
 _REPEATED = f""", rows AS (SELECT {{key}} AS source, list_filter(list_transform({d_lines(d_strip('page_content'))}, lambda x: {d_strip('x')}), lambda x: x <> '') AS r FROM book_pages),
 edges AS (SELECT source, unnest(list_distinct(list_filter(list_transform(list_concat(r[1:3], r[greatest(1, len(r) - 2):len(r)]), lambda x: lower(x)), lambda x: length(x) > 3))) AS line FROM rows),
@@ -282,9 +315,9 @@ def page_offsets(spark, sf_dir):
     return sections.page_offsets(fixture(spark, sf_dir, "book_pages")).select("source", "page", "end_off", "start_off")
 
 
-@query("concat_pages", "SELECT source, string_agg(page_content || chr(10) || chr(10), '' ORDER BY page, page_content) AS text, count(*) AS n_pages FROM book_pages GROUP BY source", ("book_pages",))
+@query("concat_pages", "SELECT source, 0 AS part, string_agg(page_content || chr(10) || chr(10), '' ORDER BY page, page_content) AS text, count(*) AS n_pages FROM book_pages GROUP BY source", ("book_pages",))
 def concat_pages(spark, sf_dir):
-    return sections.concat_pages(fixture(spark, sf_dir, "book_pages")).select("source", "text", F.size("bounds").cast("long").alias("n_pages"))
+    return sections.concat_pages(fixture(spark, sf_dir, "book_pages")).select("source", "part", "text", F.size("bounds").cast("long").alias("n_pages"))
 
 
 @query("tag_heading_lines", _LINES.replace("{t}", "book_pages") + " SELECT source, page, line_no, off, line, CAST(level AS INTEGER) AS level FROM tagged", ("book_pages",))
@@ -312,7 +345,17 @@ def inject_breadcrumb(spark, sf_dir):
 # Similarity split.
 
 
-@query("split_sentences", "SELECT doc_id, pos, sentence FROM doc_sentences", ("doc_sentences",))
+# Pieces end where the simple rule would end a sentence; a piece whose stop ends none takes the next one in.
+_SENTENCES = r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]]*)(\s)', '\1' || chr(65535) || '\2', 'g'), chr(65535)) AS s FROM documents),
+q AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM p),
+n AS (SELECT *, coalesce((regexp_matches(x, '(^|[^\p{L}\p{N}_.])(al|approx|Capt|cf|Ch|Co|Col|Corp|Dept|Dr|e[.]g|ed|eds|Eq|Eqs|Fig|Figs|Gen|i[.]e|Inc|Jr|Lt|Ltd|Mr|Mrs|Ms|Mt|pp|Prof|Rep|Rev|Sec|Sen|Sgt|Sr|St|Univ|Vol|vs|[A-HJ-Z])[.]$')
+    OR (regexp_matches(x, '[.]["'')\]]*$') AND regexp_matches(lead(x) OVER w, '^\s+\p{Ll}'))) AND lead(x) OVER w IS NOT NULL, false) AS goes_on FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, coalesce(sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM n),
+m AS (SELECT doc_id, k, {strip} AS sentence FROM (SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS joined FROM g GROUP BY doc_id, k))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS pos, sentence FROM m WHERE sentence <> ''""".replace("{strip}", d_strip("joined"))
+
+
+@query("split_sentences", _SENTENCES)
 def split_sentences(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
@@ -326,7 +369,7 @@ n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY 1)
 SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(CAST(CAST(v / norm AS FLOAT) AS DOUBLE), 5) AS value FROM c JOIN n USING (doc_id) WHERE v <> 0""",
 )
 def hash_embed(spark, sf_dir):
-    vectors = embed.embed(_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    vectors = embed.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select("doc_id", "dim", F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
@@ -381,7 +424,27 @@ def _doc_pieces(spark, sf_dir) -> DataFrame:
     return rows
 
 
-@query("apply_size_guardrails")
+# One sentence a step. ``done`` are the chunks that a step closes, ``open`` is the buffer behind it.
+_FOLD = """, pieces AS (SELECT doc_id, list(sentence ORDER BY pos) AS s FROM doc_sentences GROUP BY doc_id),
+steps AS (
+  SELECT doc_id, s, 0 AS n, NULL::VARCHAR AS open, []::VARCHAR[] AS done FROM pieces
+  UNION ALL
+  SELECT doc_id, s, n + 1, CASE WHEN length(made) >= 100 THEN NULL ELSE made END,
+    list_concat(CASE WHEN joins OR open IS NULL THEN [] ELSE [open] END, CASE WHEN length(made) >= 100 THEN [made] ELSE [] END)
+  FROM (SELECT *, open IS NOT NULL AND length(open) + 1 + length(s[n + 1]) <= 1000 AS joins,
+      CASE WHEN open IS NOT NULL AND length(open) + 1 + length(s[n + 1]) <= 1000 THEN open || ' ' || s[n + 1] ELSE s[n + 1] END AS made
+    FROM steps WHERE n < len(s))),
+closed AS (SELECT doc_id, n, unnest(done) AS text, unnest(range(len(done))) AS k FROM steps),
+placed AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS i FROM closed),
+rest AS (SELECT doc_id, open, (SELECT max(i) FROM placed p WHERE p.doc_id = steps.doc_id) AS last FROM steps WHERE n = len(s) AND open IS NOT NULL),
+whole AS (SELECT p.doc_id, i, CASE WHEN i = last AND length(text) + 1 + length(open) <= 1000 THEN text || ' ' || open ELSE text END AS text,
+    i = last AND length(text) + 1 + length(open) <= 1000 AS took FROM placed p LEFT JOIN rest USING (doc_id)),
+chunks AS (SELECT doc_id, i, text FROM whole
+  UNION ALL SELECT doc_id, coalesce(last + 1, 0), open FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM whole WHERE took))
+SELECT 'doc_' || doc_id AS source, CAST(i AS INTEGER) AS chunk_index, text FROM chunks"""
+
+
+@query("apply_size_guardrails", _FOLD, ("doc_sentences",))
 def apply_size_guardrails(spark, sf_dir):
     return guardrails.fold_chunks(_doc_pieces(spark, sf_dir)).select("source", "chunk_index", "text")
 
@@ -398,10 +461,10 @@ def chunk_id(spark, sf_dir):
 
 @query(
     "num_sentences",
-    "SELECT doc_id, CAST(len(string_split(text, '. ')) AS INTEGER) AS num_sentences, CAST(length(text) AS INTEGER) AS char_count FROM documents WHERE text IS NOT NULL",
+    "SELECT doc_id, CAST(len(string_split(text, '. ')) AS INTEGER) AS num_sentences, CAST(length(text) AS INTEGER) AS char_count FROM documents",
 )
 def num_sentences(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", T.num_sentences(F.col("text")).alias("num_sentences"), F.length("text").alias("char_count"))
 
 
@@ -510,7 +573,7 @@ def embedding_cache(spark, sf_dir):
 
 # Retrieval.
 
-_SIM = """, sim AS (SELECT query_id, chunk_id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim, text, c.source, doc_id, page_start FROM queries q CROSS JOIN chunk_store c),
+_SIM = """, sim AS (SELECT query_id, chunk_id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim, text, c.source, doc_id, page_start, c.embedding::DOUBLE[] AS v FROM queries q JOIN chunk_store c ON c.chunk_id <> q.own_chunk),
 near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, chunk_id) AS INTEGER) AS pos FROM sim)"""
 _HITS = _SIM + f""", hits AS (SELECT query_id, chunk_id, score, text, source, doc_id, page_start, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS rank
   FROM (SELECT *, round(sim, 4) AS score FROM near WHERE pos <= 30) WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8)"""
@@ -522,12 +585,12 @@ def _q(spark, sf_dir) -> DataFrame:
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return retrieval.retrieve_threshold(_q(spark, sf_dir), _store(spark, sf_dir), threshold=THRESHOLD)
+    return retrieval.retrieve_threshold(_q(spark, sf_dir), _store(spark, sf_dir), threshold=THRESHOLD, skip="own_chunk")
 
 
 @query("retrieve_top_k", f"{_SIM} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id, text FROM near WHERE pos <= 8", _VIEWS)
 def retrieve_top_k(spark, sf_dir):
-    return retrieval.retrieve_top_k(_q(spark, sf_dir), _store(spark, sf_dir)).select("query_id", "rank", "score", "chunk_id", "text")
+    return retrieval.retrieve_top_k(_q(spark, sf_dir), _store(spark, sf_dir), skip="own_chunk").select("query_id", "rank", "score", "chunk_id", "text")
 
 
 @query("retrieve_threshold", f"{_HITS} SELECT query_id, rank, score, chunk_id, text FROM hits", _VIEWS)
@@ -535,32 +598,46 @@ def retrieve_threshold(spark, sf_dir):
     return _hits(spark, sf_dir).select("query_id", "rank", "score", "chunk_id", "text")
 
 
-@query("retrieve_mmr")
+# One pick a step: of the candidates not yet picked the first of greatest value.
+_MMR = _SIM + """, cand AS (SELECT query_id, list({'chunk_id': chunk_id, 'sim': sim, 'v': v} ORDER BY pos) AS c FROM near WHERE pos <= 30 AND sim >= 0.2 GROUP BY query_id),
+picks AS (
+  SELECT query_id, c, []::BIGINT[] AS picked FROM cand
+  UNION ALL
+  SELECT query_id, c, list_append(picked, list_position(val, list_max(val))) FROM (
+    SELECT *, list_transform(range(1, len(c) + 1), lambda i: CASE WHEN NOT list_contains(picked, i) THEN
+      round(0.7::DOUBLE * c[i].sim - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(picked, lambda p: list_dot_product(c[i].v, c[p].v))), 0.0), 12) END) AS val
+    FROM picks WHERE len(picked) < least(8, len(c)))),
+whole AS (SELECT query_id, c, picked, unnest(range(1, len(picked) + 1)) AS r FROM picks WHERE len(picked) = least(8, len(c)))
+SELECT query_id, CAST(r AS INTEGER) AS rank, round(c[picked[r]].sim, 6) AS score, c[picked[r]].chunk_id AS chunk_id FROM whole"""
+
+
+@query("retrieve_mmr", _MMR, _VIEWS)
 def retrieve_mmr(spark, sf_dir):
-    return retrieval.retrieve(_q(spark, sf_dir), _store(spark, sf_dir), "MMR", threshold=0.2).select("query_id", "rank", F.round("score", 6).alias("score"), "chunk_id")
+    found = retrieval.retrieve(_q(spark, sf_dir), _store(spark, sf_dir), "MMR", threshold=0.2, skip="own_chunk")
+    return found.select("query_id", "rank", F.round("score", 6).alias("score"), "chunk_id")
 
 
 @query("raw_top3", f"{_SIM} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 3", _VIEWS)
 def raw_top3(spark, sf_dir):
-    return retrieval.raw_top3(_q(spark, sf_dir), _store(spark, sf_dir))
+    return retrieval.raw_top3(_q(spark, sf_dir), _store(spark, sf_dir), "own_chunk")
 
 
-@query("source_filter", f"{_SIM.replace('CROSS JOIN chunk_store c', chr(10) + ' CROSS JOIN (SELECT * FROM chunk_store WHERE source = ' + chr(39) + 'src3' + chr(39) + ') c')} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 8", _VIEWS)
+@query("source_filter", f"{_SIM.replace('JOIN chunk_store c ON', 'JOIN (SELECT * FROM chunk_store WHERE source = ' + chr(39) + 'src3' + chr(39) + ') c ON')} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 8", _VIEWS)
 def source_filter(spark, sf_dir):
     own = retrieval.filter_source(_store(spark, sf_dir), "src3")
-    return retrieval.retrieve_top_k(_q(spark, sf_dir), own).select("query_id", "rank", "score", "chunk_id")
+    return retrieval.retrieve_top_k(_q(spark, sf_dir), own, skip="own_chunk").select("query_id", "rank", "score", "chunk_id")
 
 
-@query("scoped_top_k", f"{_SIM.replace('CROSS JOIN chunk_store c', 'JOIN chunk_store c ON c.doc_id = ' + chr(39) + 'd' + chr(39) + ' || (query_id % 10)')} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 8", _VIEWS)
+@query("scoped_top_k", f"{_SIM.replace('JOIN chunk_store c ON', 'JOIN chunk_store c ON c.doc_id = ' + chr(39) + 'd' + chr(39) + ' || (query_id // 50 % 12) AND')} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 8", _VIEWS)
 def scoped_top_k(spark, sf_dir):
-    own = _q(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("d"), F.col("query_id") % 10))
-    return retrieval.retrieve_top_k(own, _store(spark, sf_dir), scope="doc_id").select("query_id", "rank", "score", "chunk_id")
+    own = _q(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("d"), F.floor(F.col("query_id") / 50) % 12))
+    return retrieval.retrieve_top_k(own, _store(spark, sf_dir), scope="doc_id", skip="own_chunk").select("query_id", "rank", "score", "chunk_id")
 
 
-@query("multi_document_retrieval", f"{_SIM.replace('CROSS JOIN chunk_store c', 'CROSS JOIN (SELECT * FROM chunk_store WHERE doc_id IN (SELECT doc_id FROM requests)) c')} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 8", ("queries", "chunk_store", "requests"))
+@query("multi_document_retrieval", f"{_SIM.replace('JOIN chunk_store c ON', 'JOIN (SELECT * FROM chunk_store WHERE doc_id IN (SELECT doc_id FROM requests)) c ON')} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 8", ("queries", "chunk_store", "requests"))
 def multi_document_retrieval(spark, sf_dir):
     own = retrieval.filter_source(_store(spark, sf_dir), doc_ids=fixture(spark, sf_dir, "requests"))
-    return retrieval.retrieve_top_k(_q(spark, sf_dir), own).select("query_id", "rank", "score", "chunk_id")
+    return retrieval.retrieve_top_k(_q(spark, sf_dir), own, skip="own_chunk").select("query_id", "rank", "score", "chunk_id")
 
 
 @query("no_context", f"{_HITS} SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM hits)", _VIEWS)
@@ -578,7 +655,7 @@ SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE best >= t::DOUBLE) AS acce
     _VIEWS,
 )
 def threshold_sweep(spark, sf_dir):
-    return retrieval.threshold_sweep(retrieval.raw_top3(_q(spark, sf_dir), _store(spark, sf_dir)), _GRID)
+    return retrieval.threshold_sweep(retrieval.raw_top3(_q(spark, sf_dir), _store(spark, sf_dir), "own_chunk"), _GRID)
 
 
 # Requests, prompts, replies.
@@ -605,12 +682,13 @@ def known_documents(spark, sf_dir):
 
 
 def _request_hits(spark, sf_dir) -> DataFrame:
-    """Hits of the queries, handed to the requests of equal number modulo 20."""
-    own = _requests(spark, sf_dir).select("request_id", (F.col("request_id") % 20).alias("query_id"))
+    """Hits of the queries, handed to the requests in turn."""
+    n = F.broadcast(_q(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")))  # one row
+    own = _requests(spark, sf_dir).join(n, F.lit(True)).select("request_id", (F.col("request_id") % F.col("n") * 50).alias("query_id"))
     return own.join(_hits(spark, sf_dir), "query_id")
 
 
-_RHITS = f"{_HITS}, rhits AS (SELECT request_id, h.* FROM requests JOIN hits h ON h.query_id = request_id % 20)"
+_RHITS = f"{_HITS}, rhits AS (SELECT request_id, h.* FROM requests JOIN hits h ON h.query_id = request_id % (SELECT count(*) FROM queries) * 50)"
 
 
 @query(
@@ -630,24 +708,43 @@ def _validated(spark, sf_dir) -> DataFrame:
     return quiz.validate_replies(fixture(spark, sf_dir, "responses"))
 
 
-# The reply kinds are known from the fixture's rule, so SQL states the outcome of each kind.
-_KINDS = """, k AS (SELECT request_id, attempt, raw_response, CAST((request_id * 7 + attempt) % 10 AS INTEGER) AS kind FROM responses),
-out AS (SELECT *, CASE kind WHEN 3 THEN 'missing explanation' WHEN 4 THEN 'correct not in A-D' WHEN 6 THEN 'parse error' WHEN 7 THEN 'not a list'
-    WHEN 8 THEN 'question not a non-blank string' WHEN 9 THEN 'parse error' END AS error,
-  CASE kind WHEN 3 THEN 1 WHEN 4 THEN 0 WHEN 8 THEN 0 END AS error_index,
-  CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 0 WHEN 8 THEN 1 END AS n_items FROM k),
+# What the replies hold is read from their text by DuckDB's own JSON functions.
+def _d_text(path: str) -> str:
+    return f"(json_type(x, '{path}') <> 'VARCHAR' OR trim(json_extract_string(x, '{path}')) = '')"
+
+
+_ITEM = f"""CASE WHEN json_type(x) <> 'OBJECT' THEN 'not a dict'
+  WHEN json_type(x, '$.question') IS NULL THEN 'missing question' WHEN {_d_text('$.question')} THEN 'question not a non-blank string'
+  WHEN json_type(x, '$.options') IS NULL THEN 'missing options' WHEN json_type(x, '$.options') <> 'OBJECT' THEN 'options not a dict'
+  WHEN list_sort(json_keys(x, '$.options')) <> ['A', 'B', 'C', 'D'] THEN 'option keys not A-D'
+  WHEN {_d_text('$.options.A')} THEN 'option A not a non-blank string' WHEN {_d_text('$.options.B')} THEN 'option B not a non-blank string'
+  WHEN {_d_text('$.options.C')} THEN 'option C not a non-blank string' WHEN {_d_text('$.options.D')} THEN 'option D not a non-blank string'
+  WHEN json_type(x, '$.correct') IS NULL THEN 'missing correct'
+  WHEN json_type(x, '$.correct') <> 'VARCHAR' OR json_extract_string(x, '$.correct') NOT IN ('A', 'B', 'C', 'D') THEN 'correct not in A-D'
+  WHEN json_type(x, '$.explanation') IS NULL THEN 'missing explanation' WHEN json_type(x, '$.explanation') <> 'VARCHAR' THEN 'explanation not a string'
+  WHEN length(trim(json_extract_string(x, '$.explanation'))) < 10 THEN 'explanation too short' END"""
+_KINDS = rf""", sliced AS (SELECT request_id, attempt, trim(raw_response) AS raw, regexp_extract(regexp_replace(raw_response, '```(json)?', '', 'gi'), '(?s)[\[{{].*[\]}}]') AS part FROM responses),
+parsed AS (SELECT request_id, attempt, CASE WHEN part <> '' AND json_valid(part) THEN part WHEN json_valid(raw) THEN raw END AS doc FROM sliced),
+itemised AS (SELECT *, CASE WHEN json_type(doc) = 'ARRAY' THEN json_extract(doc, '$[*]') END AS items FROM parsed),
+judged AS (SELECT *, list_transform(items, lambda x: {_ITEM}) AS errors FROM itemised),
+out AS (SELECT request_id, attempt, items, nullif(list_position(list_transform(errors, lambda e: e IS NOT NULL), true), 0) - 1 AS error_index, CAST(len(items) AS INTEGER) AS n_items,
+  CASE WHEN doc IS NULL THEN 'parse error' WHEN items IS NULL THEN 'not a list' ELSE list_filter(errors, lambda e: e IS NOT NULL)[1] END AS error FROM judged),
 sel AS (SELECT *, CASE WHEN error IS NULL AND n_items > 0 THEN 'valid' WHEN error IS NULL THEN 'empty' ELSE 'failed' END AS status FROM out WHERE attempt <= 3
   QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY (error IS NOT NULL)::INT, CASE WHEN error IS NULL THEN attempt ELSE -attempt END) = 1),
-good AS (SELECT s.request_id, unnest(range(1, n_items + 1))::INT AS id, 'q' || request_id || ' ' || substr(translate(text, concat('"', chr(92), chr(10), chr(9), chr(13)), ''), 1, 40) AS question FROM sel s
-  JOIN (SELECT conv_id, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS a FROM conversations WHERE role = 'assistant') c ON c.conv_id = s.request_id AND c.a = s.attempt WHERE status = 'valid')"""
+single AS (SELECT request_id, unnest(range(1, n_items + 1))::INT AS id, unnest(items) AS x FROM sel WHERE status = 'valid'),
+good AS (SELECT request_id, id, json_extract_string(x, '$.question') AS question, json_extract_string(x, '$.explanation') AS explanation,
+  json_extract_string(x, '$.options.' || json_extract_string(x, '$.correct')) AS answer FROM single)"""
 
 
-@query("extract_json", f"{_KINDS} SELECT request_id, attempt, kind NOT IN (6, 9) AS parsed FROM k", ("responses",))
+@query("extract_json", f"{_KINDS} SELECT request_id, attempt, doc IS NOT NULL AS parsed, CAST(json_array_length(doc) AS INTEGER) AS n, json_extract_string(doc, '$[0].question') AS question FROM parsed", ("responses",))
 def extract_json(spark, sf_dir):
-    return fixture(spark, sf_dir, "responses").select("request_id", "attempt", quiz.extract_json(F.col("raw_response")).isNotNull().alias("parsed"))
+    found = fixture(spark, sf_dir, "responses").select("request_id", "attempt", quiz.extract_json(F.col("raw_response")).alias("v"))
+    # DuckDB gives length 0 for a value that is no list.
+    n = F.when(F.col("v").isNotNull(), F.coalesce(F.size(F.try_variant_get("v", "$", "array<variant>")), F.lit(0)))
+    return found.select("request_id", "attempt", F.col("v").isNotNull().alias("parsed"), n.alias("n"), F.try_variant_get("v", "$[0].question", "string").alias("question"))
 
 
-@query("validate_mcq_list", f"{_KINDS} SELECT request_id, attempt, error, error_index, n_items FROM out", ("responses",))
+@query("validate_mcq_list", f"{_KINDS} SELECT request_id, attempt, error, CAST(error_index AS INTEGER) AS error_index, n_items FROM out", ("responses",))
 def validate_mcq_list(spark, sf_dir):
     return _validated(spark, sf_dir).select("request_id", "attempt", "error", "error_index", "n_items")
 
@@ -661,7 +758,7 @@ def _questions(spark, sf_dir) -> DataFrame:
     return quiz.number_questions(quiz.select_attempt(_validated(spark, sf_dir)))
 
 
-@query("number_questions", f"{_KINDS} SELECT request_id, id, question, 'two' AS answer, 'Because ' || question AS explanation FROM good", ("responses",))
+@query("number_questions", f"{_KINDS} SELECT request_id, id, question, answer, explanation FROM good", ("responses",))
 def number_questions(spark, sf_dir):
     return _questions(spark, sf_dir).select("request_id", "id", "question", F.element_at("options", F.col("correct")).alias("answer"), "explanation")
 
@@ -691,7 +788,7 @@ def _d_words(x: str) -> str:
 
 @query(
     "grounding_check",
-    f"""{_KINDS}, own AS (SELECT request_id, id, list_distinct({_d_words("question || ' two'")}) AS w, list_distinct({_d_words("coalesce(topic, '')")}) AS c FROM good LEFT JOIN requests USING (request_id))
+    f"""{_KINDS}, own AS (SELECT request_id, id, list_distinct({_d_words("question || ' ' || answer")}) AS w, list_distinct({_d_words("coalesce(topic, '')")}) AS c FROM good LEFT JOIN requests USING (request_id))
 SELECT request_id, id, round(len(list_intersect(w, c))::DOUBLE / greatest(len(w), 1), 4) AS grounding FROM own""",
     ("responses", "requests"),
 )
@@ -779,12 +876,12 @@ def validation_report(spark, sf_dir):
 
 @query(
     "token_report",
-    f""", n AS (SELECT doc_id, len({d_tokens('text')}) AS t FROM chunk_store WHERE text IS NOT NULL)
+    f""", n AS (SELECT doc_id, coalesce(len({d_tokens('text')}), 0) AS t FROM chunk_store)
 SELECT doc_id, count(*) AS chunks, CAST(min(t) AS INTEGER) AS min_tokens, CAST(floor(avg(t)) AS INTEGER) AS avg_tokens, CAST(max(t) AS INTEGER) AS max_tokens FROM n GROUP BY 1""",
     ("chunk_store",),
 )
 def token_report(spark, sf_dir):
-    return reports.token_report(_store(spark, sf_dir).where("text IS NOT NULL"), "doc_id")
+    return reports.token_report(_store(spark, sf_dir), "doc_id")
 
 
 # Streams.
