@@ -3,6 +3,10 @@
 Each step is a grouped minimum, which is written, and an equi-join with it, so a node with any number of
 neighbours is a partially aggregated row and a join key that adaptive execution splits. Nothing is gathered on the
 driver but one count and one checksum a round.
+
+Edge cases: edges with a null end and edges of a node with itself are left out, so a node that has no other edge is
+in no result; edges that repeat, in either direction, count once; the smallest id of a component names it, whatever
+the order of edges; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
