@@ -13,8 +13,8 @@ Rows with one and the same shingle set form a class, which gets a number of its
 written; classes, not copies, are compared, and neither null nor repeated ids matter to that. In each
 band bucket every class is compared with one pivot (which differs from band to band). After the
 components of the confirmed links are known, the only open pairs are those of a bucket whose members
-lie in different components. The members of such buckets are written as differences from a center,
-and pairs are generated through shared differences (see ``_open_pairs``), so that no link of a bucket
+lie in different components. The members of such buckets are written as differences from a center (a class of
+the bucket's largest component), and pairs are generated through shared differences (see ``_open_pairs``), so that no link of a bucket
 is lost while a large group of near copies does not make all its pairs.
 
 Scale: band keys, pivots, links and labels are grouped minima and equi-joins; no bucket, group or
@@ -237,6 +237,14 @@ def _verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, p
     return materialize(_confirmed(likely, classes, rows, width, percent), "links")
 
 
+def _centers(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """For each component of ``labels`` (id, component) the class of smallest doc_id (center): where ids are given in
+    order of time, the text that others are copies of, to which their differences are smallest. Any other choice gives
+    the same links, by more pairs."""
+    placed = labels.select(F.col("id").alias("cls"), "component").join(classes.select("cls", "at"), "cls")
+    return placed.groupBy("component").agg(F.min(F.struct("at", "cls"))["cls"].alias("center"))
+
+
 def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """``rows`` (doc_id, row_hash, text) without the text: n_shingles and the component's number (null for an
     empty set), with the smallest doc_id of the component."""
@@ -270,7 +278,9 @@ def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
     open_keys = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     inside = materialize(inside.join(materialize(open_keys, "open-keys"), "key"), "open-members")
     tally = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = tally.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("low"))).alias("main")).select("key", (-F.col("main.low")).alias("center"))
+    main = tally.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("low"))).alias("main")).select("key", (-F.col("main.low")).alias("component"))
+    centers = broadcast_if_small(materialize(_centers(classes, labels), "centers"))
+    main = main.join(centers, "component", "left").select("key", F.coalesce("center", "component").alias("center"))
     groups = inside.join(materialize(main, "main"), "key").select("center", "cls", "comp").distinct()
     near, open_pairs = _open_pairs(materialize(groups, "groups"), classes, rows, width, percent)
     more = _verify(open_pairs, classes, rows, width, percent).unionByName(near)
@@ -304,7 +314,7 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked = _linked(_with_hash(docs, row_hash(docs)), width, percent)
     linked = materialize(linked.where("component IS NOT NULL").select("doc_id", "row_hash", F.col("component").alias("grp")), "linked")
     grown = linked.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    return keep_one(docs, linked.join(materialize(grown, "grown"), "grp", "left_semi"))
+    return keep_one(docs, linked.join(broadcast_if_small(materialize(grown, "grown")), "grp", "left_semi"))
 
 
 ORACLE = r"""
