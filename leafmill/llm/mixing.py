@@ -139,7 +139,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     taken = taken.groupBy(F.col("doc_id").alias("place_id"), F.col("row_hash").alias("place_hash"))
     taken = materialize(taken.agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).where("copies > 0"), "mix-taken")
     rows = placed(docs)
-    once = at_places(rows, taken.where("rows = 1").drop("rows"), "inner").select("row", "copies")
+    # The mix takes a part of all rows, so this is a join of large tables at any size.
+    once = at_places(rows, taken.where("rows = 1").drop("rows"), "inner", few=False).select("row", "copies")
     several = materialize(taken.where("rows > 1").drop("rows"), "mix-repeated")
     again = at_places(rows, several, "left_semi").groupBy("doc_id", "row_hash").agg(F.first("row").alias("row"))
     again = at_places(again, several, "inner").select("row", "copies")

@@ -22,10 +22,11 @@ def placed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), row_hash(docs).alias("row_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def at_places(rows: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with ``places`` (place_id, place_hash and more) by location, null ids included."""
+def at_places(rows: DataFrame, places: DataFrame, how: str, few: bool = True) -> DataFrame:
+    """``rows`` joined with ``places`` (place_id, place_hash and more) by location, null ids included. Where places
+    are ``few`` at most sizes, they are broadcast if their count allows it."""
     same = rows["doc_id"].eqNullSafe(places["place_id"]) & (rows["row_hash"] == places["place_hash"])
-    return rows.join(broadcast_if_small(places), same, how)
+    return rows.join(broadcast_if_small(places) if few else places, same, how)
 
 
 def keep_one(docs: DataFrame, crowd: DataFrame) -> DataFrame:
