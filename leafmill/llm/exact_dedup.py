@@ -247,7 +247,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = _candidates(keyed, "doc_id", "row_hash").select("doc_id", "row_hash", F.sha2("norm", 256).alias("grp"))
     rows = materialize(rows, "candidates")
     grown = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    return keep_one(docs, rows.join(grown, "grp", "left_semi"))
+    return keep_one(docs, rows.join(broadcast_if_small(materialize(grown, "grown")), "grp", "left_semi"))
 
 
 ORACLE = r"""
