@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,17 +12,18 @@ BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 STRIP = rf"\A{BLANK}+|{BLANK}+\z"
 #: The characters of BLANK, for trimming without a regex.
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-SENTENCE_END = r"""([.!?]["')\]]*)\s+"""
 #: Abbreviations whose stop ends no sentence.
 ABBREVIATIONS = (
     "al", "approx", "Capt", "cf", "Ch", "Co", "Col", "Corp", "Dept", "Dr", "e.g", "ed", "eds", "Eq", "Eqs", "Fig", "Figs", "Gen", "i.e", "Inc",
     "Jr", "Lt", "Ltd", "Mr", "Mrs", "Ms", "Mt", "pp", "Prof", "Rep", "Rev", "Sec", "Sen", "Sgt", "Sr", "St", "Univ", "Vol", "vs",
 )
-#: A stop that ends no sentence: behind an abbreviation or an initial, or before a word in lower case.
-SHORT_STOP = rf"(?<![\p{{L}}\p{{N}}_.])({'|'.join(x.replace('.', '[.]') for x in ABBREVIATIONS)}|[A-HJ-Z])\.(?=\s)"
-INNER_STOP = r"""\.(?=["')\]]*\s+\p{Ll})"""
-#: Two characters that stand in no text: the place of a stop that ends no sentence, and a sentence's end.
-STOP, END = "\ufffe", "\uffff"
+#: A character that stands in no text: a sentence's end.
+END = "\uffff"
+#: White space, apart from the stop mark and closing quotes or brackets before it.
+_LONGEST = max(map(len, ABBREVIATIONS))
+_AFTER_END = r"""([.!?]["')\]]*)(\s+)"""
+#: Characters around a word that are no part of it.
+AROUND = "\"'()[]{}<>“”„‘’«»"
 _NUMBER = r"\p{Nd}{1,4}"
 _RULE = r"[-\x{2013}\x{2014}.\s\p{Z}\x1c-\x1f\x85]*+"
 #: A line that is a page number of one to four digits: alone or between rules, or with words that say so.
@@ -141,13 +144,41 @@ def drop_references(text: Column) -> Column:
     return F.array_join(F.flatten(F.transform(sections, without)), "\n")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def split_where(text: Column, goes_on: Callable[[Column, Column], Column]) -> Column:
+    """Sentences in order, stripped, without blank ones. A piece ends at a stop mark, closing quotes or brackets, and
+    white space; ``goes_on(piece, next)`` tells of two neighbouring pieces whether the sentence does not end there."""
+    pieces = F.split(F.regexp_replace(text, _AFTER_END, f"$1{END}$2"), END)
+
+    def joined(ps: Column) -> Column:
+        last = F.size(ps) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda k: (k == last) | ~goes_on(ps[k], ps[k + 1]))
+
+        def sentence(es: Column) -> Column:
+            before = lambda n: F.when(n > 0, es[n - 1]).otherwise(F.lit(-1))
+            return F.transform(es, lambda e, n: strip(F.array_join(F.slice(ps, before(n) + 2, e - before(n)), "")))
+
+        return once(ends, sentence)
+
+    return F.filter(once(pieces, joined), lambda s: s != "")
+
+
+def _fixed_goes_on(piece: Column, following: Column) -> Column:
+    """Behind an abbreviation or an initial, or before a word in lower case."""
+    short = F.regexp_extract(F.right(piece, F.lit(_LONGEST + 2)), r"([\p{L}\p{N}_.]*)\.\z", 1)
+    inner = piece.rlike(r"""\.["')\]]*\z""") & following.rlike(r"\A\s+\p{Ll}")
+    return short.isin(*ABBREVIATIONS, *"ABCDEFGHJKLMNOPQRSTUVWXYZ") | inner
+
+
 def split_sentences(text: Column) -> Column:
     """Sentences in order, stripped, without blank ones. One ends at a stop mark, closing quotes or brackets, and
     white space; but not at the stop of an abbreviation or an initial, nor before a word in lower case (decimals
-    have no white space behind their point)."""
-    held = F.regexp_replace(F.regexp_replace(text, SHORT_STOP, f"$1{STOP}"), INNER_STOP, STOP)
-    marked = F.regexp_replace(held, SENTENCE_END, f"$1{END}")
-    return F.filter(F.transform(F.split(marked, END), lambda s: strip(F.replace(s, F.lit(STOP), F.lit(".")))), lambda s: s != "")
+    have no white space behind their point). ``operators.borders`` learns the abbreviations instead."""
+    return split_where(text, _fixed_goes_on)
 
 
 # Chunks.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -41,14 +41,16 @@ def split_vectors(sentences: DataFrame, keys: list[str], k: float | None = 1.5)
     return merge_at_breakpoints(find_breakpoints(consecutive_similarity(sentences, keys), keys, k), keys)
 
 
-def semantic_split(sections: DataFrame, max_size: int | None = 1000, k: float | None = 1.5, loader: Callable[[], Callable] | None = None) -> DataFrame:
+def semantic_split(
+    sections: DataFrame, max_size: int | None = 1000, k: float | None = 1.5, loader: Callable[[], Callable] | None = None, split: Callable[[Column], Column] = T.split_sentences
+) -> DataFrame:
     """Sections (source, section_seq, headings, text, start_off, end_off) longer than ``max_size`` are cut
     at breakpoints; others pass. Adds ``part``; parts inherit the section's columns, and their offsets
-    share out the section's range by length."""
+    share out the section's range by length. ``split`` makes a text's sentences, for example by learned ``Borders``."""
     max_size = max_size or 1000
     keys = ["source", "section_seq"]
     long = sections.where(F.length("text") > max_size)
-    sentences = long.select(*keys, F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    sentences = long.select(*keys, F.posexplode(split(F.col("text"))).alias("pos", "sentence"))
     parts = split_vectors(embed(sentences, "sentence", "embedding", loader), keys, k)
     size = F.length("text").cast("long")
     order = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import cleaning, embed, guardrails, pages, quiz, reports, retrieval, sections, semantic
+from leafmill.operators import borders, cleaning, embed, guardrails, pages, quiz, reports, retrieval, sections, semantic
 from leafmill.plans.fixtures import duck_ctes, fixture
-from leafmill.session import shared_dir
+from leafmill.session import materialize, shared_dir
 from leafmill.sources import pages as page_source
 from leafmill.sources import store as chunk_store
 from leafmill.streaming import ingest
@@ -360,6 +360,73 @@ def split_sentences(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
+# Learned borders: counts of words by what stands before them, then the two log-likelihood ratios.
+_AROUND = " || ".join(f"chr({ord(c)})" for c in "\"'()[]{}<>“”„‘’«»")
+_SMALL = "(substr({x}, 1, 1) = lower(substr({x}, 1, 1)) AND substr({x}, 1, 1) <> upper(substr({x}, 1, 1)))"
+_CAPITAL = "(substr({x}, 1, 1) = upper(substr({x}, 1, 1)) AND substr({x}, 1, 1) <> lower(substr({x}, 1, 1)))"
+_TYPE = "translate(rtrim(lower({x}), '.,;:!?'), '0123456789', '##########')"
+_PART = "CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END"
+
+
+def _fit(k: str, of: str, p: str) -> str:
+    return f"({_PART.format(k=f'({k})', p=p)} + {_PART.format(k=f'({of} - ({k}))', p=f'1 - ({p})')})"
+
+
+_LEARNED = f"""WITH tk AS (
+  SELECT coalesce(lang, '') AS lang, [trim(x, {_AROUND}) FOR x IN regexp_split_to_array({d_strip("text")}, '[{_GAP}]+')] AS c FROM documents WHERE text IS NOT NULL),
+wd AS (SELECT lang, unnest(c) AS core, unnest(list_prepend('!', c[1:len(c) - 1])) AS ahead FROM tk),
+ct AS (
+  SELECT lang, CASE WHEN ahead LIKE '%!' OR ahead LIKE '%?' OR ahead LIKE '%..' THEN '!' WHEN ahead LIKE '%.' THEN {_TYPE.format(x="ahead")} || '.' ELSE '' END AS before,
+    {_TYPE.format(x="core")} AS word, count(*) AS n, count(*) FILTER (WHERE core LIKE '%.' AND core NOT LIKE '%..') AS stop,
+    count(*) FILTER (WHERE {_SMALL.format(x="core")}) AS small, count(*) FILTER (WHERE {_CAPITAL.format(x="core")}) AS capital
+  FROM wd GROUP BY ALL HAVING word <> ''),
+tot AS (SELECT lang, sum(n) AS words, sum(stop) AS stops, least(1.0::DOUBLE, 1000000.0::DOUBLE / sum(n)) AS s FROM ct GROUP BY lang),
+ab AS (SELECT * FROM (
+  SELECT lang, word, round(2 * (c1 * ln(0.99::DOUBLE / (stops / words)) + c0 * ln(0.01::DOUBLE / (1 - stops / words))) * exp(-size - c0 * ln(size::DOUBLE)) * (length(word) - size + 1), 6) AS score
+  FROM (SELECT lang, word, stops, words, stop * s AS c1, (n - stop) * s AS c0, length(replace(word, '.', '')) AS size
+        FROM (SELECT lang, word, sum(n) AS n, sum(stop) AS stop FROM ct GROUP BY ALL) JOIN tot USING (lang)
+        WHERE regexp_matches(word, '\\p{{L}}') AND stop * s >= 3 AND stops < words) WHERE size > 0) WHERE score >= 0.3),
+fin AS (SELECT *, before IN (SELECT word || '.' FROM ab WHERE ab.lang = ct.lang) AS shortened FROM ct WHERE before LIKE '%.' OR before = '!'),
+ended AS (SELECT * FROM fin WHERE length(before) <> 2 AND NOT shortened),
+sc AS (
+  SELECT lang, word, n * s AS b, small * s AS small, inside, coalesce(first, 0) * s AS ab, ends * s AS a, words * s AS n, coalesce(behind, 0) * s AS behind
+  FROM (SELECT lang, word, sum(n) AS n, sum(small) AS small, sum(capital) FILTER (WHERE before = '') AS inside FROM ct GROUP BY ALL)
+  JOIN tot USING (lang) JOIN (SELECT lang, sum(n) AS ends FROM ended GROUP BY lang) USING (lang)
+  LEFT JOIN (SELECT lang, word, sum(n) AS first FROM ended GROUP BY ALL) USING (lang, word)
+  LEFT JOIN (SELECT lang, word, sum(capital) AS behind FROM fin WHERE length(before) = 2 OR shortened GROUP BY ALL) USING (lang, word)
+  WHERE regexp_matches(word, '\\p{{L}}') AND ends < words),
+st AS (SELECT lang, word, score FROM (
+  SELECT *, round(CASE WHEN ab * n > b * a THEN 2 * ({_fit("ab", "a", "ab / a")} + {_fit("b - ab", "(n - a)", "(b - ab) / (n - a)")}
+      - {_fit("ab", "a", "b / n")} - {_fit("b - ab", "(n - a)", "b / n")}) ELSE 0 END, 6) AS score
+  FROM sc WHERE b >= 3) WHERE score >= 30 OR (small >= 3 AND coalesce(inside, 0) = 0 AND behind >= 1))"""
+
+
+@query("sentence_words", f"{_LEARNED} SELECT 'abbreviation' AS kind, lang, word, round(score, 3) AS score FROM ab UNION ALL SELECT 'starter', lang, word, round(score, 3) FROM st")
+def sentence_words(spark, sf_dir):
+    counts = materialize(borders.word_counts(_table(spark, sf_dir, "documents")), "word-counts")
+    short = materialize(borders.abbreviations(counts), "abbreviations")
+    kinds = [d.select(F.lit(k).alias("kind"), "lang", "word", F.round("score", 3).alias("score")) for k, d in (("abbreviation", short), ("starter", borders.starters(counts, short)))]
+    return kinds[0].unionByName(kinds[1])
+
+
+_LEARNED_SENTENCES = _LEARNED + r""",
+p AS (SELECT doc_id, coalesce(lang, '') AS lang, string_split(regexp_replace(text, '([.!?]["'')\]]*)(\s)', '\1' || chr(65535) || '\2', 'g'), chr(65535)) AS s FROM documents),
+q AS (SELECT doc_id, lang, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS x FROM p),
+e AS (SELECT *, trim(regexp_extract(x, '\S+$'), {around}) AS l, lead(trim(regexp_extract(x, '^\s*(\S+)', 1), {around})) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM q),
+n AS (SELECT *, coalesce(l LIKE '%.' AND ({small} OR (l NOT LIKE '%..' AND (length({last}) = 1 OR (lang, {last}) IN (SELECT (lang, word) FROM ab)) AND NOT ({capital} AND (lang, {next}) IN (SELECT (lang, word) FROM st)))), false) AS goes_on FROM e),
+g AS (SELECT *, coalesce(sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM n),
+m AS (SELECT doc_id, k, {strip} AS sentence FROM (SELECT doc_id, k, string_agg(x, '' ORDER BY i) AS joined FROM g GROUP BY doc_id, k))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS pos, sentence FROM m WHERE sentence <> ''"""
+for _name, _sql in (("around", _AROUND), ("small", _SMALL.format(x="r")), ("capital", _CAPITAL.format(x="r")), ("last", _TYPE.format(x="l")), ("next", _TYPE.format(x="r")), ("strip", d_strip("joined"))):
+    _LEARNED_SENTENCES = _LEARNED_SENTENCES.replace(f"{{{_name}}}", _sql)
+
+
+@query("learned_sentences", _LEARNED_SENTENCES)
+def learned_sentences(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = borders.learn(docs)
+    return docs.select("doc_id", F.posexplode(model.split(F.col("text"), F.col("lang"))).alias("pos", "sentence"))
+
 
 @query(
     "hash_embed",
