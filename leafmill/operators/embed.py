@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import materialize
+
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -60,14 +62,23 @@ def embed(df: DataFrame, column: str = "text", to: str = "embedding", loader: Ca
     return df.withColumn(to, run(F.col(column)))
 
 
+def text_hash(column: str = "text") -> Column:
+    return F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
+
+
+def missing_vectors(df: DataFrame, cache: DataFrame, column: str = "text", loader: Callable[[], Callable] | None = None) -> DataFrame:
+    """text_sha256 and embedding of the texts of ``df`` that ``cache`` lacks, each embedded once however often it occurs."""
+    keyed = df.select(text_hash(column).alias("text_sha256"), column)
+    fresh = keyed.join(cache.select("text_sha256"), "text_sha256", "left_anti").dropDuplicates(["text_sha256"])
+    return embed(fresh, column, "embedding", loader).select("text_sha256", "embedding")
+
+
 def embed_cached(df: DataFrame, cache: DataFrame, column: str = "text", loader: Callable[[], Callable] | None = None) -> tuple[DataFrame, DataFrame]:
     """(``df`` with vectors, vectors that the cache lacks). ``cache``: text_sha256, embedding. Each new
-    text is embedded once however often it occurs."""
-    keyed = df.withColumn("text_sha256", F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
-    fresh = keyed.join(cache.select("text_sha256"), "text_sha256", "left_anti").select("text_sha256", column).dropDuplicates(["text_sha256"])
-    fresh = embed(fresh, column, "embedding", loader).select("text_sha256", "embedding")
+    text is embedded once however often it occurs; what is made is written before both results use it."""
+    fresh = materialize(missing_vectors(df, cache, column, loader), "fresh-vectors")
     known = cache.select("text_sha256", "embedding").unionByName(fresh)
-    return keyed.join(known, "text_sha256", "left"), fresh
+    return df.withColumn("text_sha256", text_hash(column)).join(known, "text_sha256", "left"), fresh
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -15,7 +15,7 @@ from leafmill.plans.fixtures import duck_ctes, fixture
 from leafmill.session import materialize, shared_dir
 from leafmill.sources import pages as page_source
 from leafmill.sources import store as chunk_store
-from leafmill.streaming import ingest
+from leafmill.streaming import gather, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -695,6 +695,15 @@ def source_filter(spark, sf_dir):
     return retrieval.retrieve_top_k(_q(spark, sf_dir), own, skip="own_chunk").select("query_id", "rank", "score", "chunk_id")
 
 
+@query("stored_source_filter", ORACLES["source_filter"])
+def stored_source_filter(spark, sf_dir):
+    """The source filter over a written store, of which only the folders that may hold the source are read."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    chunk_store.upsert_chunks(_store(spark, sf_dir).withColumn("doc_id", T.attach_doc_id(F.col("source"))), path, buckets=16)
+    own = chunk_store.read_store(spark, path, source="src3")
+    return retrieval.retrieve_top_k(_q(spark, sf_dir), own, skip="own_chunk").select("query_id", "rank", "score", "chunk_id")
+
+
 @query("scoped_top_k", f"{_SIM.replace('JOIN chunk_store c ON', 'JOIN chunk_store c ON c.doc_id = ' + chr(39) + 'd' + chr(39) + ' || (query_id // 50 % 12) AND')} SELECT query_id, pos AS rank, round(sim, 4) AS score, chunk_id FROM near WHERE pos <= 8", _VIEWS)
 def scoped_top_k(spark, sf_dir):
     own = _q(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("d"), F.floor(F.col("query_id") / 50) % 12))
@@ -977,3 +986,22 @@ def ingest_stream(spark, sf_dir):
     book = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("source"), F.lit(0).alias("page"), F.col("text").alias("page_content"))
     ingest.ingest_stream(book, path, f"{path}-checkpoint").awaitTermination()
     return chunk_store.read_store(spark, path).select("chunk_id", "source", "chunk_index", "text", "char_count")
+
+
+@query(
+    "gather_pages",
+    """SELECT 'book_' || CAST(doc_id // 4 AS VARCHAR) AS source, CAST(doc_id % 4 AS INTEGER) AS page, CAST(count(*) OVER (PARTITION BY doc_id // 4) AS INTEGER) AS total_pages, text AS page_content, true AS complete
+FROM documents WHERE doc_id IS NOT NULL""",
+)
+def gather_pages(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.floor(F.col("doc_id") / 4).alias("book"), (F.col("doc_id") % 4).cast("int").alias("page"), "text")
+    totals = docs.groupBy("book").agg(F.count(F.lit(1)).cast("int").alias("total_pages"))
+    pages = docs.join(totals, "book").select(F.concat(F.lit("book_"), F.col("book").cast("string")).alias("source"), "page", "total_pages", F.col("text").alias("page_content"))
+    parts = materialize(pages.repartition(8, "page", F.xxhash64("source") % 2), "parts")
+    path = f"{shared_dir(spark)}/gathered-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 4).parquet(parts.inputFiles()[0].rsplit("/", 1)[0])
+    with gather.keyed_state(spark):
+        sink = gather.gathered_pages(stream).writeStream.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+        running = sink.format("parquet").start(path)
+    running.awaitTermination()
+    return spark.read.schema(gather.GATHERED).parquet(path)

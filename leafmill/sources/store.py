@@ -1,27 +1,41 @@
 """The chunk store: Parquet in hash buckets of doc_id, with idempotent writes.
 
 Rows lie in folders of their own write (``data-*``), by bucket; a manifest (``manifest-*``, a small Parquet table)
-says which folder holds each bucket. A write makes new folders for the buckets that it touches, then a new
-manifest; only when that is complete are the old ones removed. A write that is cut short leaves the store as it was,
-and readers always see one whole state. Writers must take turns.
+says which folder holds each bucket, and ``commit-<number>`` names the manifest that counts. A write makes new folders
+for the buckets that it touches, then a manifest, then the next commit. A write that is cut short leaves the store
+as it was, and readers always see one whole state.
+
+Several may write at once: a commit is a file that only one writer can create (the file system must refuse to create a file
+that exists, as HDFS and local disks do). Whoever comes second merges its chunks anew into the state it finds then. Folders
+go one commit after the one that replaced them, so those who still read that state can end; who reads for longer than two
+writes take has to begin again. What writers that died have left is removed by ``vacuum``.
 
 A write reads and rewrites the touched buckets only. Their number follows the store: it is doubled, in a write that
-touches all of them, when buckets hold more than ``BUCKET_ROWS`` rows on average.
+touches all of them, when buckets hold more than ``BUCKET_ROWS`` rows on average. The manifest has for each bucket the
+range of its sources, and their names where they are ``NAMED`` at most; a read of some sources or documents opens
+only the folders that may hold them. Rows lie sorted by source in a bucket, so Parquet's own statistics skip within it.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKET_ROWS = 100_000
 
-_MANIFEST = "bucket int, folder string, n long, buckets int, layout string"
+#: Sources of a bucket that its manifest row names; of more it has the range only.
+NAMED = 64
+#: Merges that a write tries while others commit before it.
+TRIES = 20
+
+_MANIFEST = "bucket int, folder string, n long, first string, last string, sources array<string>, buckets int, layout string"
 
 
 def _unique(chunks: DataFrame) -> DataFrame:
@@ -60,23 +74,47 @@ def _names(spark: SparkSession, path: str, prefix: str) -> list[str]:
 
 @dataclass
 class _State:
-    """A store as its last whole manifest has it; ``folders`` and ``rows`` by bucket."""
+    """A store as its last commit has it; a manifest row (folder, n, first, last, sources) by bucket."""
 
     number: int
     buckets: int
     layout: str | None
-    folders: dict[int, str]
-    rows: dict[int, int]
+    held: dict[int, tuple]
+
+    @property
+    def folders(self) -> dict[int, str]:
+        return {b: row[0] for b, row in self.held.items()}
 
+    @property
+    def rows(self) -> dict[int, int]:
+        return {b: row[1] for b, row in self.held.items()}
 
-def _state(spark: SparkSession, path: str) -> _State:
-    whole = [n for n in _names(spark, path, "manifest-") if _exists(spark, f"{path}/{n}/_SUCCESS")]
-    if not whole:
-        return _State(0, 0, None, {}, {})
+
+def _state(spark: SparkSession, path: str, number: int | None = None) -> _State:
+    commits = [n for n in _names(spark, path, "commit-") if number is None or int(n.split("-")[1]) == number]
+    if not commits:
+        return _State(0, 0, None, {})
+    manifest = spark.read.text(f"{path}/{commits[-1]}").first()[0]
     # One row for each bucket, of which there is one for many thousand rows.
-    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/{whole[-1]}").collect()
-    held = [r for r in rows if r["folder"] is not None]
-    return _State(int(whole[-1].split("-")[1]), rows[0]["buckets"], rows[0]["layout"], {r["bucket"]: r["folder"] for r in held}, {r["bucket"]: r["n"] for r in held})
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/{manifest}").collect()
+    held = {r["bucket"]: (r["folder"], r["n"], r["first"], r["last"], r["sources"]) for r in rows if r["folder"] is not None}
+    return _State(int(commits[-1].split("-")[1]), rows[0]["buckets"], rows[0]["layout"], held)
+
+
+def _commit(spark: SparkSession, path: str, number: int, manifest: str) -> bool:
+    """Makes ``manifest`` the one that counts; false if another write has come first."""
+    fs, p = _fs(spark, f"{path}/commit-{number:08d}")
+    if fs.exists(p):
+        return False
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
+    out.write(bytearray(f"{manifest}\n".encode()))
+    out.close()
+    return True
 
 
 def _bucket(buckets: int):
@@ -89,40 +127,91 @@ def _read(spark: SparkSession, path: str, state: _State, which: list[int]) -> Da
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def _write(chunks: DataFrame, path: str, key: str, buckets: int | None, gone: DataFrame | None = None) -> int:
-    spark = chunks.sparkSession
-    state = _state(spark, path)
-    name = uuid.uuid4().hex
-    stage = f"{path}/stage-{name}"
-    # Chunks are made once, beside the store; what is merged is read from there.
-    _unique(chunks).write.parquet(stage)
-    new = spark.read.schema(chunks.schema).parquet(stage)
-    written = new.count()
+def _merge(new: DataFrame, path: str, key: str, buckets: int | None, gone: DataFrame | None, state: _State, written: int) -> tuple[str, str]:
+    """Writes the touched buckets and the manifest of the state that follows ``state``: data folder, manifest."""
+    spark = new.sparkSession
     total = written + sum(state.rows.values())
     count = state.buckets or buckets or 1
     while buckets is None and total > count * BUCKET_ROWS:
         count *= 2
     keys = new.select("doc_id") if gone is None else new.select("doc_id").unionByName(gone.select("doc_id"))
     # At most one number for each bucket.
-    touched = sorted(state.folders) if count != state.buckets else sorted(r[0] for r in keys.select(_bucket(count)).distinct().collect() if r[0] in state.folders)
+    touched = sorted(state.held) if count != state.buckets else sorted(r[0] for r in keys.select(_bucket(count)).distinct().collect() if r[0] in state.held)
     merged = merged_chunks(_read(spark, path, state, touched), new, key, gone) if state.layout else new
+    name = uuid.uuid4().hex
     folder = f"data-{name}"
-    merged.withColumn("bucket", _bucket(count)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{folder}")
-    made = spark.read.parquet(f"{path}/{folder}") if _names(spark, f"{path}/{folder}", "bucket=") else None
-    sizes = {r["bucket"]: r["count"] for r in made.groupBy("bucket").count().collect()} if made is not None else {}
-    rows = {b: (state.folders[b], state.rows[b]) for b in state.folders if b not in touched} | {b: (folder, n) for b, n in sizes.items()}
-    layout = state.layout or chunks.schema.json()
-    lines = [(b, f, n, count, layout) for b, (f, n) in sorted(rows.items())] or [(None, None, None, count, layout)]
-    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest-{state.number + 1:08d}")
-    for old in _names(spark, path, "stage-") + _names(spark, path, "manifest-")[:-1]:
-        _delete(spark, f"{path}/{old}")
-    for old in touched:
-        _delete(spark, f"{path}/{state.folders[old]}/bucket={old}")
-    used = {f for f, _ in rows.values()}
-    for old in _names(spark, path, "data-"):
-        if old not in used:
-            _delete(spark, f"{path}/{old}")
-    return written
+    order = [F.col("bucket"), *[F.col(c) for c in ("source",) if c in new.columns]]
+    merged.withColumn("bucket", _bucket(count)).repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    held = {b: row for b, row in state.held.items() if b not in touched}
+    if _names(spark, f"{path}/{folder}", "bucket="):
+        made = spark.read.parquet(f"{path}/{folder}")
+        own = F.col("source").cast("string") if "source" in made.columns else F.lit(None).cast("string")
+        # Of each bucket the rows, and of its sources one row each, which then are counted.
+        each = made.groupBy("bucket", own.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+        named = F.when(F.count("source") <= NAMED, F.collect_set(F.when(F.col("nth") <= NAMED, F.col("source"))))
+        each = each.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("source")))
+        stats = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("source").alias("first"), F.max("source").alias("last"), named.alias("sources"))
+        held |= {r["bucket"]: (folder, r["n"], r["first"], r["last"], r["sources"]) for r in stats.collect()}
+    layout = state.layout or new.schema.json()
+    lines = [(b, *row, count, layout) for b, row in sorted(held.items())] or [(None,) * 6 + (count, layout)]
+    manifest = f"manifest-{name}"
+    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.parquet(f"{path}/{manifest}")
+    return folder, manifest
+
+
+def _write(chunks: DataFrame, path: str, key: str, buckets: int | None, gone: DataFrame | None = None) -> int:
+    spark = chunks.sparkSession
+    stage = f"{path}/stage-{uuid.uuid4().hex}"
+    # Chunks are made once, beside the store; what is merged is read from there.
+    _unique(chunks).write.parquet(stage)
+    new = spark.read.schema(chunks.schema).parquet(stage)
+    written = new.count()
+    for n in range(TRIES):
+        state = _state(spark, path)
+        try:
+            folder, manifest = _merge(new, path, key, buckets, gone, state, written)
+        except Exception:
+            # The state may have gone while it was read; without a newer one this is an error like any other.
+            if n + 1 < TRIES and _state(spark, path).number > state.number + 1:
+                continue
+            raise
+        if _commit(spark, path, state.number + 1, manifest):
+            _forget(spark, path, state.number)
+            _delete(spark, stage)
+            return written
+        for lost in (folder, manifest):
+            _delete(spark, f"{path}/{lost}")
+    raise RuntimeError(f"{TRIES} other writes came first at {path}")
+
+
+def _forget(spark: SparkSession, path: str, number: int) -> None:
+    """Removes what the commit before ``number`` has and neither ``number`` nor a later one needs."""
+    if f"commit-{number - 1:08d}" not in _names(spark, path, "commit-"):
+        return
+    old, kept = _state(spark, path, number - 1), [_state(spark, path, number), _state(spark, path)]
+    needed = {(b, f) for s in kept for b, f in s.folders.items()}
+    for b, f in old.folders.items():
+        if (b, f) not in needed:
+            _delete(spark, f"{path}/{f}/bucket={b}")
+    for f in set(old.folders.values()) - {f for _, f in needed}:
+        _delete(spark, f"{path}/{f}")
+    name = f"{path}/commit-{number - 1:08d}"
+    _delete(spark, f"{path}/{spark.read.text(name).first()[0]}")
+    _delete(spark, name)
+
+
+def vacuum(spark: SparkSession, path: str, hours: float = 24.0) -> list[str]:
+    """Removes folders that no commit needs and nothing has changed for so many hours: what writers that died have left."""
+    commits = _names(spark, path, "commit-")
+    needed = {f for n in commits for f in _state(spark, path, int(n.split("-")[1])).folders.values()} | {spark.read.text(f"{path}/{n}").first()[0] for n in commits}
+    fs, p = _fs(spark, path)
+    gone = []
+    for s in fs.listStatus(p):
+        name, age = s.getPath().getName(), time.time() - s.getModificationTime() / 1000
+        if name.startswith(("data-", "stage-", "manifest-")) and name not in needed and age >= 3600 * hours:
+            _delete(spark, f"{path}/{name}")
+            gone.append(name)
+    return sorted(gone)
 
 
 def upsert_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> int:
@@ -138,15 +227,27 @@ def replace_source(chunks: DataFrame, path: str, documents: DataFrame | None = N
     return _write(chunks, path, "doc_id", buckets, documents)
 
 
-def read_store(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    """All rows, or those of a document, for which one bucket is read."""
+def _may_hold(row: tuple, source: str) -> bool:
+    _, _, first, last, sources = row
+    return source in sources if sources is not None else first is not None and first <= source <= last
+
+
+def read_store(spark: SparkSession, path: str, doc_id: str | None = None, source: str | None = None) -> DataFrame:
+    """All rows, or those of a document (for which one bucket is read) or of a source (for which the buckets are read
+    whose statistics allow it)."""
     state = _state(spark, path)
     if state.layout is None:
         raise ValueError(f"no store at {path}")
-    if doc_id is None:
-        return _read(spark, path, state, sorted(state.folders))
-    own = spark.range(1).select(F.lit(doc_id).alias("doc_id")).select(_bucket(state.buckets)).first()[0]
-    return _read(spark, path, state, [own] if own in state.folders else []).where(F.col("doc_id") == doc_id)
+    which = sorted(state.held)
+    if doc_id is not None:
+        own = spark.range(1).select(F.lit(doc_id).alias("doc_id")).select(_bucket(state.buckets)).first()[0]
+        which = [b for b in which if b == own]
+    if source is not None:
+        which = [b for b in which if _may_hold(state.held[b], source)]
+    rows = _read(spark, path, state, which)
+    for name, value in (("doc_id", doc_id), ("source", source)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows
 
 
 def write_questions(quiz: DataFrame, path: str, fmt: str = "json") -> None:

@@ -10,17 +10,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.functions import text as T
 from leafmill.operators.cleaning import clean_pages
-from leafmill.operators.embed import embed
+from leafmill.operators.embed import embed, embed_cached
 from leafmill.operators.guardrails import chunk_documents
 from leafmill.operators.pages import useful_pages
+from leafmill.session import drop_scratch, materialize, scratch_mark
 from leafmill.sources.store import replace_source, upsert_chunks
+from leafmill.sources.vectors import add_vectors, read_vectors
+from leafmill.streaming.gather import gathered_pages, keyed_state
 
 
-def index_pages(pages: DataFrame, loader: Callable[[], Callable] | None = None, **chunking) -> DataFrame:
-    """Gate, clean, chunk and embed: the rows of the chunk store."""
+def index_pages(pages: DataFrame, loader: Callable[[], Callable] | None = None, cache: str | None = None, **chunking) -> DataFrame:
+    """Gate, clean, chunk and embed: the rows of the chunk store. With ``cache``, the folder of a vector cache, only
+    chunk texts that it lacks are embedded, and their vectors are added to it."""
     chunks = chunk_documents(clean_pages(useful_pages(pages)), loader=loader, **chunking)
     chunks = chunks.withColumn("doc_id", T.attach_doc_id(F.col("source")))
-    return embed(chunks, "text", "embedding", loader)
+    if cache is None:
+        return embed(chunks, "text", "embedding", loader)
+    full, fresh = embed_cached(materialize(chunks, "chunks"), read_vectors(pages.sparkSession, cache), "text", loader)
+    full = materialize(full.drop("text_sha256"), "embedded")  # before the cache is written, and perhaps merged
+    if not fresh.isEmpty():
+        add_vectors(fresh, cache)
+    return full
 
 
 def ingest_stream(
@@ -28,18 +38,32 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Each micro-batch of pages is indexed and written; chunk ids are stable and writes idempotent, so a
     replayed batch leaves the store as it was. All pages of a source must arrive in one micro-batch (one
-    file), as uploads do. With ``fresh`` a source that comes again replaces its old chunks, also when nothing of
-    it passes the gate now."""
+    file), as uploads do; see ``ingest_parts`` where they do not. With ``fresh`` a source that comes again replaces
+    its old chunks, also when nothing of it passes the gate now. A batch's scratch tables go when it is written."""
 
     def write(batch: DataFrame, _: int) -> None:
+        mark = scratch_mark(batch.sparkSession)
         rows = index_pages(batch, loader)
         seen = batch.select(T.attach_doc_id(F.col("source")).alias("doc_id")).distinct()
         replace_source(rows, store, seen) if fresh else upsert_chunks(rows, store)
+        drop_scratch(batch.sparkSession, mark)
 
     out = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
 
 
+def ingest_parts(
+    pages: DataFrame, store: str, checkpoint: str, timeout: float = 3600.0, incomplete: bool = True, loader: Callable[[], Callable] | None = None, available_now: bool = True
+) -> StreamingQuery:
+    """``ingest_stream`` for sources whose pages arrive over several micro-batches: a source is indexed once all its
+    ``total_pages`` are there, or, with ``incomplete``, once nothing of it has come for ``timeout`` seconds (without, its
+    pages are dropped then). The store is the same as if all pages had come at once."""
+    gathered = gathered_pages(pages, timeout)
+    whole = gathered if incomplete else gathered.where("complete")
+    with keyed_state(pages.sparkSession, available_now):
+        return ingest_stream(whole.drop("complete"), store, checkpoint, True, loader, available_now)
+
+
 def score_stream(answers: DataFrame, key: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Running scores: the latest answer of each (session, question) is the stream's state; every batch
     joins it with the key and rewrites the scores per session. Answers may change at any time, so there is

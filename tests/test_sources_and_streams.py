@@ -8,6 +8,7 @@ from leafmill.operators.embed import embed, embed_cached
 from leafmill.plans.fixtures import fixture
 from leafmill.sources import pages as P
 from leafmill.sources import store as S
+from leafmill.sources import vectors as V
 from leafmill.streaming import ingest
 
 CHUNK = "chunk_id string, doc_id string, text string"
@@ -93,6 +94,58 @@ def test_a_write_cut_short_changes_nothing(spark, tmp_path, monkeypatch):
     assert rows(S.read_store(spark, path)) == old
     S.upsert_chunks(new, path)
     assert {r[2] for r in rows(S.read_store(spark, path))} == {"new"} and len(rows(S.read_store(spark, path))) == 40
+    left = S.vacuum(spark, path, 0)
+    assert any(n.startswith("stage-") for n in left) and S.vacuum(spark, path, 0) == []
+    assert len(rows(S.read_store(spark, path))) == 40
+
+
+def test_interleaved_writers_both_survive(spark, tmp_path, monkeypatch):
+    """A second writer commits while the first has merged but not committed; then one while the first still merges."""
+    path = str(tmp_path / "store")
+    S.upsert_chunks(spark.createDataFrame([(f"c{k}", f"d{k % 5}", "old") for k in range(20)], CHUNK), path, buckets=2)
+    real, others = S._commit, [[("c1", "d1", "second"), ("x", "d1", "second")], [("y", "d2", "third")]]
+
+    def late(spark_, path_, number, manifest):
+        if others:
+            other = spark.createDataFrame(others.pop(), CHUNK)
+            with monkeypatch.context() as m:
+                m.setattr(S, "_commit", real)
+                S.upsert_chunks(other, path_)
+        return real(spark_, path_, number, manifest)
+
+    monkeypatch.setattr(S, "_commit", late)
+    assert S.upsert_chunks(spark.createDataFrame([("c2", "d2", "first"), ("z", "d4", "first")], CHUNK), path) == 2
+    monkeypatch.undo()
+    got = rows(S.read_store(spark, path))
+    want = {f"c{k}": (f"c{k}", f"d{k % 5}", "old") for k in range(20)} | {r[0]: r for r in [("c1", "d1", "second"), ("x", "d1", "second"), ("y", "d2", "third"), ("c2", "d2", "first"), ("z", "d4", "first")]}
+    assert got == sorted(want.values())
+    assert S._state(spark, path).number == 4
+    assert len(S._names(spark, path, "commit-")) == 2 and S._names(spark, path, "stage-") == []
+
+
+def test_a_commit_has_one_winner(spark, tmp_path):
+    path = str(tmp_path)
+    assert [S._commit(spark, path, 1, f"m{k}") for k in range(3)] == [True, False, False]
+    assert spark.read.text(f"{path}/commit-00000001").first()[0] == "m0"
+
+
+def test_filtered_reads_open_matching_folders_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "NAMED", 3)
+    path = str(tmp_path / "store")
+    kind = f"{CHUNK}, source string"
+    data = [(f"c{k}", f"d{k % 40}", f"t{k}", f"s{k % 40:02d}") for k in range(200)] + [("n", "d99", "no source", None)]
+    S.upsert_chunks(spark.createDataFrame(data, kind), path, buckets=16)
+    state = S._state(spark, path)
+    for k in (0, 7, 39):
+        found = S.read_store(spark, path, source=f"s{k:02d}")
+        assert rows(found) == sorted(r[:3] for r in data if r[3] == f"s{k:02d}")
+        folders = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in found.inputFiles()}
+        allowed = {str(b) for b, row in state.held.items() if S._may_hold(row, f"s{k:02d}")}
+        assert folders == allowed and len(folders) < len(state.held)
+    named = [row[4] for row in state.held.values()]
+    assert any(x is None for x in named) and any(x is not None for x in named)  # both kinds of statistics are met
+    assert rows(S.read_store(spark, path, source="nowhere")) == [] and S.read_store(spark, path, source="zz").inputFiles() == []
+    assert rows(S.read_store(spark, path, "d7", "s07")) == rows(S.read_store(spark, path, "d7"))
 
 
 def test_buckets_follow_the_store(spark, tmp_path, monkeypatch):
@@ -129,6 +182,42 @@ def test_embedding_hook_and_cache(spark):
     assert full.where("embedding IS NULL").count() == 0 and fresh.count() == 2
 
 
+def test_a_second_ingest_embeds_nothing(spark, tmp_path, monkeypatch):
+    said = spark.sparkContext.accumulator(0)
+
+    def loader():
+        def model(texts):
+            said.add(len(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    page = "source string, page int, page_content string"
+    text = " ".join(["enough words to pass the gate"] * 10) + "."
+    pages = spark.createDataFrame([("a", 0, text), ("b", 0, text + " More words of its own here.")], page)
+    cache = str(tmp_path / "cache")
+    plain = [(r["chunk_id"], r["embedding"]) for r in ingest.index_pages(pages, loader).orderBy("chunk_id").collect()]
+    once = said.value
+    for n in range(3):
+        got = [(r["chunk_id"], r["embedding"]) for r in ingest.index_pages(pages, loader, cache).orderBy("chunk_id").collect()]
+        assert got == plain
+        assert said.value == once + V.read_vectors(spark, cache).count()  # each text of the cache was embedded once
+    assert len(V._whole(spark, cache)) == 1
+
+
+def test_vector_cache_merges_and_counts_a_text_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "FOLDERS", 3)
+    path, want = str(tmp_path / "cache"), {}
+    assert V.read_vectors(spark, path).count() == 0
+    for n in range(6):
+        V.add_vectors(spark.createDataFrame([(f"h{k}", [float(k)]) for k in range(n, n + 3)], V.VECTORS), path)
+        want |= {f"h{k}": [float(k)] for k in range(n, n + 3)}
+        assert {r[0]: r[1] for r in V.read_vectors(spark, path).collect()} == want
+        assert V.read_vectors(spark, path).count() == len(want) and len(V._whole(spark, path)) <= 3
+    (tmp_path / "cache" / "part-cut-short").mkdir()
+    assert V.read_vectors(spark, path).count() == len(want)
+
+
 def test_a_source_that_fails_the_gate_now_vanishes(spark, tmp_path):
     page = "source string, page int, page_content string"
     good = " ".join(["enough words to pass the gate"] * 10) + "."
