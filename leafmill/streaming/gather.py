@@ -20,7 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: A batch puts its changes into the checkpoint, not the whole store, and only the last two versions stay.
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 #: Timers that follow the clock make Spark plan a batch without data after every other one, so a run over what is there
 #: would never end.
 _WITH_DATA = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
