@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.totals import totals_before
 from leafmill.session import broadcast_if_small, materialize
 
 KEYS = ["pair_id", "turn"]
@@ -73,15 +74,14 @@ def assemble(formatted: DataFrame) -> DataFrame:
         return F.array_sort(F.collect_list(F.when(F.col("part") == name, piece)))
 
     grouped = formatted.groupBy("pair_id").agg(*[whole(p).alias(p) for p in ("prompt", "chosen", "rejected")])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        stop = acc["at"] + F.length(x["rendered"])
-        one = F.array(F.struct(acc["at"].alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(x["loss"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def lost(x: Column, before: Column) -> Column:
+        start = before.cast("int")
+        return F.when(x["loss"], F.struct(start.alias("start"), (start + F.length(x["rendered"])).alias("stop")))
 
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["rendered"]).cast("long"))
     text = lambda p: F.array_join(F.transform(p, lambda x: x["rendered"]), "")
-    spans = lambda p: F.aggregate(F.col(p), start, step, lambda acc: acc["out"])
+    spans = lambda p: F.array_compact(F.zip_with(F.col(p), totals_before(sizes(F.col(p))), lost))
     return grouped.select(
         "pair_id", *[text(F.col(p)).alias(p) for p in ("prompt", "chosen", "rejected")],
         *[spans(p).alias(f"{p}_loss") for p in ("chosen", "rejected")],

@@ -28,9 +28,11 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -451,8 +453,11 @@ def _allowed(kind: int, value: str) -> bool:
 
 
 def model_spans(text: str, runs: list, decoded: list, spans: list, least: float) -> list[tuple[int, int, int]]:
-    """Spans that the field adds: away from known spans, every token sure enough."""
+    """Spans that the field adds: away from known spans, every token sure enough. ``spans`` are in order of their starts
+    and may overlap, so for each the furthest end up to it is kept: one search tells whether any of them is touched."""
     added = []
+    starts = [a for a, _, _ in spans]
+    furthest = list(accumulate((b for _, _, b in spans), max))
     for run, (labels, sure) in zip(runs, decoded, strict=True):
         if not labels.any():
             continue
@@ -467,7 +472,8 @@ def model_spans(text: str, runs: list, decoded: list, spans: list, least: float)
                 stop += 1
             start, end = _trimmed(text, run[k][0], run[stop - 1][1])
             new = start < end and sure[k:stop].min() >= least and _allowed(kind, text[start:end])
-            if new and not any(a < end and b > start for a, _, b in spans):
+            behind = bisect_left(starts, end) if new else 0
+            if new and not (behind and furthest[behind - 1] > start):
                 added.append((start, len(KINDS) + int(kind), end))
             k = stop
     return added

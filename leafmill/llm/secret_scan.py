@@ -16,7 +16,8 @@ candidates is split by adaptive execution if one is hot.
 
 Edge cases: null text counts as empty and gives zero counts, the hash of the empty string and an empty
 span list; rows that repeat are answered row by row; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored. Very long texts are scanned whole, in one task each, in time that grows as their length and number of
+matches do; spans that start at one place are in the order of the rules.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.textnorm import text_or_empty
+from leafmill.llm.totals import bound, totals_before
 from leafmill.llm.trigram_query import trigram_query
 from leafmill.session import broadcast_if_small, materialize
 
@@ -93,15 +95,18 @@ def _spans(text: Column, rule: Rule, ord_: int) -> Column:
     paced = rf"\G((?s:.*?))({rule.pattern})"
     part = lambda k: F.regexp_extract_all(text, F.lit(paced), F.lit(k))
     pieces = F.arrays_zip(part(1).alias("gap"), part(2).alias("hit"), part(3 if rule.measured else 2).alias("own"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["gap"])
-        stop = at + F.length(x["hit"])
-        one = F.array(F.struct(at.alias("start"), F.lit(ord_).alias("ord"), F.lit(rule.kind).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("pos"), F.when(F.length(x["own"]) >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(x: Column, before: Column) -> Column:
+        start = (before + F.length(x["gap"])).cast("int")
+        stop = start + F.length(x["hit"])
+        span = F.struct(start.alias("start"), F.lit(ord_).alias("ord"), F.lit(rule.kind).alias("kind"), stop.alias("stop"))
+        return F.when(F.length(x["own"]) >= rule.least, span)
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def spans(found: Column) -> Column:
+        sizes = F.transform(found, lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("long"))
+        return F.array_compact(F.zip_with(found, totals_before(sizes), one))
+
+    return bound(pieces, spans)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
