@@ -18,7 +18,13 @@ shard), one task input each, so neither the queries nor the vectors are ever in
 is that of a stated query set against all rows, in blocks. A cell reads BLOCK + SHARD vectors for BLOCK * SHARD
 scores, so each vector's copy is paid for by a thousand or more scores of its own, at any size.
 
-Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors
+Rows that are equal in vec_id and vector are counted before they are dealt, and a shard has one row for them, so that
+no number of repeats makes a shard large; each of them has its place among the results again.
+
+Scores are whole: where the products of a cell could pass 2**53, up to which doubles hold every whole number, the lists hold Python's
+integers instead, which are slower and exact. A score beyond the range of a long is given as the range's end, and ties there.
+
+Edge cases: vectors that are null, empty, or hold null or non-finite components (or such as are not finite when scaled) take no part; vectors
 whose length differs from the query's are no candidates for it; ties go to the smaller vec_id; rows
 with null vec_id take no part; rows that repeat a vec_id other than the query's are candidates each, and rows
 that repeat a query's vec_id are queries whose hits share one list of ranks; an empty table gives an empty
@@ -40,7 +46,11 @@ STRETCH = 2048
 #: Lists that are probed before rows that have fallen behind are left out.
 PROBE = 6
 
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query_id long, vec_id long, score long, times long"
+
+#: Whole numbers up to here are exact as doubles.
+EXACT = 2**53
+LONG = 2**63
 
 
 class Postings:
@@ -60,17 +70,17 @@ class Postings:
     def top(self, query: np.ndarray, k: int, skip: np.ndarray | None = None, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(scores, rows) of the k best rows but those in ``skip``, and all that tie with the last of them.
         ``seen`` is given the number of postings traversed in each stretch."""
-        scores, rows = np.zeros(0), np.zeros(0, np.int64)
+        scores, rows = np.zeros(0, query.dtype), np.zeros(0, np.int64)
         floor = -np.inf
         for at, n, lists, place, sparse, low, high in self.stretches:
-            most = np.maximum(np.maximum(query * low, query * high), 0.0)
+            most = np.maximum(np.maximum(query * low, query * high), 0)
             order = np.argsort(most, kind="stable")
             upto = np.cumsum(most[order])
             cut = int(np.searchsorted(upto, floor, side="left")) if floor > -np.inf else 0
             others, essential = order[:cut][::-1], order[cut:]
-            rest = upto[cut - 1] if cut else 0.0
+            rest = upto[cut - 1] if cut else 0
             dense = essential[place[essential] >= 0]
-            partial = query[dense] @ lists[place[dense]]
+            partial = _weighed(query[dense], lists[place[dense]])
             live = np.full(n, cut == 0 or len(dense) > 0)
             traversed = len(dense) * n
             if sparse:
@@ -91,13 +101,13 @@ class Postings:
                 terms = others[first : first + PROBE]
                 rest -= most[terms].sum()
                 dense = terms[place[terms] >= 0]
-                partial = partial + query[dense] @ lists[place[dense][:, None], live]
+                partial = partial + _weighed(query[dense], lists[place[dense][:, None], live])
                 for t in terms if sparse else ():
                     if t in sparse:
                         held, value = sparse[t]
                         found = np.minimum(np.searchsorted(held, live), len(held) - 1)
-                        partial = partial + np.where(held[found] == live, value[found], 0.0) * query[t]
-                keep = partial >= floor - max(rest, 0.0)
+                        partial = partial + np.where(held[found] == live, value[found], 0) * query[t]
+                keep = partial >= floor - max(rest, 0)
                 live, partial = live[keep], partial[keep]
                 if not len(live):
                     break
@@ -109,21 +119,36 @@ class Postings:
         return scores, rows
 
 
+def _weighed(weights: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """The sum of the lists (terms x rows) by their weights; zeros without a term."""
+    return weights @ lists if len(weights) else np.zeros(lists.shape[1], lists.dtype)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python's integers."""
+    return np.array([int(c) for c in x.ravel()], dtype=object).reshape(x.shape)
+
+
 def _best(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
     vectors = vectors.sort_values("vec_id", kind="stable")
-    ids = vectors["vec_id"].to_numpy()
-    index = Postings(np.stack(vectors["v"].to_numpy()))
-    for q_id, q in zip(queries["vec_id"], queries["v"], strict=True):
+    ids, times = vectors["vec_id"].to_numpy(), vectors["n"].to_numpy()
+    x, q = np.stack(vectors["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+    with np.errstate(over="ignore"):
+        if (np.abs(q) @ np.abs(x).max(axis=0)).max() >= EXACT:
+            x, q = _whole(x), _whole(q)
+    index = Postings(x)
+    for q_id, n, one in zip(queries["vec_id"], queries["n"], q, strict=True):
         own = np.arange(np.searchsorted(ids, q_id), np.searchsorted(ids, q_id, side="right"))
-        scores, rows = index.top(np.asarray(q), k, own)
-        best = np.lexsort((ids[rows], -scores))[:k]
-        yield pd.DataFrame({"query_id": q_id, "vec_id": ids[rows[best]], "score": scores[best].astype(np.int64)})
+        scores, rows = index.top(one, k, own)
+        best = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k] if x.dtype == object else np.lexsort((ids[rows], -scores))[:k]
+        rows, scores = rows[best], [min(max(int(s), -LONG), LONG - 1) for s in scores[best]]
+        yield pd.DataFrame({"query_id": q_id, "vec_id": ids[rows], "score": np.array(scores, np.int64), "times": np.minimum(times[rows] * n, k)})
 
 
 def _cell(k: int):
     def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = list(_best(queries, vectors, k)) if len(queries) and len(vectors) else []
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "times")})
 
     return run
 
@@ -131,8 +156,13 @@ def _cell(k: int):
 def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, v (whole numbers as array<double>), dim; only rows that take part."""
     x = F.col("embedding")
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double"))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < float("inf")))
+
+    def floor(c: Column) -> Column:
+        # Spark's floor gives a long; doubles from 2**53 on are whole as they are.
+        return F.when(F.abs(c) < float(EXACT), F.floor(c).cast("double")).otherwise(c)
+
+    v = F.transform(x, lambda c: floor(c.cast("double") * scale))
     rows = table.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine)
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.size(x).alias("dim"))
 
@@ -140,7 +170,7 @@ def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
 def top_k(table: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """For each row of ``table`` (vec_id, embedding) that ``is_query`` picks, its k highest scores
     among all other rows: query_id, rank, vec_id, score."""
-    vectors = integer_vectors(table)
+    vectors = integer_vectors(table).groupBy("vec_id", "v", "dim").agg(F.count(F.lit(1)).alias("n"))
     queries = vectors.where(is_query)
     shards = max(1, -(-vectors.count() // SHARD))
     blocks = max(1, -(-queries.count() // BLOCK))
@@ -150,6 +180,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     right = vectors.withColumn("shard", own(shards)).withColumn("block", number(blocks))
     keys = ("block", "shard", "dim")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_cell(k), SCHEMA)
+    found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
