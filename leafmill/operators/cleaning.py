@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.session import materialize
+
+#: Characters of header lines, of all sources together, up to which they are sent to every task.
+SENT = 4_000_000
 
 
 def detect_repeating_lines(
@@ -30,15 +34,29 @@ def detect_repeating_lines(
     return joined.where(F.col("n") >= need).select("source", "line", "n")
 
 
-def strip_known_headers(pages: DataFrame, headers: DataFrame, scope: str = "source") -> DataFrame:
+def strip_known_headers(pages: DataFrame, headers: DataFrame, scope: str = "source", sent: int = SENT) -> DataFrame:
     """Drops every line of a page that is, stripped and lower-cased, one of its scope's ``headers``
-    (source, line). The set of a source is one row; the planner broadcasts it when it is small."""
-    sets = headers.groupBy("source").agg(F.collect_set("line").alias("_headers")).withColumnRenamed("source", "_s")
-    same = F.lit(True) if scope == "all" else pages["source"].eqNullSafe(F.col("_s"))
-    known = F.coalesce(F.col("_headers"), F.array().cast("array<string>"))
-    left = F.filter(T.lines(F.col("page_content")), lambda x: ~F.array_contains(known, F.lower(T.strip(x))))
-    joined = pages.join(sets, same, "left")
-    return joined.withColumn("page_content", F.array_join(left, "\n")).drop("_s", "_headers")
+    (source, line), which are written first. Up to ``sent`` characters of them are broadcast, one row a source.
+
+    Of more, no set is made: the lines of the pages, exploded, meet the headers in an equi-join, and what is
+    found goes back to the pages by their texts' hash, so that a row never holds more lines than its page has. Lines stay in their place, pages
+    with equal texts in one scope share what is found, and adaptive execution splits a line that many pages have."""
+    own = F.lit(None).cast("string") if scope == "all" else F.col("source")
+    headers = materialize(headers.where("line IS NOT NULL").select(own.alias("_s"), F.col("line").alias("_line")).distinct(), "headers")
+    size = headers.agg(F.sum(F.length("_line") + F.coalesce(F.length("_s"), F.lit(0)) + 16)).first()[0] or 0
+    line = lambda x: F.lower(T.strip(x))
+    text = F.col("page_content")
+    if size <= sent:
+        sets = F.broadcast(headers.groupBy("_s").agg(F.collect_list("_line").alias("_known")))
+        joined = pages.join(sets, own.eqNullSafe(F.col("_s")), "left").drop("_s")
+    else:
+        lines = pages.select(own.alias("_o"), F.sha2(text, 256).alias("_t"), F.explode(F.array_distinct(F.transform(T.lines(text), line))).alias("_l"))
+        met = lines.join(headers, F.col("_o").eqNullSafe(F.col("_s")) & (F.col("_l") == F.col("_line")))
+        found = met.groupBy("_o", "_t").agg(F.collect_set("_l").alias("_known"))
+        joined = pages.join(found, own.eqNullSafe(F.col("_o")) & (F.sha2(text, 256) == F.col("_t")), "left").drop("_o", "_t")
+    known = F.coalesce(F.col("_known"), F.array().cast("array<string>"))
+    left = F.filter(T.lines(text), lambda x: ~F.array_contains(known, line(x)))
+    return joined.withColumn("page_content", F.array_join(left, "\n")).drop("_known")
 
 
 def clean_pages(

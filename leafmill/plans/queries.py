@@ -267,6 +267,37 @@ def _without_headers(x: str) -> str:
 _KNOWN = _REPEATED.replace("{key}", "source") + ", sets AS (SELECT source, list(line) AS known FROM headers GROUP BY 1)"
 
 
+def _paragraphs(path: str, content: bytes) -> list[dict]:
+    """A page for each paragraph of a web page; one that is not UTF-8, or whose end is missing, is an error."""
+    text = content.decode("utf-8")
+    if "</html>" not in text:
+        raise ValueError("cut short")
+    return [{"page": n, "page_content": p} for n, p in enumerate(text.split("</p>"))]
+
+
+# Of ten files one is cut in half, and one has a byte that is no UTF-8.
+@query(
+    "parse_files",
+    """WITH given AS (SELECT coalesce(url, '') AS file_path, CASE WHEN page_id % 10 = 3 THEN substr(html, 1, length(html) // 2) ELSE html END AS text, coalesce(page_id % 10 = 7, false) AS odd FROM pages),
+judged AS (SELECT *, CASE WHEN text IS NULL THEN 'AttributeError' WHEN odd THEN 'UnicodeDecodeError' WHEN NOT contains(text, '</html>') THEN 'ValueError' END AS error FROM given),
+good AS (SELECT file_path, string_split(text, '</p>') AS parts FROM judged WHERE error IS NULL),
+listed AS (
+  SELECT file_path, CAST(unnest(range(0, len(parts))) AS INTEGER) AS page, CAST(len(parts) AS INTEGER) AS total_pages, sha256(unnest(parts)) AS text_sha256, CAST(NULL AS VARCHAR) AS error FROM good
+  UNION ALL BY NAME SELECT file_path, NULL AS page, NULL AS total_pages, NULL AS text_sha256, error FROM judged WHERE error IS NOT NULL)
+SELECT *, (SELECT count(*) FROM given) AS files, (SELECT count(*) FROM listed WHERE error IS NULL) AS pages, (SELECT count(*) FROM listed WHERE error IS NOT NULL) AS failed FROM listed""",
+)
+def parse_files(spark, sf_dir):
+    html, odd = F.col("html"), F.coalesce(F.col("page_id") % 10, F.lit(0))
+    content = F.when(odd == 3, F.substr(html, F.lit(1), F.floor(F.length(html) / 2).cast("int"))).otherwise(html).cast("binary")
+    content = F.when(odd == 7, F.concat(content, F.unhex(F.lit("FF")))).otherwise(content)
+    files = _table(spark, sf_dir, "pages").select(F.coalesce("url", F.lit("")).alias("path"), content.alias("content"))
+    made, bad, counts = page_source.parsed_files(files, _paragraphs)
+    listed = made.select("file_path", "page", "total_pages", F.sha2("page_content", 256).alias("text_sha256"), F.lit(None).cast("string").alias("error"))
+    kind = F.substring_index("error", ":", 1).alias("error")
+    bad = bad.select("file_path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("total_pages"), F.lit(None).cast("string").alias("text_sha256"), kind)
+    return listed.unionByName(bad).select("*", *[F.lit(counts[c]).cast("long").alias(c) for c in ("files", "pages", "failed")])
+
+
 @query(
     "strip_known_headers",
     f"{_KNOWN} SELECT source, page, {_without_headers('page_content')} AS text FROM book_pages LEFT JOIN sets USING (source)",
@@ -976,7 +1007,7 @@ def score_stream(spark, sf_dir):
     picked = F.substring(F.lit("ABCD"), (F.floor(F.col("event_id") / 20) % 4 + 1).cast("int"), F.lit(1))
     answers = events.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 20 + 1).cast("int").alias("question_id"), picked.alias("selected"), "ts", "event_id")
     ingest.score_stream(answers, fixture(spark, sf_dir, "answer_key"), path, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path)
+    return ingest.read_scores(spark, path)
 
 
 @query("ingest_stream")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.session import materialize
 
 PAGES = "source string, page int, total_pages int, file_path string, page_content string"
 
@@ -44,7 +45,8 @@ def parse_files(files: DataFrame, parser: Callable[[str, bytes], list[dict]]) ->
                 name = path.rsplit("/", 1)[-1]
                 try:
                     pages = list(parser(path, content))
-                    rows += [(name, p["page"], len(pages), path, p["page_content"], None) for p in pages]
+                    said = [None if p["page_content"] is None else str(p["page_content"]) for p in pages]
+                    rows += [(name, int(p["page"]), len(pages), path, t, None) for p, t in zip(pages, said, strict=True)]
                 except Exception as e:  # noqa: BLE001  a bad file must not stop the batch
                     rows.append((name, None, None, path, None, f"{type(e).__name__}: {e}"))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
@@ -55,6 +57,16 @@ def parse_files(files: DataFrame, parser: Callable[[str, bytes], list[dict]]) ->
     return files.select("path", "content").mapInArrow(run, f"{PAGES}, error string")
 
 
+def parsed_files(files: DataFrame, parser: Callable[[str, bytes], list[dict]]) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Pages, quarantined files (file_path, error) and counts of ``parse_files``. Every file is parsed once: the result is
+    written, and ``files``, ``pages`` and ``failed`` are counted as it is. A file of no pages is in neither table."""
+    came, went = Observation("came"), Observation("went")
+    bad = F.col("error").isNotNull()
+    parsed = parse_files(files.observe(came, F.count(F.lit(1)).alias("files")), parser)
+    whole = materialize(parsed.observe(went, F.count_if(~bad).alias("pages"), F.count_if(bad).alias("failed")), "parsed")
+    return whole.where(~bad).drop("error"), whole.where(bad).select("file_path", "error"), came.get | went.get
+
+
 def attach_doc_id(pages: DataFrame, source_key: str = "source") -> DataFrame:
     """Adds a stable doc_id made from the source's name (or, with ``file_path``, its whole path)."""
     return pages.withColumn("doc_id", T.attach_doc_id(F.col(source_key)))

@@ -250,5 +250,20 @@ def read_store(spark: SparkSession, path: str, doc_id: str | None = None, source
     return rows
 
 
+def read_documents(spark: SparkSession, path: str, documents: DataFrame) -> DataFrame:
+    """The rows of the documents that ``documents`` (doc_id) names. Only their buckets are opened."""
+    state = _state(spark, path)
+    if state.layout is None:
+        raise ValueError(f"no store at {path}")
+    # At most one number for each bucket.
+    which = sorted(r[0] for r in documents.select(_bucket(state.buckets)).distinct().collect() if r[0] in state.held)
+    rows = _read(spark, path, state, which)
+    return rows.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").select(*rows.columns)
+
+
+def has_store(spark: SparkSession, path: str) -> bool:
+    return _state(spark, path).layout is not None
+
+
 def write_questions(quiz: DataFrame, path: str, fmt: str = "json") -> None:
     quiz.write.mode("overwrite").format(fmt).save(path)

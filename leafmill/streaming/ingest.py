@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,8 +13,9 @@ from leafmill.operators.cleaning import clean_pages
 from leafmill.operators.embed import embed, embed_cached
 from leafmill.operators.guardrails import chunk_documents
 from leafmill.operators.pages import useful_pages
+from leafmill.operators.reports import score_sessions
 from leafmill.session import drop_scratch, materialize, scratch_mark
-from leafmill.sources.store import replace_source, upsert_chunks
+from leafmill.sources.store import has_store, read_documents, read_store, replace_source, upsert_chunks
 from leafmill.sources.vectors import add_vectors, read_vectors
 from leafmill.streaming.gather import gathered_pages, keyed_state
 
@@ -64,19 +65,38 @@ def ingest_parts(
         return ingest_stream(whole.drop("complete"), store, checkpoint, True, loader, available_now)
 
 
-def score_stream(answers: DataFrame, key: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Running scores: the latest answer of each (session, question) is the stream's state; every batch
-    joins it with the key and rewrites the scores per session. Answers may change at any time, so there is
-    no watermark; the state has one row per pair."""
-    latest = answers.groupBy("session_id", "question_id").agg(F.max_by("selected", F.struct("ts", "event_id")).alias("selected"))
+def fold_answers(batch: DataFrame, key: DataFrame, path: str) -> None:
+    """Takes a batch of answers (session_id, question_id, selected, ts, event_id) into the stores below ``path``:
+    ``answers`` has the latest answer of each (session, question), ``scores`` a row a session. Both are in buckets by session; the
+    buckets of the batch's sessions are read and rewritten, no others. Folding a batch in again changes nothing."""
+    spark = batch.sparkSession
+    mark = scratch_mark(spark)
+    named = lambda *c: F.to_json(F.struct(*c))  # noqa: E731  null ids have a name as well
+    rows = batch.select(
+        named("session_id", "question_id").alias("chunk_id"), named("session_id").alias("doc_id"), "session_id", "question_id", "selected", "ts", "event_id"
+    )
+    rows = materialize(_latest(rows), "answers")
+    if has_store(spark, f"{path}/answers"):
+        rows = materialize(_latest(rows.unionByName(read_documents(spark, f"{path}/answers", rows.select("doc_id")))), "sessions")
+    upsert_chunks(rows, f"{path}/answers")
+    scores = score_sessions(rows, key).withColumn("chunk_id", named("session_id")).withColumn("doc_id", F.col("chunk_id"))
+    upsert_chunks(scores, f"{path}/scores")
+    drop_scratch(spark, mark)
 
-    def write(batch: DataFrame, _: int) -> None:
-        total = F.broadcast(key.agg(F.count(F.lit(1)).alias("total")))  # one row
-        scored = batch.join(key, "question_id").groupBy("session_id").agg(
-            F.count(F.lit(1)).alias("answered"), F.count_if(F.col("selected") == F.col("correct")).alias("score")
-        )
-        scored = scored.join(total, F.lit(True)).withColumn("percent", F.round(100 * F.col("score") / F.col("total")).cast("int"))
-        scored.write.mode("overwrite").parquet(path)
-
-    out = latest.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+def _latest(rows: DataFrame) -> DataFrame:
+    own = F.struct(*rows.columns)
+    return rows.groupBy("chunk_id").agg(F.max_by(own, F.struct("ts", "event_id", "selected")).alias("row")).select("row.*")
+
+
+def score_stream(answers: DataFrame, key: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Running scores of sessions, read by ``read_scores``. Each micro-batch is folded into a store (``fold_answers``), which
+    is the stream's state: it has one row for each (session, question), and a batch costs what its sessions' buckets hold. A reader sees
+    the scores before or after a batch, never between. A session is scored with the key of the last batch that it is in."""
+    out = answers.writeStream.foreachBatch(lambda batch, _: fold_answers(batch, key, path)).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, answered, score, total, percent of every session so far."""
+    return read_store(spark, f"{path}/scores").drop("chunk_id", "doc_id")
