@@ -965,6 +965,14 @@ def collection_stats(spark, sf_dir):
     return reports.collection_stats(_store(spark, sf_dir))
 
 
+@query("stored_collection_stats", ORACLES["collection_stats"])
+def stored_collection_stats(spark, sf_dir):
+    """The statistics of a written store, from its manifest alone."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    chunk_store.upsert_chunks(_store(spark, sf_dir), path, buckets=16)
+    return chunk_store.store_stats(spark, path)
+
+
 @query(
     "ingest_report",
     """, p AS (SELECT source, count(*) AS pages FROM book_pages GROUP BY 1), c AS (SELECT source, count(*) AS chunks FROM chunk_store GROUP BY 1)

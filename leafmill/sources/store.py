@@ -14,6 +14,8 @@ A write reads and rewrites the touched buckets only. Their number follows the st
 touches all of them, when buckets hold more than ``BUCKET_ROWS`` rows on average. The manifest has for each bucket the
 range of its sources, and their names where they are ``NAMED`` at most; a read of some sources or documents opens
 only the folders that may hold them. Rows lie sorted by source in a bucket, so Parquet's own statistics skip within it.
+A manifest row also has a mergeable sketch of its sources, the smallest of them and the length of its vectors, from which
+``store_stats`` describes the store without reading a data file.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 BUCKET_ROWS = 100_000
 
@@ -34,8 +36,16 @@ BUCKET_ROWS = 100_000
 NAMED = 64
 #: Merges that a write tries while others commit before it.
 TRIES = 20
+#: Sources of a bucket that are kept as examples.
+EXAMPLES = 5
+#: Logarithm of a sketch's cells: the standard error of a count is 1.04 / sqrt(4096), some 1.6 percent.
+SKETCH = 12
 
-_MANIFEST = "bucket int, folder string, n long, first string, last string, sources array<string>, buckets int, layout string"
+_STATS = ["folder", "n", "first", "last", "sources", "lowest", "sketch", "dimension"]
+_MANIFEST = (
+    "bucket int, folder string, n long, first string, last string, sources array<string>, lowest array<string>, sketch binary, dimension int, "
+    "buckets int, layout string"
+)
 
 
 def _unique(chunks: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def _names(spark: SparkSession, path: str, prefix: str) -> list[str]:
 
 @dataclass
 class _State:
-    """A store as its last commit has it; a manifest row (folder, n, first, last, sources) by bucket."""
+    """A store as its last commit has it; a manifest row (``_STATS``) by bucket."""
 
     number: int
     buckets: int
@@ -97,7 +107,7 @@ def _state(spark: SparkSession, path: str, number: int | None = None) -> _State:
     manifest = spark.read.text(f"{path}/{commits[-1]}").first()[0]
     # One row for each bucket, of which there is one for many thousand rows.
     rows = spark.read.schema(_MANIFEST).parquet(f"{path}/{manifest}").collect()
-    held = {r["bucket"]: (r["folder"], r["n"], r["first"], r["last"], r["sources"]) for r in rows if r["folder"] is not None}
+    held = {r["bucket"]: tuple(r[c] for c in _STATS) for r in rows if r["folder"] is not None}
     return _State(int(commits[-1].split("-")[1]), rows[0]["buckets"], rows[0]["layout"], held)
 
 
@@ -141,6 +151,10 @@ def _merge(new: DataFrame, path: str, key: str, buckets: int | None, gone: DataF
     name = uuid.uuid4().hex
     folder = f"data-{name}"
     order = [F.col("bucket"), *[F.col(c) for c in ("source",) if c in new.columns]]
+    # The greatest length is taken as rows go by; a task that runs again does not change it.
+    seen = Observation("vectors")
+    vectors = "embedding" in new.columns and isinstance(new.schema["embedding"].dataType, ArrayType)
+    merged = merged.observe(seen, F.max(F.size("embedding") if vectors else F.lit(None).cast("int")).alias("dimension"))
     merged.withColumn("bucket", _bucket(count)).repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{folder}")
     held = {b: row for b, row in state.held.items() if b not in touched}
     if _names(spark, f"{path}/{folder}", "bucket="):
@@ -150,10 +164,15 @@ def _merge(new: DataFrame, path: str, key: str, buckets: int | None, gone: DataF
         each = made.groupBy("bucket", own.alias("source")).agg(F.count(F.lit(1)).alias("n"))
         named = F.when(F.count("source") <= NAMED, F.collect_set(F.when(F.col("nth") <= NAMED, F.col("source"))))
         each = each.withColumn("nth", F.row_number().over(Window.partitionBy("bucket").orderBy("source")))
-        stats = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.min("source").alias("first"), F.max("source").alias("last"), named.alias("sources"))
-        held |= {r["bucket"]: (folder, r["n"], r["first"], r["last"], r["sources"]) for r in stats.collect()}
+        lowest = F.collect_set(F.when(F.col("nth") <= EXAMPLES + 1, F.col("source")))  # one more, since null comes first
+        stats = each.groupBy("bucket").agg(
+            F.sum("n").alias("n"), F.min("source").alias("first"), F.max("source").alias("last"), named.alias("sources"),
+            F.slice(F.array_sort(lowest), 1, EXAMPLES).alias("lowest"), F.hll_sketch_agg("source", F.lit(SKETCH)).alias("sketch"),
+        )
+        about = {"folder": folder, "dimension": seen.get["dimension"]}
+        held |= {r["bucket"]: tuple((r.asDict() | about)[c] for c in _STATS) for r in stats.collect()}
     layout = state.layout or new.schema.json()
-    lines = [(b, *row, count, layout) for b, row in sorted(held.items())] or [(None,) * 6 + (count, layout)]
+    lines = [(b, *row, count, layout) for b, row in sorted(held.items())] or [(None,) * (1 + len(_STATS)) + (count, layout)]
     manifest = f"manifest-{name}"
     spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.parquet(f"{path}/{manifest}")
     return folder, manifest
@@ -227,8 +246,22 @@ def replace_source(chunks: DataFrame, path: str, documents: DataFrame | None = N
     return _write(chunks, path, "doc_id", buckets, documents)
 
 
+def store_stats(spark: SparkSession, path: str) -> DataFrame:
+    """``reports.collection_stats`` of a store from its manifest: chunks, metric, dimension, sources (from merged sketches, within some
+    percent where there are many), sample_sources. The dimension is the greatest of the writes that made the buckets."""
+    state = _state(spark, path)
+    if state.layout is None:
+        raise ValueError(f"no store at {path}")
+    rows = spark.createDataFrame([(b, *row, 0, "") for b, row in sorted(state.held.items())], _MANIFEST)
+    some = rows.select(F.explode("lowest").alias("source")).distinct().orderBy("source").limit(EXAMPLES)
+    names = some.agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sample_sources"))
+    union = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.max("dimension").alias("dimension"), F.coalesce(union, F.lit(0)).alias("sources"))
+    return total.join(F.broadcast(names), F.lit(True)).withColumn("metric", F.lit("cosine"))  # one row each
+
+
 def _may_hold(row: tuple, source: str) -> bool:
-    _, _, first, last, sources = row
+    _, _, first, last, sources, *_ = row
     return source in sources if sources is not None else first is not None and first <= source <= last
 
 

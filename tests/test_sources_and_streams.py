@@ -148,6 +148,27 @@ def test_filtered_reads_open_matching_folders_only(spark, tmp_path, monkeypatch)
     assert rows(S.read_store(spark, path, "d7", "s07")) == rows(S.read_store(spark, path, "d7"))
 
 
+def test_statistics_without_a_data_file(spark, tmp_path):
+    path = str(tmp_path / "store")
+    kind = f"{CHUNK}, source string, embedding array<float>"
+    data = [(f"c{k}", f"d{k}", "x", f"s{k % 3000:04d}" if k % 9 else None, [0.5] * 4) for k in range(6000)]
+    S.upsert_chunks(spark.createDataFrame(data[:4000], kind), path, buckets=8)
+    S.upsert_chunks(spark.createDataFrame(data[3000:], kind), path)
+    for folder in S._state(spark, path).folders.values():
+        S._delete(spark, f"{path}/{folder}")  # what is not there cannot be read
+    got = S.store_stats(spark, path).first().asDict()
+    names = {r[3] for r in data if r[3]}
+    assert abs(got["sources"] - len(names)) <= 0.05 * len(names)
+    want = {"chunks": 6000, "dimension": 4, "sample_sources": ",".join(sorted(names)[:5]), "metric": "cosine"}
+    assert {c: got[c] for c in want} == want
+
+
+def test_statistics_of_an_empty_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    S.upsert_chunks(spark.createDataFrame([], f"{CHUNK}, source string"), path)
+    assert S.store_stats(spark, path).first().asDict() == {"chunks": 0, "dimension": None, "sources": 0, "sample_sources": "", "metric": "cosine"}
+
+
 def test_buckets_follow_the_store(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "BUCKET_ROWS", 10)
     path = str(tmp_path / "store")
