@@ -44,7 +44,7 @@ def _cell(k: int):
     return run
 
 
-def _met(q: DataFrame, c: DataFrame, k: int, kind: str) -> DataFrame:
+def met(q: DataFrame, c: DataFrame, k: int, kind: str) -> DataFrame:
     """The k best chunks of each query of each shard of its scope."""
     scopes = c.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("shards")).join(q.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "scope")
     scopes = broadcast_if_small(materialize(scopes, "scopes"))
@@ -68,9 +68,9 @@ def similarity(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope
     c = chunks.where("embedding IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id", own, vector, F.size("embedding").alias("dim"))
     kind = queries.schema["query_id"].dataType.simpleString()
     all_ = F.lit("")
-    found = _met(q.where("scope IS NULL").withColumn("scope", all_), c.withColumn("scope", all_), k, kind)
+    found = met(q.where("scope IS NULL").withColumn("scope", all_), c.withColumn("scope", all_), k, kind)
     if scope:
-        found = found.unionByName(_met(q.where("scope IS NOT NULL"), c.where("scope IS NOT NULL"), k, kind))
+        found = found.unionByName(met(q.where("scope IS NOT NULL"), c.where("scope IS NOT NULL"), k, kind))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 12)), "chunk_id")
     return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 

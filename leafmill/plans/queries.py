@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import borders, cleaning, embed, guardrails, pages, quiz, reports, retrieval, sections, semantic
+from leafmill.operators import borders, cleaning, embed, guardrails, pages, prefilter, quiz, reports, retrieval, sections, semantic
 from leafmill.plans.fixtures import duck_ctes, fixture
 from leafmill.session import materialize, shared_dir
 from leafmill.sources import pages as page_source
@@ -747,6 +747,46 @@ def multi_document_retrieval(spark, sf_dir):
     return retrieval.retrieve_top_k(_q(spark, sf_dir), own, skip="own_chunk").select("query_id", "rank", "score", "chunk_id")
 
 
+_REACH = """, shape AS (SELECT n, CAST(greatest(1, least(12, ceil(log2(ceil(n / 64))))) AS INTEGER) AS bits FROM (SELECT count(*) AS n FROM chunk_store)),
+directions AS (SELECT i, list(CASE WHEN md5(i || ':' || j) < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY j) AS d FROM (SELECT unnest(range(bits)) AS i FROM shape), range(64) t(j) GROUP BY i),
+vectors AS (SELECT chunk_id, v, list(p ORDER BY i) AS products, sum(CASE WHEN p > 0 THEN 1 << i ELSE 0 END) AS bucket
+  FROM (SELECT chunk_id, v, CAST(i AS INTEGER) AS i, round(list_dot_product(v, d) / sqrt(list_dot_product(v, v)), 9) AS p FROM (SELECT chunk_id, embedding::DOUBLE[] AS v FROM chunk_store), directions) GROUP BY chunk_id, v),
+known AS (SELECT v.* FROM vectors v, shape WHERE n <= 4096 OR substr(sha256(chunk_id), 1, 8) < format('{:08x}', CAST(floor(4096.0 / n * 4294967296) AS BIGINT))),
+asked AS (SELECT v.* FROM vectors v, shape WHERE n <= 256 OR substr(sha256('q' || chunk_id), 1, 8) < format('{:08x}', CAST(floor(256.0 / n * 4294967296) AS BIGINT))),
+neighbours AS (SELECT a.products, xor(CAST(a.bucket AS INTEGER), CAST(k.bucket AS INTEGER)) AS differ FROM asked a JOIN known k ON a.chunk_id <> k.chunk_id
+  QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_dot_product(a.v, k.v), 12) DESC, k.chunk_id) <= 8),
+reach AS (SELECT round(quantile_disc(cost, 0.95), 9) + 1e-9 AS reach FROM
+  (SELECT coalesce(list_sum([CASE WHEN (differ >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN x * x ELSE 0 END FOR x, i IN products]), 0) AS cost FROM neighbours)),
+seen AS (SELECT q.query_id, c.chunk_id, list_dot_product(o.v, c.v) AS sim
+  FROM queries q JOIN vectors o ON o.chunk_id = q.own_chunk, vectors c, reach
+  WHERE list_sum([CASE WHEN (xor(CAST(o.bucket AS INTEGER), CAST(c.bucket AS INTEGER)) >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN x * x ELSE 0 END FOR x, i IN o.products]) <= reach),
+found AS (SELECT query_id, chunk_id, sim, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, chunk_id) AS INTEGER) AS rank
+  FROM seen JOIN queries USING (query_id) WHERE chunk_id <> own_chunk)"""
+
+
+def _prefilter(spark, sf_dir) -> str:
+    path = f"{shared_dir(spark)}/prefilter-{uuid.uuid4().hex}"
+    prefilter.write_index(_store(spark, sf_dir), path, rows_per_bucket=64)
+    return path
+
+
+@query("prefiltered_top_k", f"{_REACH} SELECT query_id, rank, round(sim, 4) AS score, chunk_id FROM found WHERE rank <= 8", _VIEWS)
+def prefiltered_top_k(spark, sf_dir):
+    return prefilter.search_index(_q(spark, sf_dir), _prefilter(spark, sf_dir), skip="own_chunk")
+
+
+@query(
+    "prefilter_report",
+    f"""{_SIM}{_REACH} SELECT query_id, count(*) AS n_exact, count(f.chunk_id) AS n_found, any_value(n_examined) AS n_examined
+FROM near LEFT JOIN (SELECT query_id, chunk_id FROM found WHERE rank <= 8) f USING (query_id, chunk_id) JOIN (SELECT query_id, count(*) AS n_examined FROM seen GROUP BY 1) USING (query_id)
+WHERE pos <= 8 GROUP BY 1""",
+    _VIEWS,
+)
+def prefilter_report(spark, sf_dir):
+    """Of the eight nearest of every fiftieth vector, how many the buckets in its reach hold, and how many rows these hold in all."""
+    return prefilter.search_report(_q(spark, sf_dir), _store(spark, sf_dir), _prefilter(spark, sf_dir), skip="own_chunk")
+
+
 @query("no_context", f"{_HITS} SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM hits)", _VIEWS)
 def no_context(spark, sf_dir):
     return retrieval.no_context(_q(spark, sf_dir), _hits(spark, sf_dir)).select("query_id")
