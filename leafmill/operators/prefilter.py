@@ -34,7 +34,7 @@ from leafmill.session import materialize
 #: Buckets are folders, so there are 4096 of them at most; larger ones are sharded.
 MOST_BITS = 12
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 256
-TARGET = 0.95
+TARGET = 0.99
 _ROWS = "chunk_id string, embedding array<double>, bucket int"
 
 

@@ -755,7 +755,7 @@ known AS (SELECT v.* FROM vectors v, shape WHERE n <= 4096 OR substr(sha256(chun
 asked AS (SELECT v.* FROM vectors v, shape WHERE n <= 256 OR substr(sha256('q' || chunk_id), 1, 8) < format('{:08x}', CAST(floor(256.0 / n * 4294967296) AS BIGINT))),
 neighbours AS (SELECT a.products, xor(CAST(a.bucket AS INTEGER), CAST(k.bucket AS INTEGER)) AS differ FROM asked a JOIN known k ON a.chunk_id <> k.chunk_id
   QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_dot_product(a.v, k.v), 12) DESC, k.chunk_id) <= 8),
-reach AS (SELECT round(quantile_disc(cost, 0.95), 9) + 1e-9 AS reach FROM
+reach AS (SELECT round(quantile_disc(cost, 0.99), 9) + 1e-9 AS reach FROM
   (SELECT coalesce(list_sum([CASE WHEN (differ >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN x * x ELSE 0 END FOR x, i IN products]), 0) AS cost FROM neighbours)),
 seen AS (SELECT q.query_id, c.chunk_id, list_dot_product(o.v, c.v) AS sim
   FROM queries q JOIN vectors o ON o.chunk_id = q.own_chunk, vectors c, reach
