@@ -114,15 +114,16 @@ def fit_reach(rows: DataFrame, bits: int, n: int, k: int, target: float = TARGET
 
 
 def write_index(
-    chunks: DataFrame, path: str, k: int = 8, target: float = TARGET, rows_per_bucket: int = retrieval.SHARD, sample_rows: int = SAMPLE_ROWS, sample_queries: int = SAMPLE_QUERIES
+    chunks: DataFrame, path: str, k: int = 8, target: float = TARGET, bits: int | None = None, sample_rows: int = SAMPLE_ROWS, sample_queries: int = SAMPLE_QUERIES
 ) -> Settings:
     """An index of the vectors of ``chunks`` (chunk_id, embedding) in the new folder ``path``: rows by bucket, and the
-    settings, which are written last, so that an index that was cut short is none. Rows are dealt by ranges of bucket
+    settings, which are written last, so that an index that was cut short is none. Where ``bits`` is None, there are about
+    a square root of the rows over 8 buckets, since a query is copied to each bucket in its reach. Rows are dealt by ranges of bucket
     and hash, so a bucket of any size is written by as many tasks as it needs."""
     spark = chunks.sparkSession
     usable = _usable(chunks.where("chunk_id IS NOT NULL"))
     n = usable.count()
-    bits = max(1, min(MOST_BITS, (math.ceil(n / rows_per_bucket) - 1).bit_length() if n else 1))
+    bits = bits or max(1, min(MOST_BITS, math.ceil(math.log2(math.sqrt(n) / 8)) if n else 1))
     rows = bucketed(usable.select("chunk_id", "embedding"), bits).drop("products")
     rows.repartitionByRange("bucket", F.xxhash64("chunk_id")).write.partitionBy("bucket").parquet(f"{path}/rows")
     reach = fit_reach(spark.read.schema(_ROWS).parquet(f"{path}/rows"), bits, n, k, target, sample_rows, sample_queries)

@@ -747,7 +747,7 @@ def multi_document_retrieval(spark, sf_dir):
     return retrieval.retrieve_top_k(_q(spark, sf_dir), own, skip="own_chunk").select("query_id", "rank", "score", "chunk_id")
 
 
-_REACH = """, shape AS (SELECT n, CAST(greatest(1, least(12, ceil(log2(ceil(n / 64))))) AS INTEGER) AS bits FROM (SELECT count(*) AS n FROM chunk_store)),
+_REACH = """, shape AS (SELECT n, CAST(greatest(1, least(12, ceil(log2(sqrt(n) / 8)))) AS INTEGER) AS bits FROM (SELECT count(*) AS n FROM chunk_store)),
 directions AS (SELECT i, list(CASE WHEN md5(i || ':' || j) < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY j) AS d FROM (SELECT unnest(range(bits)) AS i FROM shape), range(64) t(j) GROUP BY i),
 vectors AS (SELECT chunk_id, v, list(p ORDER BY i) AS products, sum(CASE WHEN p > 0 THEN 1 << i ELSE 0 END) AS bucket
   FROM (SELECT chunk_id, v, CAST(i AS INTEGER) AS i, round(list_dot_product(v, d) / sqrt(list_dot_product(v, v)), 9) AS p FROM (SELECT chunk_id, embedding::DOUBLE[] AS v FROM chunk_store), directions) GROUP BY chunk_id, v),
@@ -766,7 +766,7 @@ found AS (SELECT query_id, chunk_id, sim, CAST(row_number() OVER (PARTITION BY q
 
 def _prefilter(spark, sf_dir) -> str:
     path = f"{shared_dir(spark)}/prefilter-{uuid.uuid4().hex}"
-    prefilter.write_index(_store(spark, sf_dir), path, rows_per_bucket=64)
+    prefilter.write_index(_store(spark, sf_dir), path)
     return path
 
 

@@ -33,7 +33,7 @@ def totals(report):
 
 def test_recall_and_price_on_clusters(tables, tmp_path):
     q, c = tables
-    P.write_index(c, f"{tmp_path}/i", rows_per_bucket=64)
+    P.write_index(c, f"{tmp_path}/i", bits=6)
     exact, found, seen = totals(P.search_report(q, c, f"{tmp_path}/i", skip="own"))
     assert exact == 80 * 8 and found >= 0.9 * exact
     assert seen <= 0.35 * 80 * 4000
@@ -42,7 +42,7 @@ def test_recall_and_price_on_clusters(tables, tmp_path):
 def test_recall_on_every_fiftieth_vector(spark, sf_dir, tmp_path):
     """The given vectors lie nearly at random, so most rows are looked into; the recall holds all the same."""
     q, c = fixture(spark, sf_dir, "queries"), fixture(spark, sf_dir, "chunk_store")
-    P.write_index(c, f"{tmp_path}/i", rows_per_bucket=16)
+    P.write_index(c, f"{tmp_path}/i", bits=5)
     exact, found, _ = totals(P.search_report(q, c, f"{tmp_path}/i", skip="own_chunk"))
     assert exact > 0 and found >= 0.9 * exact
 
@@ -50,7 +50,7 @@ def test_recall_on_every_fiftieth_vector(spark, sf_dir, tmp_path):
 def test_what_is_found_is_exact_and_only_its_folders_are_read(spark, tables, tmp_path):
     q, c = tables
     path = f"{tmp_path}/i"
-    settings = P.write_index(c, path, rows_per_bucket=64)
+    settings = P.write_index(c, path, bits=6)
     one = q.where("query_id = 100")
     reached = sorted(r["bucket"] for r in P.probes(P.bucketed(one, settings.bits), settings.reach).collect())
     read = P.read_rows(spark, path, reached)
@@ -86,7 +86,7 @@ def test_fit_on_a_sample(tables, tmp_path):
     """A fit on an eighth of the rows looks into no less than the share asked for."""
     q, c = tables
     path = f"{tmp_path}/i"
-    P.write_index(c, path, rows_per_bucket=64, sample_rows=500, sample_queries=60)
+    P.write_index(c, path, bits=6, sample_rows=500, sample_queries=60)
     exact, found, _ = totals(P.search_report(q, c, path, skip="own"))
     assert found >= 0.9 * exact
 
@@ -98,7 +98,7 @@ def test_hot_vector_is_whole(spark, tmp_path, monkeypatch):
     same = [1.0] + [0.0] * 15
     rows = [(f"a{k:04d}", rng.normal(size=16).tolist()) for k in range(600)] + [(f"h{k:04d}", same) for k in range(300)]
     path = f"{tmp_path}/i"
-    P.write_index(spark.createDataFrame(rows, SCHEMA), path, rows_per_bucket=32)
+    P.write_index(spark.createDataFrame(rows, SCHEMA), path, bits=5)
     q = spark.createDataFrame([(1, same)], "query_id long, embedding array<double>")
     ids = {r["chunk_id"] for r in P.search_index(q, path, k=2000).collect()}
     assert {f"h{k:04d}" for k in range(300)} <= ids
@@ -110,7 +110,7 @@ def test_edge_cases(spark, tmp_path):
     P.write_index(empty, f"{tmp_path}/none")
     assert P.search_index(q, f"{tmp_path}/none").count() == 0
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", [None, 1.0]), ("e", [math.inf, 0.0]), ("f", [0.0, 0.0]), (None, [1.0, 0.0]), ("g", [2.0])]
-    settings = P.write_index(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/few", rows_per_bucket=1)
+    settings = P.write_index(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/few", bits=3)
     assert settings == P.read_settings(spark, f"{tmp_path}/few")
     assert {r["chunk_id"] for r in P.read_rows(spark, f"{tmp_path}/few").collect()} == {"a", "b", "f", "g"}
     got = {}
