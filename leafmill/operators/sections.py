@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators.pages import gathered
-from leafmill.session import materialize
+from leafmill.session import broadcast_if_small, materialize
 
 BLOCK_PAGES = 1024
 #: Characters of a source's text that ``concat_pages`` puts in one row.
 PART_CHARS = 1 << 26
+#: Bytes of a source's text up to which ``whole_texts`` makes one row of it; a value in Spark ends at 2 GiB.
+ROW_BYTES = 1 << 30
+#: Parts of PART_CHARS that such a row has at most, and some more.
+_FEW = 20
 #: The source in a struct, so that a null source is a source like others in joins too.
 KEYS = ("_own", "_block")
 
@@ -69,6 +73,23 @@ def concat_pages(pages: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     return placed.groupBy("source", "part").agg(text.alias("text"), bounds.alias("bounds"))
 
 
+def whole_texts(parts: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """The rows of ``concat_pages`` with one row a source: source, part (0), text, n_pages. A source of more than
+    ``row_bytes`` bytes, which no row can hold, keeps its parts. Parts are written first and joined as they are, so that a
+    task has the few parts of a source, not its pages."""
+    parts = parts.select("source", "part", "text", F.size("bounds").cast("long").alias("n_pages"), F.octet_length("text").cast("long").alias("_bytes"))
+    parts = materialize(parts.withColumn("_own", F.struct("source")), "text-parts")
+    large = parts.groupBy("_own").agg(F.sum("_bytes").alias("_all")).where(F.col("_all") > row_bytes).select("_own")
+    marked = parts.join(broadcast_if_small(materialize(large, "large-sources")).withColumn("_large", F.lit(True)), "_own", "left")
+    to = marked.withColumn("_row", F.when(F.col("_large"), F.col("part")).otherwise(0))
+    # Few large texts: concat makes one copy of the right length; array_join doubles a buffer, and a lambda copies what it gives.
+    texts = F.sort_array(F.collect_list(F.struct("part", "text")))["text"]
+    few = F.concat(*[F.coalesce(F.get(texts, F.lit(k)), F.lit("")) for k in range(_FEW)])
+    joined = F.when(F.count(F.lit(1)) <= _FEW, few).otherwise(F.array_join(texts, ""))
+    whole = to.groupBy("_own", "_row").agg(joined.alias("text"), F.sum("n_pages").alias("n_pages"))
+    return whole.select(F.col("_own.source").alias("source"), F.col("_row").alias("part"), "text", "n_pages")
+
+
 #: The order of a source's lines; pages of one number one after the other.
 _LINE = ("page", "start_off", "line_no")
 
