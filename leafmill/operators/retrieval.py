@@ -11,35 +11,54 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.session import broadcast_if_small, materialize
 
 BLOCK, SHARD = 1024, 16384
+#: Queries of a block that are scored at once.
+ROWS = 64
 CANDIDATES = 30
 MODES = ("top_k", "threshold", "mmr")
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in vectors.chunks]).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
+
+
 def _cell(k: int):
-    def run(key: tuple, queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(chunks):
-            chunks = chunks.sort_values("chunk_id", kind="stable")
-            ids = chunks["chunk_id"].to_numpy()
-            scores = np.stack(queries["v"].to_numpy()) @ np.stack(chunks["v"].to_numpy()).T
-            for q, row, skip in zip(queries["query_id"], scores, queries["skip"], strict=True):
-                if skip is not None:
-                    row[ids == skip] = -np.inf
-                at = np.arange(len(ids))
-                if len(at) > k:
-                    # Everything that ties with the k-th best stays; the merge breaks ties by id.
-                    floor = np.partition(row, len(row) - k)[len(row) - k]
-                    at = np.flatnonzero(row >= floor - 1e-12)
-                at = at[row[at] > -np.inf]
-                best = at[np.lexsort((at, -np.round(row[at], 12)))[:k]]
-                out.append(pd.DataFrame({"query_id": q, "chunk_id": ids[best], "sim": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="str"), "sim": pd.Series(dtype="float64")})
+    """Arrow tables of a cell; scores are made for ``ROWS`` queries at a time, so that a cell takes little more than its chunks."""
+
+    def run(key: tuple, queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        who, what, sims = [], [], []
+        ids = chunks.column("chunk_id")
+        if queries.num_rows and chunks.num_rows:
+            chunks = chunks.select(["chunk_id", "v"]).sort_by("chunk_id")
+            ids, c, q = chunks.column("chunk_id"), _matrix(chunks.column("v")), _matrix(queries.column("v"))
+            named = ids.combine_chunks().dictionary_encode()
+            codes = named.indices.to_numpy()  # ascending, as the ids are
+            skips = pc.index_in(queries.column("skip"), value_set=named.dictionary).to_pylist()
+            for at in range(0, len(q), ROWS):
+                for n, row in enumerate(q[at : at + ROWS] @ c.T, at):
+                    if skips[n] is not None:
+                        row[slice(*np.searchsorted(codes, [skips[n], skips[n] + 1]))] = -np.inf
+                    found = np.arange(len(row))
+                    if len(row) > k:
+                        # Everything that ties with the k-th best stays; the merge breaks ties by id.
+                        floor = np.partition(row, len(row) - k)[len(row) - k]
+                        found = np.flatnonzero(row >= floor - 1e-12)
+                    found = found[row[found] > -np.inf]
+                    best = found[np.lexsort((found, -np.round(row[found], 12)))[:k]]
+                    who.append(np.full(len(best), n))
+                    what.append(best)
+                    sims.append(row[best])
+        flat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+        columns = [queries.column("query_id").take(flat(who, np.int64)), ids.take(flat(what, np.int64)), pa.array(flat(sims, np.float64))]
+        return pa.table(columns, names=["query_id", "chunk_id", "sim"])
 
     return run
 
@@ -53,7 +72,7 @@ def met(q: DataFrame, c: DataFrame, k: int, kind: str) -> DataFrame:
     q = q.join(scopes, "scope").withColumn("block", pick("query_id", "blocks")).withColumn("shard", number("shards"))
     c = c.join(scopes, "scope").withColumn("shard", pick("chunk_id", "shards")).withColumn("block", number("blocks"))
     keys = ("scope", "block", "shard", "dim")
-    return q.drop("shards", "blocks").groupBy(*keys).cogroup(c.drop("shards", "blocks").groupBy(*keys)).applyInPandas(_cell(k), f"query_id {kind}, chunk_id string, sim double")
+    return q.drop("shards", "blocks").groupBy(*keys).cogroup(c.drop("shards", "blocks").groupBy(*keys)).applyInArrow(_cell(k), f"query_id {kind}, chunk_id string, sim double")
 
 
 def similarity(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, scope: str | None = None, skip: str | None = None) -> DataFrame:

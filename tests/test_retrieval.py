@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,17 @@ def test_a_query_leaves_its_own_chunk_out(spark, tables):
         sims = sorted((-round(float(np.dot(CHUNKS[k][3], v)), 12), cid) for cid, _, _, v in CHUNKS if v and cid != f"c{k:03d}")
         assert [i for i, _ in found] == [cid for _, cid in sims[:3]]
     assert all(v[0][0] == f"c{k:03d}" for k, v in hits(R.retrieve_top_k(q, c, 3)).items())
+
+
+def test_a_cell_never_holds_all_its_scores():
+    table = lambda n, name, extra: pa.table({name: list(range(n)) if name == "query_id" else [f"c{i:05}" for i in range(n)], "v": list(rng.normal(size=(n, 8))), **extra})
+    queries = table(1024, "query_id", {"skip": ["c00007"] + [None] * 1023})
+    chunks = table(16384, "chunk_id", {})
+    tracemalloc.start()
+    got = R._cell(3)((), queries, chunks).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores are 134 MB
+    scores = np.stack(queries["v"].to_pylist()) @ np.stack(chunks["v"].to_pylist()).T
+    scores[0, 7] = -np.inf
+    assert [r["chunk_id"] for r in got] == [f"c{i:05}" for row in scores for i in np.argsort(-row)[:3]]
