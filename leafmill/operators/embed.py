@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,31 +13,34 @@ from pyspark.sql import functions as F
 
 from leafmill.session import materialize
 
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 #: Tokens whose place is remembered, by dimension; emptied when full.
-_PLACES: dict[int, dict[str, int]] = {}
+_PLACES: dict[int, _Places] = {}
 _REMEMBERED = 1 << 18
 
 
-def _places(tokens: list[str], dim: int) -> list[int]:
-    """For each token the dimension that its md5 names, plus ``dim`` where it counts -1."""
-    known = _PLACES.setdefault(dim, {})
-    if len(known) > _REMEMBERED:
-        known.clear()
-    for token in set(tokens).difference(known):
-        h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
-        known[token] = int(h[:4], 16) % dim + (0 if int(h[4], 16) < 8 else dim)
-    return [known[t] for t in tokens]
+class _Places(dict):
+    """For each token, in UTF-8, the dimension that its md5 names, plus ``dim`` where it counts -1."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: bytes) -> int:
+        h = hashlib.md5(token).digest()
+        self[token] = place = int.from_bytes(h[:2]) % self.dim + (0 if h[2] < 128 else self.dim)
+        return place
 
 
 def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Deterministic vectors without a model: each lower-cased token adds +1 or -1 to the dimension that
     its md5 names; rows are scaled to length one. A text without tokens is the zero vector."""
-    tokens = [_TOKEN.findall((text or "").lower()) for text in texts]
+    # Bytes are split at ASCII white space only, much faster than by a pattern.
+    tokens = [(text or "").lower().encode("utf-8", "surrogatepass").split() for text in texts]
     row = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
-    place = np.array(_places([t for own in tokens for t in own], dim), np.int64)
+    known = _PLACES.setdefault(dim, _Places(dim))
+    if len(known) > _REMEMBERED:
+        known.clear()
+    place = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.int64)
     counts = np.bincount(row * 2 * dim + place, minlength=2 * dim * len(texts)).reshape(len(texts), 2, dim) if len(texts) else np.zeros((0, 2, dim))
     out = (counts[:, 0] - counts[:, 1]).astype(np.float64)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
