@@ -3,7 +3,7 @@
 A piece of ``min_size`` characters or more always closes the fold's buffer, so the fold begins anew behind it. A
 source is therefore cut, without any change to the result, into runs of short pieces with the long one that ends
 them, and each run is folded by itself. Runs are numbered, and chunks within a source, in two levels (blocks, and one
-row a block). A run is read as a stream: a task holds the open buffer and the last chunk.
+row a block). The runs of a block are read as a stream: a task holds the open buffer and the last chunk.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators.sections import KEYS, blocked, carried, page_offsets, split_by_headers
+from leafmill.operators.sections import BLOCK_PAGES, KEYS, blocked, carried, page_offsets, split_by_headers
 from leafmill.operators.semantic import semantic_split
 from leafmill.session import materialize
 
@@ -92,7 +92,7 @@ def apply_size_guardrails(pieces: Iterable[Piece], min_size: int | None = MIN_SI
     return split_oversized(merge_undersized(pieces, min_size, max_size), max_size)
 
 
-_SCHEMA = "source string, run long, pos int, text string, start_off long, end_off long, section string, subsection string, subsubsection string"
+_SCHEMA = "source string, block long, place int, text string, start_off long, end_off long, section string, subsection string, subsubsection string"
 _NAMES = [x.strip().split()[0] for x in _SCHEMA.split(",")]
 _KINDS = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 _HEADINGS = ["section", "subsection", "subsubsection"]
@@ -113,28 +113,40 @@ def fold_chunks(pieces: DataFrame, min_size: int | None = MIN_SIZE, max_size: in
     keyed = blocked(pieces, F.col("section_seq"))
     long = (F.length("text") >= min_size).cast("int")
     before = Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    runs = keyed.withColumn("_long", F.coalesce(F.sum(long).over(before), F.lit(0))).join(carried(keyed, {"_longs": long}), list(KEYS))
-    # Short pieces behind the last long one may join its chunk, so they belong to its run.
-    last = keyed.groupBy("_own").agg(F.greatest(F.sum(long) - 1, F.lit(0)).alias("_last"))
-    runs = runs.join(last, "_own").withColumn("run", F.least(F.col("_long") + F.col("_longs"), F.col("_last")))
+    # Short pieces behind the last long one may join its chunk, so they belong to its run. All that a piece needs of
+    # other blocks comes in one row for each block, so that texts stay where the window has them.
+    per = keyed.groupBy(*KEYS).agg(F.sum(long).cast("long").alias("_n"))
+    own = Window.partitionBy("_own")
+    earlier = F.sum("_n").over(own.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = per.select(*KEYS, F.coalesce(earlier, F.lit(0)).alias("_longs"), F.greatest(F.sum("_n").over(own) - 1, F.lit(0)).alias("_last"))
+    runs = keyed.withColumn("_long", F.coalesce(F.sum(long).over(before), F.lit(0))).join(blocks, list(KEYS))
+    runs = runs.withColumn("run", F.least(F.col("_long") + F.col("_longs"), F.col("_last")))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         out: list[tuple] = []
-        for (source, run), own in groupby(rows, key=lambda r: r[:2]):
-            own_pieces = ((r[5], r[6], r[7], r[2:5]) for r in own)
-            for k, (text, start, end, meta) in enumerate(apply_size_guardrails(own_pieces, min_size, max_size)):
-                out.append((source, run, k, text, start, end, *meta))
-                if len(out) >= 1000:
-                    yield _batch(out)
-                    out = []
+        for (source, block), own in groupby(rows, key=lambda r: (r[0], r[1] // BLOCK_PAGES)):
+            place = 0  # within the block's chunks
+            for _, of_run in groupby(own, key=lambda r: r[1]):
+                own_pieces = ((r[5], r[6], r[7], r[2:5]) for r in of_run)
+                for text, start, end, meta in apply_size_guardrails(own_pieces, min_size, max_size):
+                    out.append((source, block, place, text, start, end, *meta))
+                    place += 1
+                    if len(out) >= 1000:
+                        yield _batch(out)
+                        out = []
         if out:
             yield _batch(out)
 
     columns = ["source", "run", *_HEADINGS, "text", "start_off", "end_off"]
-    dealt = runs.repartition("source", "run").sortWithinPartitions("source", "run", *order).select(*columns)
+    dealt = blocked(runs, F.col("run")).repartition("source", "_block").sortWithinPartitions("source", "run", *order).select(*columns)
     folded = materialize(dealt.mapInArrow(fold, _SCHEMA), "folded")
-    chunks = _numbered(blocked(folded, F.col("run")), ["run", "pos"], "chunk_index")
+    folded = folded.withColumn("_own", F.struct("source")).withColumnRenamed("block", "_block")
+    # A source's first block begins at 0; only later ones ask how many chunks are before them.
+    first, later = folded.where("_block = 0").withColumn("chunk_index", F.col("place")), folded.where("_block > 0")
+    later = later.join(carried(folded, {"_rows": F.lit(1)}).where("_block > 0"), list(KEYS))
+    later = later.withColumn("chunk_index", (F.col("place") + F.col("_rows")).cast("int"))
+    chunks = first.unionByName(later.select(*first.columns))
     if compat_index_meta:
         placed = _numbered(keyed, order, "_index").select("_own", "_index", *_HEADINGS)
         n = placed.groupBy("_own").agg((F.count(F.lit(1)) - 1).cast("int").alias("_most"))

@@ -195,3 +195,17 @@ def test_token_split_keeps_its_limit(parts, most, overlap, by_chars):
 def test_three_thousand_words():
     got = G.recursive_token_split(" ".join(f"w{k}" for k in range(3000)))
     assert max(len(p.split()) for p in got) == 512 and all(p.split()[50:][0] == f"w{512 + 462 * k}" for k, p in enumerate(got[1:]))
+
+
+def test_chunks_of_many_blocks_are_numbered_through_and_texts_are_dealt_twice(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "materialize", lambda df, name, f=G.materialize: made.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, name))
+    rows = [("big", k, 0, f"{k:06} " + "x" * (120 if k % 3 else 20), 0, 0, None, None, None) for k in range(4000)]
+    rows += [(s, k, 0, f"{k:06} " + "y" * 120, 0, 0, None, None, None) for s in ("small", None) for k in range(2)]
+    schema = "source string, section_seq long, part int, text string, start_off long, end_off long, section string, subsection string, subsubsection string"
+    got = G.fold_chunks(spark.createDataFrame(rows, schema)).collect()
+    for source in ("big", "small", None):
+        own = sorted((r["chunk_index"], r["text"]) for r in got if r["source"] == source)
+        assert [i for i, _ in own] == list(range(len(own)))
+        assert [t for _, t in own] == [p[0] for p in G.apply_size_guardrails((r[3], 0, 0, ()) for r in rows if r[0] == source)]
+    assert made[0].count("Exchange") <= 5  # before 7
