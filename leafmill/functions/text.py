@@ -99,7 +99,9 @@ def is_scanned(text: Column, n_images: Column, least: int = 20) -> Column:
 
 
 def rejoin_hyphens(text: Column) -> Column:
-    return F.regexp_replace(text, rf"([\p{{L}}\p{{N}}_])-{BLANK}*\n{BLANK}*([a-z])", "$1$2")
+    # It begins with the hyphen, which is found fast. What stands before it must not belong to the match before (\G);
+    # {1,2} lets the look behind reach a letter of two UTF-16 units.
+    return F.regexp_replace(text, rf"-(?<=[\p{{L}}\p{{N}}_]{{1,2}}-)(?<!\G-){BLANK}*\n{BLANK}*([a-z])", "$1")
 
 
 def strip_control(text: Column) -> Column:
@@ -113,8 +115,7 @@ def strip_page_numbers(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?dm)[ \t]+$", "")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(text, r" {2,}", " "))
+    return strip(F.regexp_replace(text, r"(\n\n)\n+|( ) +", "$1$2"))
 
 
 def clean_text(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.session import materialize
+from leafmill.session import broadcast_if_small, materialize
 
 #: Characters of header lines, of all sources together, up to which they are sent to every task.
 SENT = 4_000_000
@@ -19,19 +19,18 @@ def detect_repeating_lines(
     of a source (``scope="source"``) or of all pages (``scope="all"``): source (null for all), line, n.
     Sources with fewer than three pages have none.
 
-    One shuffle of at most six short lines a page, aggregated on the map side: a line that is on most
-    pages is one row per task."""
+    Pages are counted first, without their texts; lines are looked at only where a source has pages enough. One shuffle of
+    at most six lines a page, aggregated on the map side: a line that is on most pages is one row per task."""
     key = F.col("source") if scope == "source" else F.lit(None).cast("string").alias("source")
+    total = pages.select(key).groupBy("source").agg(F.count(F.lit(1)).alias("total")).where("total >= 3").withColumnRenamed("source", "s")
+    total = broadcast_if_small(materialize(total, "totals"))
     page = pages.select(key, F.filter(F.transform(T.lines(T.strip(F.col("page_content"))), T.strip), lambda x: x != "").alias("rows"))
     edges = F.concat(F.slice("rows", 1, edge), F.slice("rows", F.greatest(F.lit(1), F.size("rows") - edge + 1), edge))
     kept = F.array_distinct(F.filter(F.transform(edges, F.lower), lambda x: F.length(x) > 3))
-    # The page counts ride along as a line that no page can hold.
-    marked = F.concat(F.array(F.lit("\n")), F.coalesce(kept, F.array().cast("array<string>")))
-    counts = page.select("source", F.explode(marked).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.where("line = '\n'").select(F.col("source").alias("s"), F.col("n").alias("total"))
-    joined = counts.where("line <> '\n'").join(total, F.col("source").eqNullSafe(F.col("s"))).where("total >= 3")
+    lines = page.join(total, F.col("source").eqNullSafe(F.col("s"))).select("source", "total", F.explode(kept).alias("line"))
+    counts = lines.groupBy("source", "total", "line").agg(F.count(F.lit(1)).alias("n"))
     need = F.greatest(F.floor(F.col("total") * threshold), F.lit(min_occurrences_floor))
-    return joined.where(F.col("n") >= need).select("source", "line", "n")
+    return counts.where(F.col("n") >= need).select("source", "line", "n")
 
 
 def strip_known_headers(pages: DataFrame, headers: DataFrame, scope: str = "source", sent: int = SENT) -> DataFrame:
@@ -73,6 +72,7 @@ def clean_pages(
     always removed."""
     found = detect_repeating_lines(pages, threshold, scope) if headers else None
     text = F.col("page_content")
+    names = pages.columns
     out = pages.withColumn("page_content", T.strip_control(T.rejoin_hyphens(text) if hyphens else text))
     if found is not None:
         out = strip_known_headers(out, found, scope)
@@ -80,4 +80,6 @@ def clean_pages(
         out = out.withColumn("page_content", T.strip_page_numbers(text))
     if whitespace:
         out = out.withColumn("page_content", T.normalize_whitespace(text))
-    return out.where(~T.is_blank(text))
+    # As a generated row the cleaned text is worked out once; a filter would be moved below it, with the whole cleaning inside.
+    kept = F.explode(F.filter(F.array(text), lambda x: ~T.is_blank(x))).alias("page_content")
+    return out.select(*[kept if c == "page_content" else F.col(f"`{c}`") for c in names])

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = ("nation", "region", "events", "documents", "embeddings", "conversations")
 
-SQL = {
-    "book_pages": """
+_BOOK = """
 SELECT source, page, total_pages, concat('books/', source, '.pdf') AS file_path,
   concat(CASE WHEN page % 3 <> 0 THEN concat('Lecture Notes ', source, chr(10)) ELSE '' END,
          CASE WHEN page % 5 = 0 THEN concat('# Chapter ', CAST(page AS {str}), chr(10))
@@ -19,9 +19,14 @@ SELECT source, page, total_pages, concat('books/', source, '.pdf') AS file_path,
          replace(replace(text, 'ention', concat('en-', chr(10), 'tion')), ' the ', concat('  the ', chr(7))),
          CASE WHEN page % 4 = 0 THEN concat('   ', chr(10), chr(10), chr(10), chr(10), 'Draft copy') ELSE '' END,
          chr(10), 'Page ', CAST(page + 1 AS {str})) AS page_content
-FROM (SELECT source, coalesce(text, '') AS text,
+FROM {pages} t"""
+_BOOK_PAGES = """(SELECT source, coalesce(text, '') AS text,
              CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page,
-             CAST(count(*) OVER (PARTITION BY source) AS INT) AS total_pages FROM documents WHERE source IS NOT NULL) t""",
+             CAST(count(*) OVER (PARTITION BY source) AS INT) AS total_pages FROM documents WHERE source IS NOT NULL)"""
+
+SQL = {
+    # Spark numbers the pages in two levels (``numbered_documents``).
+    "book_pages": {"spark": _BOOK.replace("{pages}", "numbered_documents").format(str="STRING"), "duck": _BOOK.replace("{pages}", _BOOK_PAGES).format(str="VARCHAR")},
     "doc_sentences": {
         "spark": r"""
 SELECT doc_id, CAST(pos AS INT) AS pos, sentence FROM (
@@ -107,6 +112,9 @@ SELECT CAST(question_id AS INT) AS question_id, substr('ABCD', CAST(question_id
 FROM (SELECT DISTINCT event_id % 20 + 1 AS question_id FROM events) k""",
 }
 
+#: Bits of a doc_id within a block, in which pages are numbered.
+BLOCK_BITS = 10
+
 #: Views that a view reads.
 NEEDS = {"sentence_vectors": ["doc_sentences"], "doc_pages": ["doc_sentences"], "blocks": ["doc_sentences"]}
 
@@ -121,10 +129,27 @@ def _text(view: str, dialect: str) -> str:
     return sql.format(**(_SPARK if dialect == "spark" else _DUCK))
 
 
+def numbered_documents(docs: DataFrame) -> DataFrame:
+    """The documents of each source as its pages, by doc_id: source, text, page (from 0), total_pages. They are numbered
+    within blocks of ids, and blocks on one row each, so that no task holds a source. Documents of one id are ordered by
+    what they hold: every reading numbers them alike."""
+    own = docs.where("source IS NOT NULL").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 63))))
+    per = own.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"))
+    source = Window.partitionBy("source")
+    earlier = F.sum("n").over(source.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = per.select("source", "block", F.coalesce(earlier, F.lit(0)).alias("before"), F.sum("n").over(source).alias("total"))
+    place = F.row_number().over(Window.partitionBy("source", "block").orderBy("doc_id", F.xxhash64("text"))) - 1
+    placed = own.withColumn("place", place).join(blocks, ["source", "block"])
+    return placed.select("source", "text", (F.col("place") + F.col("before")).cast("int").alias("page"), F.col("total").cast("int").alias("total_pages"))
+
+
 def fixture(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """A derived view over the tables in ``sf_dir``."""
     sql = _text(view, "spark")
     inputs = {n: fixture(spark, sf_dir, n) for n in NEEDS.get(view, [])}
+    if view == "book_pages":
+        inputs["numbered_documents"] = numbered_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     read = set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql))
     inputs |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in read}
     for name, df in inputs.items():
