@@ -47,6 +47,16 @@ def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1.0)
 
 
+def unit_vectors(model: Callable, texts: list[str], batch: int = 32) -> np.ndarray:
+    """The model's vectors of ``texts``, ``batch`` at a time, L2-normalised."""
+    parts = []
+    for at in range(0, len(texts), batch):
+        v = np.asarray(model([t or "" for t in texts[at : at + batch]]), dtype=np.float64)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        parts.append((v / np.where(norm > 0, norm, 1.0)).astype(np.float32))
+    return np.concatenate(parts) if parts else np.zeros((0, 0), np.float32)
+
+
 def embed(df: DataFrame, column: str = "text", to: str = "embedding", loader: Callable[[], Callable] | None = None, batch: int = 32) -> DataFrame:
     """``df`` with a column of L2-normalised vectors. ``loader`` runs once per Python worker and returns
     the model: a function from a list of texts to an array of vectors."""
@@ -55,12 +65,7 @@ def embed(df: DataFrame, column: str = "text", to: str = "embedding", loader: Ca
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loader() if loader else hash_embed
         for texts in batches:
-            rows = []
-            for at in range(0, len(texts), batch):
-                v = np.asarray(model([t or "" for t in texts.iloc[at : at + batch]]), dtype=np.float64)
-                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-                rows += list((v / np.where(norm > 0, norm, 1.0)).astype(np.float32))
-            yield pd.Series(rows, index=texts.index)
+            yield pd.Series(list(unit_vectors(model, texts.tolist(), batch)), index=texts.index, dtype=object)
 
     return df.withColumn(to, run(F.col(column)))
 

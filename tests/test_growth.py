@@ -40,3 +40,25 @@ def test_rejoined_hyphens_are_those_of_the_plain_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     plain = F.regexp_replace("t", rf"([\p{{L}}\p{{N}}_])-{T.BLANK}*\n{T.BLANK}*([a-z])", "$1$2")
     assert df.where(plain != T.rejoin_hyphens(F.col("t"))).count() == 0 and df.where(plain != F.col("t")).count() > 20
+
+
+def test_semantic_split_shuffles_nothing_and_cuts_as_the_windows_do(spark):
+    from leafmill.operators import semantic
+    from leafmill.operators.embed import embed
+
+    rnd = random.Random(3)
+    words = [f"w{n}" for n in range(30)]
+    sentence = lambda: " ".join(rnd.choices(words, k=rnd.randint(1, 9))).capitalize() + "."
+    texts = [" ".join(sentence() for _ in range(n)) for n in (0, 1, 2, 3, 40, 60, 200)] + ["x" * 300, ". . . ? ! . " * 30, None]
+    rows = [(f"s{n % 3}", n, "H", t, n, n + len(t or "")) for n, t in enumerate(texts)]
+    sections = spark.createDataFrame(rows, "source string, section_seq int, section string, text string, start_off long, end_off long").where("text IS NOT NULL")
+    parts = semantic.semantic_split(sections, max_size=100)
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+    long = sections.where("length(text) > 100").select("source", "section_seq", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    want = semantic.split_vectors(embed(long, "sentence"), ["source", "section_seq"])
+    got = parts.where("section_seq IN (4, 5, 6, 7, 8)").select("source", "section_seq", "part", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    short = parts.where("section_seq < 2").collect()
+    assert all(r["part"] == 0 and r["end_off"] - r["start_off"] == len(r["text"]) for r in short)
+    many = [r for r in parts.collect() if r["section_seq"] == 6]
+    assert len(many) > 3 and max(r["end_off"] for r in many) <= 6 + len(texts[6]) and min(r["start_off"] for r in many) == 6
