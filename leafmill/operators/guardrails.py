@@ -8,8 +8,6 @@ row a block). The runs of a block are read as a stream: a task holds the open bu
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby
 
@@ -18,29 +16,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.functions.sentences import sentences
 from leafmill.operators.sections import BLOCK_PAGES, KEYS, blocked, carried, page_offsets, split_by_headers
 from leafmill.operators.semantic import semantic_split
 from leafmill.session import materialize
 
-_SPACE = r"[ \t\n\x0b\f\r]"
-_SHORT_STOP = re.compile(rf"(?<![\w.])({'|'.join(map(re.escape, T.ABBREVIATIONS))}|[A-HJ-Z])\.(?={_SPACE})")
-_INNER_STOP = re.compile(rf"""\.(?=["')\]]*{_SPACE}+([^\W\d_]))""")
-_END = re.compile(rf"""([.!?]["')\]]*){_SPACE}+""")
-#: A character that stands in no text: the place of a stop that ends no sentence.
-_STOP = "\ufffe"
 MIN_SIZE, MAX_SIZE = 100, 1000
 
 #: A piece or chunk: text, start_off, end_off, headings (section, subsection, subsubsection).
 Piece = tuple[str, int, int, tuple]
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences that ``functions.text.split_sentences`` finds."""
-    held = _SHORT_STOP.sub(rf"\1{_STOP}", text)
-    held = _INNER_STOP.sub(lambda m: _STOP if unicodedata.category(m[1]) == "Ll" else ".", held)
-    return [s for x in _END.sub(rf"\1{T.END}", held).split(T.END) if (s := x.replace(_STOP, ".").strip())]
-
-
 def merge_undersized(pieces: Iterable[Piece], min_size: int = MIN_SIZE, max_size: int = MAX_SIZE) -> Iterator[Piece]:
     """Short pieces join the next one while both fit; a short rest joins the last chunk if it fits."""
     last: Piece | None = None
@@ -188,14 +174,13 @@ def chunk_documents(
     compat_index_meta: bool = False,
 ) -> DataFrame:
     """Pages (source, page, page_content) to chunks: chunk_id, source, chunk_index, text, page_start,
-    page_end, headings, num_sentences, char_count. Pages and sections are read more than once, so both are
-    written to the shared folder first."""
+    page_end, headings, num_sentences, char_count. Pages and the parts of sections are read more than once, so both
+    are written to the shared folder first."""
     pages = materialize(pages.select("source", "page", "page_content"), "pages")
-    sections = materialize(split_by_headers(pages), "titled")
-    parts = semantic_split(sections, max_size, k, loader)
+    parts = semantic_split(split_by_headers(pages), max_size, k, loader)
     path = T.build_breadcrumb(F.col("section"), F.col("subsection"), F.col("subsubsection"))
     # A section carries its path on each of its parts, before sizes are looked at.
-    parts = parts.withColumn("text", T.inject_breadcrumb(F.col("text"), path))
+    parts = materialize(parts.withColumn("text", T.inject_breadcrumb(F.col("text"), path)), "parts")
     chunks = page_span(fold_chunks(parts, min_size, max_size, compat_index_meta), pages)
     return chunks.select(
         T.chunk_id(F.col("source"), F.col("chunk_index")).alias("chunk_id"),

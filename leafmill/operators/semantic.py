@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.functions.sentences import sentences
 from leafmill.operators.embed import dot, hash_embed, unit_vectors
 from leafmill.operators.pages import gathered
 
@@ -115,7 +116,9 @@ def semantic_split(
     max_size, k = max_size or 1000, k or 1.5
     batch = 32 if loader else HELD  # rows of the default do not depend on each other
 
-    given = F.when(F.length("text") > max_size, split(F.col("text")))
+    # The fixed rules are applied in the Python worker, which has the text.
+    fixed = split is T.split_sentences
+    given = F.when(F.length("text") > max_size, F.lit(True) if fixed else split(F.col("text")))
     read = sections.withColumn("_sentences", given)
     names, at = sections.columns, sections.columns.index("text")
     schema = sections.withColumn("part", F.lit(0)).withColumn("_before", F.lit(0).cast("long")).withColumn("_upto", F.lit(0).cast("long")).schema
@@ -125,7 +128,8 @@ def semantic_split(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loader() if loader else hash_embed
         for rows in batches:
-            texts, cut = rows.column(at), _cut(rows.column(len(names)).to_pylist(), model, k, batch)
+            texts, own = rows.column(at), rows.column(len(names)).to_pylist()
+            cut = _cut([sentences(texts[n].as_py()) if s else None for n, s in enumerate(own)] if fixed else own, model, k, batch)
             # A section that passes is its own only part.
             parts = [[(texts[n].as_py(), None, None)] if p is None else p for n, p in enumerate(cut)]
             of = pa.array([n for n, p in enumerate(parts) for _ in p], pa.int64())
