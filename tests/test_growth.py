@@ -62,3 +62,33 @@ def test_semantic_split_shuffles_nothing_and_cuts_as_the_windows_do(spark):
     assert all(r["part"] == 0 and r["end_off"] - r["start_off"] == len(r["text"]) for r in short)
     many = [r for r in parts.collect() if r["section_seq"] == 6]
     assert len(many) > 3 and max(r["end_off"] for r in many) <= 6 + len(texts[6]) and min(r["start_off"] for r in many) == 6
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_of_sections_are_written_before_they_are_folded(spark, monkeypatch):
+    from leafmill.operators import guardrails
+    from leafmill.functions.sentences import sentences
+
+    seen, fold = [], guardrails.fold_chunks
+    monkeypatch.setattr(guardrails, "fold_chunks", lambda parts, *a: seen.append(_plan(parts)) or fold(parts, *a))
+    text = "# One\n" + "Some words stand here, e.g. these. And Dr. Who came? " * 40
+    assert guardrails.chunk_documents(spark.createDataFrame([("s", 0, text)], "source string, page int, page_content string")).count() > 1
+    assert "MapInArrow" not in seen[0] and "Join" not in seen[0]
+    rnd = random.Random(11)
+    marks = ["a", "B", "É", " ", "  ", "\n", ". ", ".", "?", '"', ")", "Dr", "e.g", "I", "J", "9", "\x1c", "\U00010428", "vs.", " "]
+    texts = ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
+    split = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.split_sentences(F.col("t")).alias("s"))
+    assert all(r["s"] == sentences(r["t"]) for r in split.collect())
+
+
+def test_pages_pass_the_gate_once(spark, monkeypatch):
+    from leafmill.streaming import ingest
+
+    seen, clean = [], ingest.clean_pages
+    monkeypatch.setattr(ingest, "clean_pages", lambda pages: seen.append(_plan(pages)) or clean(pages))
+    pages = spark.createDataFrame([("s", 0, "word " * 60), ("s", 1, "12 34")], "source string, page int, page_content string")
+    assert ingest.index_pages(pages).count() == 1
+    assert "regexp_replace" not in seen[0]
