@@ -92,3 +92,48 @@ def test_pages_pass_the_gate_once(spark, monkeypatch):
     pages = spark.createDataFrame([("s", 0, "word " * 60), ("s", 1, "12 34")], "source string, page int, page_content string")
     assert ingest.index_pages(pages).count() == 1
     assert "regexp_replace" not in seen[0]
+
+
+def test_words_are_counted_with_one_shuffle_and_texts_split_in_the_worker(spark):
+    from leafmill.operators import borders
+
+    docs = spark.createDataFrame([(1, "It rains. Dr. No sleeps.", "en")], "doc_id long, text string, lang string")
+    assert "Exchange" not in borders.partial_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert borders.word_counts(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    split = docs.select(borders.Borders(frozenset({"en:dr"}), frozenset()).split(F.col("text"), F.col("lang")).alias("s"))
+    assert "ArrowEvalPython" in _plan(split) and "transform(" not in _plan(split)
+    assert split.first()["s"] == ["It rains.", "Dr. No sleeps."]
+
+
+def test_words_of_many_batches_are_counted_whole(monkeypatch):
+    """Against counting token by token; batches are smaller, and larger, than what a worker holds."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from leafmill.operators import borders as B
+
+    rnd = random.Random(17)
+    bits = ["a", "The", "b.", "Dr.", "x.y.", "..", "!", "?", '"', ")", "12", "İ", "ΑΣ.", "ß", "É", "\U00010428.", ",", "#"]
+    blanks = [" ", " ", " ", "", "\n", "\x0b", "\x1c", "\x85", "\xa0", " "]
+    rows = [(rnd.choice(["en", "de", ""]), "".join(rnd.choice(bits) + rnd.choice(blanks) for _ in range(rnd.randint(0, 40)))) for _ in range(300)] + [("", ""), ("en", " \n"), ("en", "word " * 2000)]
+    want = Counter()
+    for lang, text in rows:
+        ahead = "!"
+        for token in text.split():
+            core, last = token.strip(T.AROUND), ahead.strip(T.AROUND)
+            before = "!" if last.endswith(("!", "?", "..")) else B._word(last) + "." if last.endswith(".") else ""
+            if B._word(core):
+                for kind, seen in (("n", True), ("stop", B._stopped(core)), ("small", B._small(core)), ("capital", B._capital(core))):
+                    want[lang, before, B._word(core), kind] += seen
+            ahead = token
+    for held, size in ((1 << 23, 100), (400, 50), (400, 1), (1, 303)):
+        monkeypatch.setattr(B, "HELD", held)
+        cut = [rows[at : at + size] for at in range(0, len(rows), size)]
+        got = Counter()
+        for part in B._count(pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*b)], ["lang", "text"]) for b in [*cut]):
+            for r in part.to_pylist():
+                for kind in ("n", "stop", "small", "capital"):
+                    got[r["lang"], r["before"], r["word"], kind] += r[kind]
+        assert got == want and sum(got.values()) > 5000
+    assert list(B._count(iter([]))) == []
