@@ -19,7 +19,7 @@ from leafmill.functions import text as T
 from leafmill.functions.sentences import sentences
 from leafmill.operators.sections import BLOCK_PAGES, KEYS, blocked, carried, page_offsets, split_by_headers
 from leafmill.operators.semantic import semantic_split
-from leafmill.session import materialize
+from leafmill.session import drop_materialized, materialize
 
 MIN_SIZE, MAX_SIZE = 100, 1000
 
@@ -175,13 +175,18 @@ def chunk_documents(
 ) -> DataFrame:
     """Pages (source, page, page_content) to chunks: chunk_id, source, chunk_index, text, page_start,
     page_end, headings, num_sentences, char_count. Pages and the parts of sections are read more than once, so both
-    are written to the shared folder first."""
+    are written to the shared folder first; what no later step reads is removed on the way."""
     pages = materialize(pages.select("source", "page", "page_content"), "pages")
-    parts = semantic_split(split_by_headers(pages), max_size, k, loader)
+    sections = split_by_headers(pages)
+    parts = semantic_split(sections, max_size, k, loader)
     path = T.build_breadcrumb(F.col("section"), F.col("subsection"), F.col("subsubsection"))
     # A section carries its path on each of its parts, before sizes are looked at.
     parts = materialize(parts.withColumn("text", T.inject_breadcrumb(F.col("text"), path)), "parts")
-    chunks = page_span(fold_chunks(parts, min_size, max_size, compat_index_meta), pages)
+    drop_materialized(sections)
+    folded = fold_chunks(parts, min_size, max_size, compat_index_meta)
+    if not compat_index_meta:
+        drop_materialized(parts)  # only the headings of other pieces are looked up there later
+    chunks = page_span(folded, pages)
     return chunks.select(
         T.chunk_id(F.col("source"), F.col("chunk_index")).alias("chunk_id"),
         "source", "chunk_index", "text", "page_start", "page_end", "section", "subsection", "subsubsection",

@@ -10,6 +10,9 @@ that exists, as HDFS and local disks do). Whoever comes second merges its chunks
 go one commit after the one that replaced them, so those who still read that state can end; who reads for longer than two
 writes take has to begin again. What writers that died have left is removed by ``vacuum``.
 
+Chunks are staged beside the store first. A large write stages and merges them in shares of its documents, so that what is
+shuffled at once, and kept on disk for that, is a share of it (``write_shares``).
+
 A write reads and rewrites the touched buckets only. Their number follows the store: it is doubled, in a write that
 touches all of them, when buckets hold more than ``BUCKET_ROWS`` rows on average. The manifest has for each bucket the
 range of its sources, and their names where they are ``NAMED`` at most; a read of some sources or documents opens
@@ -23,7 +26,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from math import gcd
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -137,25 +143,40 @@ def _read(spark: SparkSession, path: str, state: _State, which: list[int]) -> Da
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def _merge(new: DataFrame, path: str, key: str, buckets: int | None, gone: DataFrame | None, state: _State, written: int) -> tuple[str, str]:
-    """Writes the touched buckets and the manifest of the state that follows ``state``: data folder, manifest."""
-    spark = new.sparkSession
-    total = written + sum(state.rows.values())
+def _merge(shares: list[tuple[DataFrame, int]], path: str, key: str, buckets: int | None, gone: DataFrame | None, state: _State) -> tuple[str, str]:
+    """Writes the touched buckets and the manifest of the state that follows ``state``: data folder, manifest. Buckets and
+    shares that the same documents may be in are merged together, one such group after the other."""
+    every = reduce(DataFrame.unionByName, [rows for rows, _ in shares])
+    spark = every.sparkSession
+    total = sum(n for _, n in shares) + sum(state.rows.values())
     count = state.buckets or buckets or 1
     while buckets is None and total > count * BUCKET_ROWS:
         count *= 2
-    keys = new.select("doc_id") if gone is None else new.select("doc_id").unionByName(gone.select("doc_id"))
+    keys = every.select("doc_id") if gone is None else every.select("doc_id").unionByName(gone.select("doc_id"))
     # At most one number for each bucket.
     touched = sorted(state.held) if count != state.buckets else sorted(r[0] for r in keys.select(_bucket(count)).distinct().collect() if r[0] in state.held)
-    merged = merged_chunks(_read(spark, path, state, touched), new, key, gone) if state.layout else new
     name = uuid.uuid4().hex
     folder = f"data-{name}"
-    order = [F.col("bucket"), *[F.col(c) for c in ("source",) if c in new.columns]]
-    # The greatest length is taken as rows go by; a task that runs again does not change it.
-    seen = Observation("vectors")
-    vectors = "embedding" in new.columns and isinstance(new.schema["embedding"].dataType, ArrayType)
-    merged = merged.observe(seen, F.max(F.size("embedding") if vectors else F.lit(None).cast("int")).alias("dimension"))
-    merged.withColumn("bucket", _bucket(count)).repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    order = [F.col("bucket"), *[F.col(c) for c in ("source",) if c in every.columns]]
+    vectors = "embedding" in every.columns and isinstance(every.schema["embedding"].dataType, ArrayType)
+    # A document's number modulo a divisor of both follows from its bucket as well as from its share.
+    groups = gcd(count, len(shares))
+    known = gcd(groups, state.buckets)  # as far as the old buckets tell it
+    dimensions = []
+    for n in range(groups):
+        part = lambda rows, of: rows if of == groups else rows.where(_bucket(groups) == n)  # noqa: B023, E731
+        near = [b for b in touched if b % known == n % known]
+        if not near and not any(rows for _, rows in shares[n::groups]):
+            continue
+        merged = reduce(DataFrame.unionByName, [rows for rows, _ in shares[n::groups]])
+        if state.layout:
+            merged = merged_chunks(part(_read(spark, path, state, near), known), merged, key, None if gone is None else part(gone, 1))
+        # The greatest length is taken as rows go by; a task that runs again does not change it.
+        seen = Observation("vectors")
+        merged = merged.observe(seen, F.max(F.size("embedding") if vectors else F.lit(None).cast("int")).alias("dimension"))
+        dealt = merged.withColumn("bucket", _bucket(count)).repartition("bucket").sortWithinPartitions(*order)
+        dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/{folder}")
+        dimensions.append(seen.get["dimension"])
     held = {b: row for b, row in state.held.items() if b not in touched}
     if _names(spark, f"{path}/{folder}", "bucket="):
         made = spark.read.parquet(f"{path}/{folder}")
@@ -169,26 +190,41 @@ def _merge(new: DataFrame, path: str, key: str, buckets: int | None, gone: DataF
             F.sum("n").alias("n"), F.min("source").alias("first"), F.max("source").alias("last"), named.alias("sources"),
             F.slice(F.array_sort(lowest), 1, EXAMPLES).alias("lowest"), F.hll_sketch_agg("source", F.lit(SKETCH)).alias("sketch"),
         )
-        about = {"folder": folder, "dimension": seen.get["dimension"]}
+        about = {"folder": folder, "dimension": max((d for d in dimensions if d is not None), default=None)}
         held |= {r["bucket"]: tuple((r.asDict() | about)[c] for c in _STATS) for r in stats.collect()}
-    layout = state.layout or new.schema.json()
+    layout = state.layout or every.schema.json()
     lines = [(b, *row, count, layout) for b, row in sorted(held.items())] or [(None,) * (1 + len(_STATS)) + (count, layout)]
     manifest = f"manifest-{name}"
     spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.parquet(f"{path}/{manifest}")
     return folder, manifest
 
 
-def _write(chunks: DataFrame, path: str, key: str, buckets: int | None, gone: DataFrame | None = None) -> int:
+def _staged(chunks: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """``chunks``, one row of each chunk_id, written below ``path``, and their number. They are made once, and dealt out anew
+    only if an id repeats."""
     spark = chunks.sparkSession
+
+    def stored(df: DataFrame, to: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(to)
+        return spark.read.schema(chunks.schema).parquet(to)
+
+    rows = stored(chunks, f"{path}/all")
+    count, ids = rows.groupBy("chunk_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    if ids < count:
+        rows = stored(_unique(rows), f"{path}/unique")
+        _delete(spark, f"{path}/all")
+    return rows, ids
+
+
+def _write(shares: Iterable[DataFrame], path: str, key: str, buckets: int | None, gone: DataFrame | None = None) -> int:
     stage = f"{path}/stage-{uuid.uuid4().hex}"
     # Chunks are made once, beside the store; what is merged is read from there.
-    _unique(chunks).write.parquet(stage)
-    new = spark.read.schema(chunks.schema).parquet(stage)
-    written = new.count()
+    staged = [_staged(chunks, f"{stage}/{n}") for n, chunks in enumerate(shares)]
+    spark, written = staged[0][0].sparkSession, sum(n for _, n in staged)
     for n in range(TRIES):
         state = _state(spark, path)
         try:
-            folder, manifest = _merge(new, path, key, buckets, gone, state, written)
+            folder, manifest = _merge(staged, path, key, buckets, gone, state)
         except Exception:
             # The state may have gone while it was read; without a newer one this is an error like any other.
             if n + 1 < TRIES and _state(spark, path).number > state.number + 1:
@@ -237,13 +273,25 @@ def upsert_chunks(chunks: DataFrame, path: str, buckets: int | None = None) -> i
     """Insert or replace by chunk_id; returns the number of rows written. Writing the same chunks again
     changes nothing. Rows of a document that became shorter stay (see ``replace_source``). ``buckets`` fixes the
     number of buckets of a new store."""
-    return _write(chunks, path, "chunk_id", buckets)
+    return _write([chunks], path, "chunk_id", buckets)
 
 
 def replace_source(chunks: DataFrame, path: str, documents: DataFrame | None = None, buckets: int | None = None) -> int:
     """Fresh mode: afterwards the documents of ``chunks``, and those that ``documents`` (doc_id) names, hold nothing
     but these chunks; a document that has none now is gone."""
-    return _write(chunks, path, "doc_id", buckets, documents)
+    return _write([chunks], path, "doc_id", buckets, documents)
+
+
+def share(shares: int):
+    """The share that a row's doc_id is in, for ``write_shares``."""
+    return _bucket(shares)
+
+
+def write_shares(shares: Iterable[DataFrame], path: str, documents: DataFrame | None = None, fresh: bool = True, buckets: int | None = None) -> int:
+    """``replace_source`` (or, if not ``fresh``, ``upsert_chunks``) of chunks that come as one table for each ``share``, in their order:
+    one write like any other. Each table is staged before the next one is asked for, and the stage and the merged data are all that is
+    kept of those before it."""
+    return _write(shares, path, "doc_id" if fresh else "chunk_id", buckets, documents if fresh else None)
 
 
 def store_stats(spark: SparkSession, path: str) -> DataFrame:
