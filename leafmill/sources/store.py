@@ -166,11 +166,12 @@ def _merge(shares: list[tuple[DataFrame, int]], path: str, key: str, buckets: in
     for n in range(groups):
         part = lambda rows, of: rows if of == groups else rows.where(_bucket(groups) == n)  # noqa: B023, E731
         near = [b for b in touched if b % known == n % known]
-        if not near and not any(rows for _, rows in shares[n::groups]):
-            continue
         merged = reduce(DataFrame.unionByName, [rows for rows, _ in shares[n::groups]])
         if state.layout:
             merged = merged_chunks(part(_read(spark, path, state, near), known), merged, key, None if gone is None else part(gone, 1))
+        # A plan that is found to be empty as it runs has lost what it should observe.
+        if not any(rows for _, rows in shares[n::groups]) and (not near or merged.isEmpty()):
+            continue
         # The greatest length is taken as rows go by; a task that runs again does not change it.
         seen = Observation("vectors")
         merged = merged.observe(seen, F.max(F.size("embedding") if vectors else F.lit(None).cast("int")).alias("dimension"))
